@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, decontam, linededup, quality
+from sheaf.llm import bpe, chat, decontam, linededup, quality
 from sheaf.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("judged.quality").alias("quality"), F.col("judged.toxic").alias("toxic"), F.col("judged.keep").alias("keep"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text encoded, and decoded from the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", bpe.round_trip(docs).alias("r")).select("doc_id", "r.*")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its site's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -52,4 +58,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op5_line_dedup, op7_chat_format, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op5_line_dedup, op7_chat_format, op9_decontaminate)}
