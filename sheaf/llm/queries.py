@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, linededup, quality
+from sheaf.llm import bpe, chat, decontam, linededup, quality, warc
 from sheaf.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.round_trip(docs).alias("r")).select("doc_id", "r.*")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, looked up by their keys and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder, _, shards = warc.archive(spark, pages)
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    found = warc.resolve(keys, shards, f"{folder}/index")
+    return warc.fetch(found, f"{folder}/archives", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its site's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -58,4 +67,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op5_line_dedup, op7_chat_format, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate)}

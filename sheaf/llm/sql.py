@@ -1,6 +1,19 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
 SQL = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda x:
+                        substr('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', x)::INT * 4 - 3, 4)), '') AS bits,
+                     max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+                   + 16 * substr(bits, (i * 5 + 1)::INT, 1)::INT + 8 * substr(bits, (i * 5 + 2)::INT, 1)::INT + 4 * substr(bits, (i * 5 + 3)::INT, 1)::INT
+                   + 2 * substr(bits, (i * 5 + 4)::INT, 1)::INT + substr(bits, (i * 5 + 5)::INT, 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+        FROM b
+    """,
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
         totals AS (SELECT source, count(*) AS n FROM d WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source),
