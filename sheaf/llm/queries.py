@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, linededup, quality, warc
+from sheaf.llm import bpe, chat, decontam, jaccard, linededup, quality, warc
 from sheaf.llm.common import table
 
 
@@ -65,6 +65,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of each document; rows without a text stand alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard.join(docs).select(F.col("id").alias("doc_id"), F.col("group").alias("class_id"), F.col("links").alias("n_links"), "copy_of")
+    alone = docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of"))
+    return found.unionByName(alone)
+
+
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate, op10_jaccard_join)}
