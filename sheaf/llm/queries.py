@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, jaccard, linededup, quality, warc
+from sheaf.llm import bpe, chat, decontam, jaccard, linededup, pii, quality, warc
 from sheaf.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.round_trip(docs).alias("r")).select("doc_id", "r.*")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, counted="n_entities").select("doc_id", "text", "n_entities")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, looked up by their keys and read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -75,4 +81,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate, op10_jaccard_join)}
