@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, jaccard, linededup, pii, quality, warc
+from sheaf.llm import ann, bpe, chat, decontam, jaccard, linededup, pii, quality, warc
 from sheaf.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,4 +86,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op7_chat_format, op9_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join)}
