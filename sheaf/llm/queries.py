@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, decontam, jaccard, linededup, pii, quality, warc
+from sheaf.llm import ann, bpe, chat, decontam, jaccard, langid, linededup, pii, quality, warc
 from sheaf.llm.common import table
 
 
@@ -45,6 +45,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs, dropped="n_dropped").select("doc_id", "text", "n_dropped")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    network = langid.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, network).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and their digests read back from that."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -86,4 +94,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sheaf.llm.sql import SQL  # noqa: E402, F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op6_language_id, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join)}
