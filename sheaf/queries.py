@@ -689,7 +689,7 @@ def io2_read_pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("SELECT 'https://portal.example.org' || CASE o_orderkey % 6 WHEN 0 THEN '/app/test-results/details?eorderid=' WHEN 1 THEN '/app/visits/note?noteid=7&csn=' ELSE '' END || o_orderkey || '&view=full&from=home#top' AS url, row_number() OVER (ORDER BY 1) AS position FROM orders WHERE o_orderkey % 6 IN (0, 1) AND o_orderkey % 5 <> 0 ORDER BY 1 LIMIT 400")
+@query("SELECT 'https://portal.example.org' || CASE o_orderkey % 6 WHEN 0 THEN '/app/test-results/details?eorderid=' WHEN 1 THEN '/app/visits/note?noteid=7&csn=' ELSE '' END || o_orderkey || '&view=full&from=home#top' AS url, row_number() OVER (ORDER BY url) AS position FROM orders WHERE o_orderkey % 6 IN (0, 1) AND o_orderkey % 5 <> 0 ORDER BY 1 LIMIT 400")
 def e5_frontier(spark: SparkSession, sf: str) -> DataFrame:
     own = B.portal_urls(spark, sf)
     html = F.concat(F.lit('<p><a href="'), F.replace(c("url"), F.lit("&"), F.lit("&amp;")), F.lit('">'), c("text"), F.lit("</a></p>"))
