@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import or_empty, trimmed
+from sheaf.functions.text import let, or_empty, trimmed
 
 #: Month names by their first three letters. Fixed values.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -36,23 +36,27 @@ def _int(c: Column) -> Column:
 
 def clinical_date_iso(c: Column) -> Column:
     """The first ISO day anywhere, as it stands; else a leading M/d/yy or M/d/yyyy; else a leading month name with day, comma and year."""
-    raw = trimmed(or_empty(c))
-    iso = F.regexp_extract(raw, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
-    numeric = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})(?:\b|[^0-9])"
-    n = [F.regexp_extract(raw, numeric, i) for i in (1, 2, 3)]
-    named = rf"(?i)^({_FULL})\s+([0-9]{{1,2}}),\s*([0-9]{{4}})\b"
-    w = [F.regexp_extract(raw, named, i) for i in (1, 2, 3)]
-    return (
-        F.when(iso != "", iso)
-        .when(n[0] != "", _iso(_year(n[2]), _int(n[0]), _int(n[1])))
-        .when(w[0] != "", _iso(_int(w[2]), _month(w[0]), _int(w[1])))
-        .otherwise("")
-    )
+    numeric = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})(?:\b|[^0-9]).*$"
+    named = rf"(?i)^({_FULL})\s+([0-9]{{1,2}}),\s*([0-9]{{4}})\b.*$"
+
+    def parts(raw: Column, pattern: str) -> Column:
+        return F.split(F.regexp_replace(raw, "(?s)" + pattern, "$1\u0001$2\u0001$3"), "\u0001")
+
+    def day(raw: Column) -> Column:
+        by_number = let(parts(raw, numeric), lambda p: _iso(_year(p[2]), _int(p[0]), _int(p[1])))
+        by_name = let(parts(raw, named), lambda p: _iso(_int(p[2]), _month(p[0]), _int(p[1])))
+        iso = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+        return F.when(raw.rlike(iso), F.regexp_extract(raw, iso, 0)).when(raw.rlike("(?s)" + numeric), by_number).when(raw.rlike("(?s)" + named), by_name).otherwise("")
+
+    return let(trimmed(or_empty(c)), day)
 
 
 def extract_date(c: Column) -> Column:
     """The first date in free text as it stands: month names with, then without comma come before numbers; a number needs a possible month and day and no digit or dot beside it."""
-    text = or_empty(c)
+    return let(or_empty(c), _extracted)
+
+
+def _extracted(text: Column) -> Column:
     comma = F.regexp_extract(text, rf"(?i)\b(?:{_SHORT})[a-z]*\.?\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b", 0)
     plain = F.regexp_extract(text, rf"(?i)\b(?:{_SHORT})[a-z]*\.?\s+[0-9]{{1,2}}\s+[0-9]{{4}}\b", 0)
     numbers = F.regexp_extract_all(text, F.lit(r"(?<![0-9.])\b(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])/[0-9]{2,4}\b(?![0-9.])"), F.lit(0))
@@ -61,17 +65,19 @@ def extract_date(c: Column) -> Column:
 
 def group_date(c: Column, fallback: Column | None = None) -> Column:
     """A struct: `day_key` (ISO) and `display` (`Month d, yyyy`). Numbers come before month names here, in the text and then the fallback."""
-    text = F.concat_ws("\n", or_empty(c), or_empty(fallback) if fallback is not None else F.lit(""))
     numeric = r"\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{2,4})\b"
-    n = [F.regexp_extract(text, numeric, i) for i in (1, 2, 3)]
     named = rf"(?i)\b({_SHORT})[a-z]*\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b"
-    w = [F.regexp_extract(text, named, i) for i in (1, 2, 3)]
-    by_number = n[0] != ""
-    year = F.when(by_number, _year(n[2])).otherwise(_int(w[2]))
-    month = F.when(by_number, _int(n[0])).otherwise(_month(w[0]))
-    day = F.when(by_number, _int(n[1])).otherwise(_int(w[1]))
-    known = (by_number | (w[0] != "")) & (year > 0) & (month > 0) & (day > 0)
     names = F.array(*(F.lit(m) for m in MONTH_NAMES))
-    key = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    display = F.concat(F.coalesce(F.get(names, month - 1), F.lit("undefined")), F.lit(" "), day.cast("string"), F.lit(", "), year.cast("string"))
-    return F.struct(F.when(known, key).otherwise("").alias("day_key"), F.when(known, display).otherwise("").alias("display"))
+
+    def made(year: Column, month: Column, day: Column) -> Column:
+        known = (year > 0) & (month > 0) & (day > 0)
+        key = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+        display = F.concat(F.coalesce(F.get(names, month - 1), F.lit("undefined")), F.lit(" "), day.cast("string"), F.lit(", "), year.cast("string"))
+        return F.struct(F.when(known, key).otherwise("").alias("day_key"), F.when(known, display).otherwise("").alias("display"))
+
+    def found(text: Column) -> Column:
+        n = let(F.array(*(F.regexp_extract(text, numeric, i) for i in (1, 2, 3))), lambda p: made(_year(p[2]), _int(p[0]), _int(p[1])))
+        w = let(F.array(*(F.regexp_extract(text, named, i) for i in (1, 2, 3))), lambda p: made(_int(p[2]), _month(p[0]), _int(p[1])))
+        return F.when(text.rlike(numeric), n).when(text.rlike(named), w).otherwise(F.struct(F.lit("").alias("day_key"), F.lit("").alias("display")))
+
+    return let(F.concat_ws("\n", or_empty(c), or_empty(fallback) if fallback is not None else F.lit("")), found)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: All white space characters. Fixed values.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: White space with no-break and other Unicode spaces, as everywhere in this library.
 SPACES = r"(?U)\s+"
 
@@ -27,12 +29,12 @@ def first_nonempty(*cs: Column | str) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without any white space at either end (`trim` alone takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squashed(c: Column) -> Column:
     """White space runs to one blank, ends trimmed."""
-    return trimmed(F.regexp_replace(c, SPACES, " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def folded(c: Column) -> Column:

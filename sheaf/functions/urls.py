@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import or_empty
+from sheaf.functions.text import let, or_empty
 
 #: Ordered rules from words in a URL to a category. Fixed values.
 CATEGORY_WORDS = [
@@ -87,18 +87,25 @@ def visit_key(url: Column) -> Column:
 
 def canonical_source(url: Column) -> Column:
     """For comparing exports: no fragment, no parameter whose name starts with a presentation word, the rest by name."""
-    raw = or_empty(url)
+    return let(or_empty(url), _canonical)
+
+
+def _canonical(raw: Column) -> Column:
     kept = F.filter(params(raw), lambda p: ~F.lower(p["name"]).rlike("^(?:utm_|tracking|from|view|tab|pagemode$)"))
     text = lambda p: F.concat(p["name"], F.lit("="), p["value"])
     # By name, and of one name by place.
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(p["name"].alias("name"), p["at"].alias("at"), text(p).alias("text"))))
     query = F.array_join(F.transform(ordered, lambda p: p["text"]), "&")
     base = F.regexp_replace(raw, r"[?#].*$", "")
-    return F.when(~parsed(raw), raw).when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
+    return F.when(~parsed(raw), raw).otherwise(let(query, lambda q: F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q))))
 
 
 def route_identity(url: Column, category: Column, context: Column) -> Column:
     """What a route shows, whatever its address says else: origin, context, category, path, and clinical parameters by name; '' where it cannot be parsed."""
+    return let(url, lambda u: _identity(u, category, context))
+
+
+def _identity(url: Column, category: Column, context: Column) -> Column:
     ids = F.filter(F.transform(params(url), lambda p: F.struct(F.lower(p["name"]).alias("name"), F.coalesce(F.try_url_decode(p["value"]), p["value"]).alias("value"))), lambda p: p["name"].isin(*CLINICAL_IDS, "action"))
     tail = F.transform(F.array_sort(ids), lambda p: F.concat(p["name"], F.lit("="), p["value"]))
     head = F.array(origin(url), or_empty(context), or_empty(category), F.lower(F.regexp_replace(path(url), "/+$", "")))

@@ -37,23 +37,27 @@ def inspect_key() -> Column:
     return F.concat_ws("|", or_empty("source_url"), or_empty("title"), clinical_date_iso(F.col("date")))
 
 
-def clinical_delta(rows: DataFrame, start: str = "", end: str = "", everything: bool = False) -> DataFrame:
-    """One row of what is new since `start`: undated rows do not count; a range of one day counts no row of it."""
-    day = clinical_date_iso(F.col("date"))
+def _delta(start: str, end: str, everything: bool) -> list[Column]:
+    """Aggregates over `day` ('' for undated rows, which do not count)."""
+    day, dated = F.col("day"), F.col("day") != ""
     repeated = start if start and end and start < end else ""
-    late, again = (day < start) if start else F.lit(False), (day == repeated) if repeated else F.lit(False)
-    new = (day > start) if start else F.lit(True)
-    mode = "all" if everything else "date-range" if start and end else "unknown"
-    dated = rows.select(day.alias("day"), late.alias("late"), again.alias("again"), new.alias("new")).where("day <> ''")
-    return dated.agg(
-        F.lit(mode).alias("mode"),
-        F.count_if(~F.col("late") & ~F.col("again") & F.col("new")).alias("new_records"),
+    late = (day < start) if start else F.lit(False)
+    again = ~late & ((day == repeated) if repeated else F.lit(False))
+    new = ~late & ~again & ((day > start) if start else F.lit(True))
+    return [
+        F.lit("all" if everything else "date-range" if start and end else "unknown").alias("mode"),
+        F.count_if(dated & new).alias("new_records"),
         F.lit(0).cast("long").alias("updated_records"),
-        F.count_if(~F.col("late") & F.col("again")).alias("repeated_records"),
-        F.count_if("late").alias("late_records"),
+        F.count_if(dated & again).alias("repeated_records"),
+        F.count_if(dated & late).alias("late_records"),
         F.lit(repeated).alias("repeated_date"),
-        F.coalesce(F.max("day"), F.lit("")).alias("latest_date"),
-    )
+        F.coalesce(F.max(F.when(dated, day)), F.lit("")).alias("latest_date"),
+    ]
+
+
+def clinical_delta(rows: DataFrame, start: str = "", end: str = "", everything: bool = False) -> DataFrame:
+    """One row of what is new since `start`: undated rows do not count; a range of one day counts no row of it."""
+    return rows.select(clinical_date_iso(F.col("date")).alias("day")).agg(*_delta(start, end, everything))
 
 
 def saved_quality(records: DataFrame, vocabulary: clinical.Vocabulary = clinical.DEFAULT) -> DataFrame:
@@ -107,13 +111,13 @@ def run_summary(pages: DataFrame) -> DataFrame:
 
 
 def manifest(records: DataFrame, chunks: DataFrame, filters: str = "", start: str = "", end: str = "") -> DataFrame:
-    """One row about an export: schema version, counts, text bytes, what is new.
-
-    Each part is one row already, so they are put side by side as literals.
-    """
-    n = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("text_bytes"), F.lit(0)).alias("b")).first()
-    delta = clinical_delta(records, start, end, not start and not end)
-    return delta.select(F.lit(1).alias("schema_version"), F.lit(filters).alias("filters"), F.lit(n["n"]).cast("long").alias("record_count"), F.lit(chunks.count()).cast("long").alias("chunk_count"), F.lit(n["b"]).cast("long").alias("text_bytes"), "*")
+    """One row about an export: schema version, counts, text bytes, what is new; one aggregate over records and chunks together."""
+    day = F.col("date_iso") if "date_iso" in records.columns else clinical_date_iso(F.col("date"))
+    rows = records.select(day.alias("day"), F.col("text_bytes").alias("b"), F.lit(1).alias("r"), F.lit(0).alias("c"))
+    rows = rows.unionAll(chunks.select(F.lit(""), F.lit(0).cast("long"), F.lit(0), F.lit(1)))
+    total = lambda name, to: F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(to)
+    made = rows.agg(total("r", "record_count"), total("c", "chunk_count"), total("b", "text_bytes"), *_delta(start, end, not start and not end))
+    return made.select(F.lit(1).alias("schema_version"), F.lit(filters).alias("filters"), "*")
 
 
 def text_sizes(records: DataFrame) -> DataFrame:
