@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import materialise
 
 ORDERINGS, DIMENSIONS, BITS = 4, 6, 10
-#: Rows of a block, and rows on either side of a block that its queries also meet.
-BLOCK, HALO = 1024, 256
+#: Rows of a block, rows on either side of a block that its queries also meet, and queries of a batch.
+BLOCK, HALO, BATCH = 2048, 256, 1024
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -166,51 +166,72 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
                         "centre": pa.array([centre.tolist() if first else None], pa.list_(pa.float64())),
                         "radius": pa.array([radius], pa.float64()),
                         "vectors": pa.array([x[at:end].tobytes() if first else None], pa.binary()),
-                        "names": pa.array([names[at:end] if first else None], pa.list_(pa.string())),
                         "ids": pa.array([ids[at:end] if first else None], pa.list_(pa.list_(pa.int64()))),
-                        "asks": pa.array([asks[at:end].tolist() if first else None], pa.list_(pa.bool_())),
                         "found": pa.array([made.to_pylist()], pa.list_(pa.struct([("query", pa.string()), ("id", pa.int64()), ("score", pa.float64())]))),
                     }
                 )
 
-    kind = "block string, centre array<double>, radius double, vectors binary, names array<string>, ids array<array<long>>, asks array<boolean>, found array<struct<query:string,id:long,score:double>>"
+    kind = "block string, centre array<double>, radius double, vectors binary, ids array<array<long>>, found array<struct<query:string,id:long,score:double>>"
     index = materialise(placed.mapInArrow(windows, kind), "index")
     near = materialise(_top(index.select(F.explode("found").alias("f")).select("f.*"), k + 1).drop("rank"), "windows")
 
-    # What the windows leave open: blocks that could hold a better row for a query of a batch. Batches are the queries of a block.
+    # What the windows leave open: blocks that could hold a better row for a query of a batch. A batch is a stretch of queries along the first ordering.
     blocks = index.where("block is not null")
-    bound = near.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(-2.0)).alias("least"))
-    listed = blocks.select(F.col("block").alias("batch"), F.explode(F.arrays_zip("names", "asks")).alias("z")).where("z.asks").select("batch", F.col("z.names").alias("query"))
-    limits = listed.join(bound, "query").groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("query", "least"))).alias("limits"))
-    batches_ = materialise(limits.join(blocks.select(F.col("block").alias("batch"), "vectors", "names"), "batch"), "batches")
+    bound = near.groupBy(F.col("query").alias("name")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select("name", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(-2.0)).alias("least"))
+    waiting = entries.where("asks").select("name", "vector").join(bound, "name")
+
+    def queued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("vector"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(x, 0) if len(x) else np.zeros(0, np.int64))], names=[*b.schema.names, "place"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in batches:
+            for at in range(0, run.num_rows, BATCH):
+                some = run.slice(at, BATCH)
+                q = _matrix(some.column("vector"))
+                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+                centre = unit.mean(0)
+                centre = centre / max(np.linalg.norm(centre), 1e-300)
+                least = some.column("least").to_pylist()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "batch": pa.array([some.column("name")[0].as_py()]),
+                        "q_centre": pa.array([centre.tolist()], pa.list_(pa.float64())),
+                        "q_radius": pa.array([float(np.arccos(np.clip((unit @ centre).min(), -1, 1)))]),
+                        "least": pa.array([min(least)]),
+                        "queries": pa.array([q.tobytes()], pa.binary()),
+                        "names": pa.array([some.column("name").to_pylist()], pa.list_(pa.string())),
+                        "limits": pa.array([least], pa.list_(pa.float64())),
+                    }
+                )
+
+    many = max(1, -(-asked.select("name").distinct().count() // BATCH))
+    queue = waiting.mapInArrow(queued, "name string, vector array<double>, least double, place long").repartitionByRange(many, "place").sortWithinPartitions("place")
+    batches_ = materialise(queue.mapInArrow(packed, "batch string, q_centre array<double>, q_radius double, least double, queries binary, names array<string>, limits array<double>"), "batches")
     # Equi-joins on a share of the batches: each block's centre is repeated for all shares, its rows only for the batches it cannot be ruled out for.
-    shares = max(1, batches_.count())
-    number = batches_.select("batch", F.array_min(F.map_values("limits")).alias("least")).withColumn("share", F.pmod(F.xxhash64("batch"), F.lit(shares)).cast("int"))
+    number = batches_.select("batch", "q_centre", "q_radius", "least").withColumn("share", F.pmod(F.xxhash64("batch"), F.lit(many)).cast("int"))
     thin = blocks.select("block", "centre", "radius")
-    asked_batches = number.join(thin.select(F.col("block").alias("batch"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius")), "batch")
-    spread = thin.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    spread = thin.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     cosine = F.aggregate(F.zip_with("centre", "q_centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     apart = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) - F.col("radius") - F.col("q_radius")
     best = F.when(apart <= 0, F.lit(1.0)).otherwise(F.cos(apart))
-    open_ = spread.join(asked_batches, "share").where(best >= F.col("least") - 1e-9).select("block", "batch")
-    pairs = open_.join(blocks.select("block", F.col("vectors").alias("x"), "ids", "centre", "radius"), "block").join(batches_, "batch")
+    open_ = spread.join(number, "share").where(best >= F.col("least") - 1e-9).select("block", "batch")
+    pairs = open_.join(blocks.select("block", F.col("vectors").alias("x"), "ids", "centre", "radius"), "block").join(batches_.select("batch", "queries", "names", "limits"), "batch")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r] for c in b.schema.names}
-                ids, names = row["ids"].as_py(), row["names"].as_py()
-                limits = dict(row["limits"].as_py())
+                ids, names, least = row["ids"].as_py(), row["names"].as_py(), np.array(row["limits"].as_py())
                 x = np.frombuffer(row["x"].as_py()).reshape(len(ids), -1)
-                q_all = np.frombuffer(row["vectors"].as_py()).reshape(len(names), -1)
-                some = [i for i, n in enumerate(names) if n in limits]
-                q, least = q_all[some], np.array([limits[names[i]] for i in some])
+                q = np.frombuffer(row["queries"].as_py()).reshape(len(names), -1)
                 theta = np.arccos(np.clip(q @ np.array(row["centre"].as_py()) / np.linalg.norm(q, axis=1), -1, 1)) - row["radius"].as_py()
                 can = np.where(theta <= 0, 1.0, np.cos(theta)) >= least - 1e-9
                 if can.any():
-                    yield _best([names[some[i]] for i in np.flatnonzero(can)], q[can], x, ids, k, least[can])
+                    yield _best([names[i] for i in np.flatnonzero(can)], q[can], x, ids, k, least[can])
 
-    more = pairs.select("x", "ids", "centre", "radius", "vectors", "names", "limits").repartition(parts).mapInArrow(scan, FOUND)
+    more = pairs.select("x", "ids", "centre", "radius", "queries", "names", "limits").repartition(parts).mapInArrow(scan, FOUND)
     best_rows = _top(near.unionByName(more), k + 1).drop("rank").withColumnRenamed("query", "name")
     each = asked.join(materialise(best_rows, "best"), "name").where("id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
