@@ -62,6 +62,12 @@ def advance_mark(scope: str, last: str, count: int, freshness: str) -> tuple[boo
     return True, ""
 
 
+def advance_marks(pulls: DataFrame) -> DataFrame:
+    """For many scopes (`scope_key`, `last`, `count`, `freshness`): whether the mark moves, and if not why."""
+    reason = F.when(F.col("freshness") != "safe", F.concat(F.lit("freshness_"), "freshness")).when((F.col("count") == 0) | (F.col("last") == ""), "nothing_exported").otherwise("")
+    return pulls.select("scope_key", (reason == "").alias("moves"), reason.alias("reason"))
+
+
 def assert_fresh(stamp: str | None, now: datetime, minutes: int = MAX_AGE_MINUTES) -> None:
     """An error unless the last complete run is recent."""
     if not stamp:

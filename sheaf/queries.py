@@ -755,3 +755,34 @@ def io7_write_generations(spark: SparkSession, sf: str) -> DataFrame:
     write_generation({"records": own.limit(0), "cards": records.index_card(own.limit(0))}, folder)
     write_generation({"records": own, "cards": records.index_card(own)}, folder)
     return read_generation(spark, folder, "cards").select("id", "category")
+
+
+@query("""SELECT p_partkey, lower(p_brand) || '|' || CASE WHEN p_size % 2 = 0 THEN 'letters,visits' ELSE 'visits' END || '||' || lower(p_type) AS scope_key, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'letters,visits' END AS categories FROM part""")
+def p32_scope_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Scopes of pulls, and category lists (P33; null if one is unknown)."""
+    some = F.array(F.lit(" Visits "), F.when(c("p_size") % 2 == 0, "letters").otherwise("visits"), F.lit(""))
+    key = frontier.scope_key_column(F.lit("other"), F.concat(F.lit("  "), c("p_brand")), some, F.lit(""), c("p_type"))
+    listed = frontier.category_list(F.when(c("p_size") % 3 == 0, "visits,x").otherwise("visits, Letters,visits"))
+    return B.table(spark, sf, "part").select("p_partkey", key.alias("scope_key"), F.coalesce(F.array_join(listed, ","), F.lit("")).alias("categories"))
+
+
+@query("""WITH s AS (SELECT 'u' || user_id AS scope_key, CASE user_id % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'unsafe' ELSE 'unknown' END AS f, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY 1, 2)
+    SELECT scope_key, f = 'safe' AND n > 0 AS moves, CASE WHEN f <> 'safe' THEN 'freshness_' || f WHEN n = 0 THEN 'nothing_exported' ELSE '' END AS reason FROM s""")
+def s3_advance_marks(spark: SparkSession, sf: str) -> DataFrame:
+    state = F.when(c("user_id") % 3 == 0, "safe").when(c("user_id") % 3 == 1, "unsafe").otherwise("unknown")
+    own = B.table(spark, sf, "events").groupBy(F.concat(F.lit("u"), c("user_id").cast("string")).alias("scope_key"), state.alias("freshness"))
+    return pull.advance_marks(own.agg(F.count_if(c("event_type") == "error").alias("count"), F.lit("2024-01-30").alias("last")))
+
+
+@query(f"SELECT 'u' || user_id AS scope_key, CASE WHEN user_id % 2 = 0 THEN '2024-02-01' ELSE max({DAY}) END AS last_clinical_date, count(*)::BIGINT AS last_record_count FROM events GROUP BY user_id")
+def io6_pull_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks of all scopes written, half of them moved on, and read back."""
+    from sheaf.sources.shared import new_folder
+    from sheaf.sources.store import read_pull_state, write_pull_state
+
+    own = B.table(spark, sf, "events").groupBy(F.concat(F.lit("u"), c("user_id").cast("string")).alias("scope_key"), (c("user_id") % 2 == 0).alias("even"))
+    marks = own.agg(F.max(F.date_format("ts", "yyyy-MM-dd")).alias("last_clinical_date"), F.count("*").alias("last_record_count"), F.max(c("ts").cast("timestamp")).alias("updated_at"))
+    folder = new_folder(spark, "marks")
+    write_pull_state(spark, folder, marks.drop("even"))
+    write_pull_state(spark, folder, marks.where("even").drop("even").withColumn("last_clinical_date", F.lit("2024-02-01")))
+    return read_pull_state(spark, folder).select("scope_key", "last_clinical_date", "last_record_count")
