@@ -32,7 +32,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the remaining documents."""
-    return bpe.encode(docs.select("doc_id", "text"), ids="ids").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return bpe.encode(docs, ids="ids", keep=["doc_id"]).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [("quality_classifier", _quality), ("line_dedup", _line_dedup), ("ngram_jaccard", _near_duplicates), ("decontamination", _decontaminate), ("bpe", _encode)]
