@@ -41,3 +41,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that a Python task takes at once.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of bounded bytes.
+
+    Spark's 64 MB of text become several times that as Python objects, in each of an
+    executor's workers, and workers keep what they once took.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

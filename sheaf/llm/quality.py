@@ -19,16 +19,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise
+from sheaf.llm.common import materialise, small_batches
 from sheaf.llm.words import TABLE
 
 #: Labelled rows that the document models are fitted on, at most.
 TRAIN_ROWS = 4000
 SLOTS = 1 << 18
 HEADS = ("quality", "toxic")
+#: Bytes of the beginnings of words that count beside the words.
+STEMS = (5, 6, 7, 8)
 #: What is no mark to blanks: letters, digits, bytes beyond ASCII, white space.
 MARKS = bytes(32 if b >= 128 or chr(b).isalnum() or b < 33 else b for b in range(256))
-SHAPES = 6
+SHAPES = 7
+#: Slots that a head's model uses, at most: those most associated with its label.
+CHOSEN = 400
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +41,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own = raw.translate(TABLE).split()
     marks = raw.translate(MARKS).split()
     different = set(own)
-    slots = {zlib.crc32(w) & (SLOTS - 1) for w in different} | {zlib.crc32(b"\0" + m[:3]) & (SLOTS - 1) for m in set(marks)}
+    # Inflected words share their beginnings.
+    starts = {w[:k] for w in different for k in STEMS if len(w) > k}
+    slots = {zlib.crc32(w) & (SLOTS - 1) for w in different} | {zlib.crc32(w, 1) & (SLOTS - 1) for w in starts} | {zlib.crc32(b"\0" + m[:3]) & (SLOTS - 1) for m in set(marks)}
     n = max(1, len(own))
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    shape = [len(marks) / n, len(different) / n, upper / max(1, len(raw)), sum(map(len, own)) / n / 10, np.log1p(n) / 10, raw.count(b"\n") / n]
+    shape = [len(marks) / n, len(different) / n, upper / max(1, len(raw)), sum(map(len, own)) / n / 10, np.log1p(n) / 10, raw.count(b"\n") / n, sum(a == b for a, b in zip(own, own[1:])) / n]
     return np.fromiter(slots, np.int64, len(slots)), np.array(shape)
 
 
@@ -56,40 +62,57 @@ class Linear:
         return w[:, slots].sum(1) + w[:, SLOTS:-1] @ shape + w[:, -1]
 
     @classmethod
-    def fit(cls, rows: list[tuple[list[int], list[float], int, int]], rounds: int = 150, decay: float = 2e-4) -> Linear:
-        """Logistic regression by full-batch Adam; slots of fewer than three rows carry no weight."""
+    def fit(cls, rows: list[tuple[list[int], list[float], int, int]], penalty: float = 1.0) -> Linear:
+        """Ridge logistic regression by Newton steps, for each head on the slots whose presence tells most about its label (log-likelihood ratio)."""
         sizes = np.array([len(r[0]) for r in rows])
         column = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
         row = np.repeat(np.arange(len(rows)), sizes)
-        often = np.bincount(column, minlength=SLOTS)[column] >= 3
-        column, row = column[often], row[often]
-        used, column = np.unique(column, return_inverse=True)
         shape = np.array([r[1] for r in rows]).reshape(len(rows), SHAPES)
+        mean, scale = shape.mean(0), shape.std(0) + 1e-9
+        n = np.bincount(column, minlength=SLOTS).astype(float)
         out = np.zeros((len(HEADS), SLOTS + SHAPES + 1), np.float32)
         for head in range(len(HEADS)):
             y = np.array([float(r[2 + head]) for r in rows])
-            w = np.zeros(len(used) + SHAPES + 1)
-            m, v = np.zeros_like(w), np.zeros_like(w)
-            for step in range(1, rounds + 1):
-                z = np.bincount(row, w[column], len(rows)) + shape @ w[len(used) : -1] + w[-1]
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-                g = np.concatenate([np.bincount(column, error[row], len(used)), shape.T @ error, [error.sum()]])
-                g[:-1] += decay * w[:-1]
-                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-            out[head, used], out[head, SLOTS:] = w[: len(used)], w[len(used) :]
+            chosen = _telling(n, np.bincount(column, y[row], SLOTS), y)
+            place = np.full(SLOTS, -1)
+            place[chosen] = np.arange(len(chosen))
+            x = np.zeros((len(rows), len(chosen) + SHAPES + 1))
+            here = place[column] >= 0
+            x[row[here], place[column[here]]] = 1
+            x[:, len(chosen) : -1], x[:, -1] = (shape - mean) / scale, 1
+            w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+            ridge[-1] = 1e-3
+            for _ in range(25):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+                w += step
+                if np.abs(step).max() < 1e-5:
+                    break
+            out[head, chosen] = w[: len(chosen)]
+            out[head, SLOTS:-1] = w[len(chosen) : -1] / scale
+            out[head, -1] = w[-1] - (w[len(chosen) : -1] * mean / scale).sum()
         return cls(out)
 
 
+def _telling(n: np.ndarray, positive: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots with a clear association: twice the log-likelihood ratio of their 2 x 2 table, the largest `CHOSEN` above 11."""
+    total, ones = len(y), y.sum()
+    cells = [(positive, n * ones / total), (n - positive, n * (1 - ones / total)), (ones - positive, (total - n) * ones / total), (total - n - ones + positive, (total - n) * (1 - ones / total))]
+    g = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0) for o, e in cells)
+    g[n < 3] = 0
+    best = np.argsort(-g, kind="stable")[:CHOSEN]
+    return np.sort(best[g[best] > 11])
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Linear:
     """Fit the document models on at most `rows` labelled rows, those with the smallest hash of their key.
 
     Rows with a null label, key or text are left out. Of a key labelled twice both
     labels count. Without any usable row all log odds are 0.
     """
-    chosen = labels.select(F.col(key).alias("k"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna()
+    chosen = labels.select(F.col(key).cast("string").alias("k"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna()
     chosen = chosen.orderBy(F.xxhash64("k"), "k", *HEADS).limit(rows)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna()
+    texts = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).dropna()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.DataFrame({"slots": [m[0] for m in made], "shape": [m[1] for m in made], **{h: batch[h] for h in HEADS}, "k": batch["k"]})
 
     # At most `rows` labels, so their broadcast is bounded.
-    seen = texts.join(F.broadcast(chosen), "k").mapInPandas(task, "slots array<long>, shape array<double>, quality int, toxic int, k long")
+    seen = texts.join(F.broadcast(chosen), "k").mapInPandas(task, "slots array<long>, shape array<double>, quality int, toxic int, k string")
     got = seen.orderBy(F.xxhash64("k"), "k", F.xxhash64("slots")).limit(rows).collect()
     return Linear.fit([(r["slots"], r["shape"], r["quality"], r["toxic"]) for r in got]) if got else Linear(np.zeros((len(HEADS), SLOTS + SHAPES + 1), np.float32))
 
@@ -159,6 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     own. Repeated rows count each. Texts are scored once for the sums and once for
     the result, so that no text is shuffled.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, rows))
 
     @F.pandas_udf("quality double, toxic double")
