@@ -16,26 +16,32 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from sheaf.llm.common import small_batches
 
 END = "</w>"
 #: White space as the file's own expressions mean it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The splitting pattern of the vocabulary, without white space. Fixed values.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Texts in work at once.
+SLICE = 500
 #: Prefixes longer than this are not remembered beyond their word.
 SHARED = 32
 #: What str.split() takes for white space beyond that.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 BLANK = regex.compile(f"[{SPACE}]+")
 #: Words and token pairs that a task remembers at once.
-STORE = 300_000
+STORE = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -57,46 +63,39 @@ class Bpe:
         for t, i in [*vocab.items(), *self.special.items()]:
             self.text[i] = t
         self._around = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        letters = byte_letters()
-        self._letters = {b: c for b, c in enumerate(letters)}
-        #: Symbols: a letter, or a letter at the end of a word, which is one of its own.
-        spelled: dict[int, str] = {}
-        for c in letters:
-            spelled[vocab[c]] = c
-            spelled[vocab[c + END]] = self._last(c)
-        #: Of a pair of tokens that merge: its rank.
-        self.rank: dict[tuple[int, int], int] = {}
+        #: Of a token: its bytes, and whether a word ends with it. The last byte of a word is a symbol of its own, 256 above.
+        spelled: dict[int, tuple[bytes, bool]] = {}
+        for b, c in enumerate(byte_letters()):
+            spelled[vocab[c]] = (bytes([b]), False)
+            spelled[vocab[c + END]] = (bytes([b]), True)
+        #: Of a pair of tokens that merge (one number): its rank.
+        self.rank: dict[int, int] = {}
         #: Of a token: how it was merged.
         self.tree: dict[int, tuple[int, int, int]] = {}
-        for r, (a, b) in enumerate(data["model"]["merges"]):
-            left, right = vocab[a], vocab[b]
-            self.rank.setdefault((left, right), r)
-        self._right: dict[int, list[tuple[int, int]]] = {}
-        self._left: dict[int, list[tuple[int, int]]] = {}
-        never = len(self.rank) + 1
-        for i in spelled:
-            self._right[i] = self._left[i] = [(i, never)]
-        for (left, right), r in sorted(self.rank.items(), key=lambda x: x[1]):
-            made = vocab[(self.text[left].removesuffix(END) if spelled.get(left, "")[-1:] > "￿" else self.text[left]) + self.text[right]]
+        for r, (left, right) in enumerate(data["model"]["merges"]):
+            self.rank.setdefault(vocab[left] << 20 | vocab[right], r)
+        for pair, r in sorted(self.rank.items(), key=lambda x: x[1]):
+            left, right = pair >> 20, pair & 0xFFFFF
             # Only a token that its own encoding gives can be part of an encoding.
-            if made in spelled or left not in spelled or right not in spelled or not self._go_together(left, right, r):
+            if left not in spelled or right not in spelled or spelled[left][1] or not self._go_together(left, right, r):
                 continue
-            spelled[made] = spelled[left] + spelled[right]
-            self.tree[made] = (left, right, r)
-            self._right[made] = [(made, never), (right, r), *self._right[right][1:]]
-            self._left[made] = [(made, never), (left, r), *self._left[left][1:]]
+            made = vocab[self.text[left] + self.text[right]]
+            if made not in spelled:
+                spelled[made] = (spelled[left][0] + spelled[right][0], spelled[right][1])
+                self.tree[made] = (left, right, r)
         # The automaton: from a place in a word backwards, one state a symbol, with the token that ends there.
-        self.steps: list[dict[str, int]] = [{}]
-        self.token: list[int] = [-1]
-        for i, s in spelled.items():
+        self.steps: dict[int, int] = {}
+        token = [-1]
+        for i, (raw, ends) in spelled.items():
             at = 0
-            for c in reversed(s):
-                if c not in self.steps[at]:
-                    self.steps[at][c] = len(self.steps)
-                    self.steps.append({})
-                    self.token.append(-1)
-                at = self.steps[at][c]
-            self.token[at] = i
+            for k in range(len(raw) - 1, -1, -1):
+                step = at << 9 | raw[k] | (ends and k == len(raw) - 1) << 8
+                if step not in self.steps:
+                    self.steps[step] = len(token)
+                    token.append(-1)
+                at = self.steps[step]
+            token[at] = i
+        self.token = array("i", token)
         self._clear()
 
     def _clear(self) -> None:
@@ -109,10 +108,6 @@ class Bpe:
         self.__dict__.update(state)
         self._clear()
 
-    @staticmethod
-    def _last(letter: str) -> str:
-        return chr(ord(letter) + 0x10000)
-
     def _go_together(self, left: int, right: int, before: int | None = None) -> bool:
         """Whether merging leaves the border between two tokens alone (at ranks below `before`).
 
@@ -121,13 +116,21 @@ class Bpe:
         the border would merge if its rank comes first. Of equal ranks the one further
         left comes first.
         """
-        rank = self.rank
-        for a, gone in self._right[left]:
-            for b, taken in self._left[right]:
-                r = rank.get((a, b))
+        rank, tree = self.rank, self.tree
+        never = len(rank) + 1
+        a, gone = left, never
+        while True:
+            b, taken = right, never
+            while True:
+                r = rank.get(a << 20 | b)
                 if r is not None and r < gone and r <= taken and (before is None or r < before):
                     return False
-        return True
+                if b not in tree:
+                    break
+                b, _, taken = tree[b]
+            if a not in tree:
+                return True
+            _, a, gone = tree[a]
 
     def word(self, piece: str) -> list[int]:
         """Ids of one piece of text.
@@ -135,38 +138,38 @@ class Bpe:
         A node is the last token of a prefix and the node of what is left before it.
         Words share the nodes of their common prefixes, all but the end of a word.
         """
-        s = "".join([self._letters[b] for b in piece.encode("utf-8", "replace")])
+        s = piece.encode("utf-8", "replace")
+        size = len(s)
         nodes, pairs, steps, token = self._nodes, self._pairs, self.steps, self.token
         if len(pairs) > STORE:
             pairs.clear()
         if len(nodes) > STORE:
             nodes.clear()
-        local: list = [None] * (len(s) + 1)
-        known = min(len(s) - 1, SHARED)
+        local: list = [None] * (size + 1)
+        known = min(size - 1, SHARED)
         while known and s[:known] not in nodes:
             known -= 1
-        for end in range(known + 1, len(s) + 1):
-            if end == len(s):
-                s = s[:-1] + self._last(s[-1])
-            at, k = 0, end
-            while True:
-                k -= 1
-                at = steps[at][s[k]]  # the right token is met before the steps end
+        for end in range(known + 1, size + 1):
+            k = end - 1
+            at = steps[s[k] | (end == size) << 8]
+            while True:  # the right token is met before the steps end
                 t = token[at]
                 if t >= 0:
                     if k == 0:
                         node = (t, None)
                         break
                     before = local[k] or nodes[s[:k]]
-                    pair = (before[0], t)
+                    pair = before[0] << 20 | t
                     ok = pairs.get(pair)
                     if ok is None:
-                        ok = pairs[pair] = self._go_together(*pair)
+                        ok = pairs[pair] = self._go_together(before[0], t)
                     if ok:
                         node = (t, before)
                         break
+                k -= 1
+                at = steps[at << 9 | s[k]]
             local[end] = node
-            if end <= SHARED and end < len(s):
+            if end <= SHARED and end < size:
                 nodes[s[:end]] = node
         ids = []
         while node:
@@ -227,18 +230,28 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """`docs` with an array of token ids; null and empty texts have an empty one."""
+def _mapped(docs: DataFrame, text: str, keep: list[str], made: dict[str, pa.DataType], schema: StructType, vocabulary: str | None, run: Callable[[Bpe, list[str | None]], list[list]]) -> DataFrame:
+    """Columns `keep` and new ones from the texts, a few hundred at a time, so that a task holds few texts and ids at once."""
+    small_batches(docs.sparkSession)
     bpe = docs.sparkSession.sparkContext.broadcast(Bpe(vocabulary or word_vocabulary()))
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                columns = run(bpe.value, some.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), *(pa.array(c, t) for c, t in zip(columns, made.values(), strict=True))], names=[*keep, *made])
+
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(task, schema)
+
 
-        for some in texts:
-            yield pd.Series([np.frombuffer(bpe.value.packed(t), "<u4").astype("int32") for t in some], dtype=object)
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Columns `keep` (all by default) with an array of token ids; null and empty texts have an empty one."""
+    import numpy as np
 
-    return docs.withColumn(ids, run(F.col(text)))
+    keep = docs.columns if keep is None else keep
+    schema = StructType([*(docs.schema[k] for k in keep), StructField(ids, ArrayType(IntegerType()))])
+    return _mapped(docs, text, keep, {ids: pa.list_(pa.int32())}, schema, vocabulary, lambda bpe, texts: [[np.frombuffer(bpe.packed(t), "<u4").astype("int32") for t in texts]])
 
 
 def decode(frame: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -253,18 +266,18 @@ def decode(frame: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary
     return frame.withColumn(text, run(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> Column:
-    """A struct column: number of tokens, SHA-256 of the ids and of the text decoded from them."""
-    bpe = docs.sparkSession.sparkContext.broadcast(Bpe(vocabulary or word_vocabulary()))
+def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Columns `keep` with `n_tokens`, and SHA-256 of the ids and of the text decoded from them."""
+
+    def run(bpe: Bpe, texts: list[str | None]) -> list[list]:
+        rows = []
+        for t in texts:
+            packed = bpe.packed(t)
+            ids = unpacked(packed)
+            rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for some in texts:
-            rows = []
-            for t in some:
-                packed = bpe.value.packed(t)
-                ids = unpacked(packed)
-                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.value.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run(F.col(text))
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    schema = StructType([*(docs.schema[k] for k in keep), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return _mapped(docs, text, keep, made, schema, vocabulary, run)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.llm.common import small_batches
 from sheaf.llm.fmindex import FmIndex
 from sheaf.llm.words import WORD, words
 
@@ -162,6 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", res
     Null and empty texts have no words. Every occurrence counts, repeated rows and
     all; an empty benchmark finds nothing. `result` must not be a column of `docs`.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = docs.withColumn(result, F.lit(None).cast(RESULT))
     for phrases in blocks(benchmark, window=window, block_bytes=block_bytes):
@@ -200,6 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     Words that a cut brings together may spell a phrase again: the texts that were
     cut are searched again until nothing is found.
     """
+    small_batches(docs.sparkSession)
     sent = [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, window=window, block_bytes=block_bytes)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise
+from sheaf.llm.common import materialise, small_batches
 from sheaf.llm.components import components
 from sheaf.llm.words import words
 
@@ -38,7 +38,7 @@ TOLERANCE = 1e-7
 BANDS, ROWS, STEP = 32, 5, 16
 HASHES = BANDS * ROWS
 CHUNK = 256
-STORE = 400_000
+STORE = 100_000
 _random = np.random.default_rng(20)
 _A = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -205,6 +205,7 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), s.astype(np.uint8).tobytes(), (bands ^ (bands >> np.uint64(29))).view(np.int64)))
             yield pd.DataFrame(rows, columns=["cls", "sig", "bands"])
 
+    small_batches(docs.sparkSession)
     own = docs.where(F.col(text).isNotNull())
     return own.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), run(F.col(text)).alias("p")).select("id", "th", "p.*")
 

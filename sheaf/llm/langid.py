@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import small_batches
+
 #: Units of each direction, bytes of a segment, segments side by side.
 UNITS, SEGMENT, LANES = 8, 48, 2048
 #: Labelled documents of a language that train the network, at most about, and segments of each.
@@ -187,6 +189,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Col
     Null texts and texts without a letter are `und` with score 0, as is everything
     without a network. Equal scores go to the label that sorts first.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("lang string, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import ann, bpe, chat, decontam, jaccard, langid, linededup, pii, quality, warc
 from sheaf.llm.common import table
+from sheaf.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text encoded, and decoded from the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", bpe.round_trip(docs).alias("r")).select("doc_id", "r.*")
+    return bpe.round_trip(docs)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(alone)
 
 
-from sheaf.llm.sql import SQL  # noqa: E402, F401
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op6_language_id, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join)}

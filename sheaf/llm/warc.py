@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise, new_folder
+from sheaf.llm.common import materialise, new_folder, small_batches
 
 #: Lines of an index block, and bytes after which an archive is closed.
 BLOCK_LINES = 3000
@@ -143,6 +143,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
+    small_batches(pages.sparkSession)
     keyed = pages.withColumn("key", capture_key(F.col("url"), F.col("page_id"))).select("key", "page_id", "url", "payload", "refers_to")
     return materialise(keyed.mapInArrow(task, CAPTURE), "captures")
 
