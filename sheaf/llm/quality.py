@@ -174,14 +174,16 @@ def site_posteriors(scores: DataFrame) -> DataFrame:
     return out.select("host", "path", *((_odds(F.col(f"path_{h}")) - _odds(F.lit(prior[h]))).alias(f"shift_{h}") for h in HEADS))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, result: str = "judged") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, result: str = "judged", keep: list[str] | None = None) -> DataFrame:
     """`docs` with a struct column: quality and toxicity (posterior probabilities), and `keep`.
 
     A document is kept if it is likelier good than not, and likelier clean than
     toxic. Null texts score as empty ones, null hosts and paths are sites of their
-    own. Repeated rows count each. Texts are scored once for the sums and once for
-    the result, so that no text is shuffled.
+    own. Repeated rows count each. With `keep`, only these columns come
+    back. If the text is not among them the scores are written once; else texts are
+    scored once for the sums and once for the result, so that no text is shuffled.
     """
+    columns = docs.columns if keep is None else keep
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, rows))
 
@@ -190,12 +192,13 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for some in texts:
             yield pd.DataFrame(np.array([model.value.log_odds(t) for t in some]).reshape(len(some), len(HEADS)), columns=list(HEADS))
 
-    one = score(F.col(text))
-    thin = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), one.alias("s")).select("host", "path", "s.*")
+    scored = docs.withColumn("__q_s", score(F.col(text)))
+    if text not in columns:
+        scored = materialise(scored.select(*dict.fromkeys([*columns, host, path]), "__q_s"), "scores")
+    thin = scored.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "__q_s.*")
     sites = materialise(site_posteriors(thin), "sites")
     sites = sites.select(F.col("host").alias("__q_host"), F.col("path").alias("__q_path"), *(F.col(f"shift_{h}").alias(f"__q_{h}") for h in HEADS))
-    scored = docs.withColumn("__q_s", one)
     joined = scored.join(sites, scored[host].cast("string").eqNullSafe(sites["__q_host"]) & scored[path].cast("string").eqNullSafe(sites["__q_path"]), "left")
     p = {h: _probability(F.col("__q_s")[h] + F.coalesce(f"__q_{h}", F.lit(0.0))) for h in HEADS}
     made = F.struct(p["quality"].alias("quality"), p["toxic"].alias("toxic"), ((p["quality"] >= 0.5) & (p["toxic"] < 0.5)).alias("keep"))
-    return joined.withColumn(result, made).select(*docs.columns, result)
+    return joined.withColumn(result, made).select(*columns, result)
