@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.sources.shared import new_folder
+from sheaf.sources.shared import materialise, new_folder  # noqa: F401  (used beside what is here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,17 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    This cuts the lineage in a place that outlives any executor, and gives the
-    planner the table's true size, on which broadcasts depend.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of rows that a Python task takes at once.
 BATCH_BYTES = "8m"
 

@@ -194,3 +194,32 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_merge(stream, f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint").awaitTermination()
     found = {tuple(r) for r in store.read_generation(spark, f"file://{tmp_path}/store", "records").select("id", "title").collect()}
     assert found == {tuple(r) for r in merge.latest_in_batch(rows).select("id", "title").collect()}
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Range bounds from small samples, and small partitions kept apart, as large tables have it."""
+    own = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)
+
+
+def test_global_numbers_above_the_sample_size(spark, many_ranges):
+    n = 50_000
+    rows = spark.range(n).select("id", F.xxhash64("id").alias("key"))
+    found = [r["number"] for r in records.number_globally(rows, ["key"]).orderBy("key").select("number").collect()]
+    assert found == list(range(1, n + 1))
+
+
+def test_numbers_of_a_scope_with_most_rows(spark, many_ranges):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, (F.col("id") % 70).cast("string")).when(F.col("id") % 10 != 1, "hot").alias("scope"), F.xxhash64("id").alias("key"))
+    out = records.number_sections(rows, ["scope"], [F.col("key").desc()])
+    places = {}
+    for r in sorted(out.select("id", "scope", "key", "number", F.spark_partition_id().alias("task")).collect(), key=lambda r: -r["key"]):
+        places.setdefault(r["scope"], []).append((r["number"], r["task"]))
+    assert sum(map(len, places.values())) == 20_000 and None in places
+    assert all([n for n, _ in own] == list(range(1, len(own) + 1)) for own in places.values())
+    assert len({task for _, task in places["hot"]}) > 1
