@@ -62,13 +62,13 @@ def text_hash(c: Column) -> Column:
     """A 32-bit hash in base 36: from 5381, times 33 and xor with each character's code.
 
     Short ids need it for compatibility; at scale two texts in a scope collide near
-    77,000 rows, so joins go by `strong_key`.
+    77,000 rows, so merges also go by `content_key`.
     """
     codes = F.transform(F.split(or_empty(c), "(?!^)(?!$)"), lambda x: F.ascii(x).cast("long"))
     own = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(x))
     return F.lower(F.conv(F.when(or_empty(c) == "", 5381).otherwise(own).cast("string"), 10, 36))
 
 
-def strong_key(*cs: Column) -> Column:
-    """A 64-bit key of several texts, nulls as ''."""
-    return F.xxhash64(*(or_empty(c) for c in cs))
+def content_key(*cs: Column | str) -> Column:
+    """A 256-bit key of several texts, nulls as ''."""
+    return F.sha2(F.concat_ws("\0", *(or_empty(c) for c in cs)), 256)

@@ -17,6 +17,11 @@ def _shell() -> Column:
     return clinical.is_invalid_shell(F.col("category"), F.col("record_type"), F.col("title"), text, F.col("source_url"))
 
 
+def row_key(rows: DataFrame) -> list[str]:
+    """What names a row: the id, with `content_key` (never null) where rows have one, as made ids end in a hash of 32 bits."""
+    return ["id", "content_key"] if "content_key" in rows.columns else ["id"]
+
+
 def orphan_cards(cards: DataFrame, records: DataFrame, incoming: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Cards whose record is gone once `deleted` went and `incoming` came."""
     left = records.select("id")
@@ -36,32 +41,33 @@ def records_without_cards(records: DataFrame, cards: DataFrame, deleted: DataFra
 
 
 def ids_to_replace(existing: DataFrame, incoming: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Ids of existing rows whose source was read again (`source_url` of `sources`, else of `incoming`) and that it no longer gives.
+    """Ids (see `row_key`) of existing rows whose source was read again (`source_url` of `sources`, else of `incoming`) and that it no longer gives.
 
     A visit's past details also go when another page of the visit came. A source
     that gives no row at all deletes its rows. Empty sources match nothing, so they
     make no hot key.
     """
+    names = row_key(existing)
     read = (sources if sources is not None else incoming).select("source_url").distinct()
-    keyed = existing.where("id is not null and id <> ''").select("id", source_url_key(F.col("source_url")).alias("key"), visit_key(F.col("source_url")).alias("visit"), is_past_visit_detail(F.col("source_url")).alias("past"))
+    keyed = existing.where("id is not null and id <> ''").select(*names, source_url_key(F.col("source_url")).alias("key"), visit_key(F.col("source_url")).alias("visit"), is_past_visit_detail(F.col("source_url")).alias("past"))
     urls = read.select(source_url_key(F.col("source_url")).alias("key")).where("key <> ''").distinct()
     visits = read.select(visit_key(F.col("source_url")).alias("visit")).where("visit <> ''").distinct()
-    same = keyed.where("key <> ''").join(urls, "key", "left_semi").select("id")
-    past = keyed.where("past and visit <> ''").join(visits, "visit", "left_semi").select("id")
-    return same.unionByName(past).distinct().join(incoming.select("id"), "id", "left_anti")
+    same = keyed.where("key <> ''").join(urls, "key", "left_semi").select(*names)
+    past = keyed.where("past and visit <> ''").join(visits, "visit", "left_semi").select(*names)
+    return same.unionByName(past).distinct().join(incoming.select(*names), names, "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """The store after a batch with `delta` for each row: inserted, updated, unchanged, deleted, untouched.
 
-    `incoming` has one row an id (see `latest_in_batch`). Rows are compared by all
+    `incoming` has one row a key (see `row_key` and `latest_in_batch`). Rows are compared by all
     columns, null-safe. Deleted rows are kept as such; the store is what is not deleted.
     """
-    columns = existing.columns
-    gone = ids_to_replace(existing, incoming, sources).select("id", F.lit(True).alias("gone"))
-    old = existing.join(gone, "id", "left").select("id", F.struct(*columns).alias("old"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    new = incoming.select("id", F.struct(*columns).alias("new"))
-    both = old.join(new, "id", "full_outer")
+    columns, names = existing.columns, row_key(existing)
+    gone = ids_to_replace(existing, incoming, sources).select(*names, F.lit(True).alias("gone"))
+    old = existing.join(gone, names, "left").select(*names, F.struct(*columns).alias("old"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    new = incoming.select(*names, F.struct(*columns).alias("new"))
+    both = old.join(new, names, "full_outer")
     delta = (
         F.when(F.col("old").isNull(), "inserted")
         .when(F.col("new").isNotNull(), F.when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("updated"))
@@ -72,10 +78,17 @@ def upsert(existing: DataFrame, incoming: DataFrame, sources: DataFrame | None =
 
 
 def latest_in_batch(rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """Of a batch, each source's last reading, and of an id its last row."""
-    last = rows.groupBy(source_url_key(F.col("source_url")).alias("__key")).agg(F.max(seq).alias("__last"))
-    kept = rows.withColumn("__key", source_url_key(F.col("source_url"))).join(last, "__key").where(F.col(seq) == F.col("__last"))
-    return kept.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.col(seq)).alias("r")).select("r.*")
+    """Of a batch, each source's last reading, and of a key (see `row_key`) its last row.
+
+    Rows without a source or `seq` belong to no reading and all pass the first rule.
+    """
+    url = source_url_key(F.col("source_url"))
+    keyed = rows.withColumn("__read", F.coalesce((url != "") & F.col(seq).isNotNull(), F.lit(False)))
+    # Rows of no reading are spread by their id.
+    keyed = keyed.withColumn("__key", F.when(F.col("__read"), url).otherwise(F.concat(F.lit("\0"), or_empty("id"))))
+    last = keyed.where("__read").groupBy("__key").agg(F.max(seq).alias("__last"))
+    kept = keyed.join(last, "__key", "left").where(~F.col("__read") | (F.col(seq) == F.col("__last")))
+    return kept.groupBy(*row_key(rows)).agg(F.max_by(F.struct(*rows.columns), F.struct(seq)).alias("r")).select("r.*")
 
 
 def repaired_cards(records: DataFrame, cards: DataFrame) -> DataFrame:

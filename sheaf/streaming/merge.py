@@ -14,12 +14,13 @@ def merge_batch(spark: SparkSession, store: str, batch: DataFrame, batch_id: int
     done = read_generation(spark, store, "progress")
     if done is not None and done.first()["batch_id"] >= batch_id:
         return
-    incoming = latest_in_batch(batch, seq)
     old = read_generation(spark, store, "records")
+    # The store's columns also say what names a row.
+    incoming = latest_in_batch(batch if old is None else batch.select(*old.columns), seq)
     if old is None:
         merged = incoming
     else:
-        merged = upsert(old, incoming.select(*old.columns)).where("delta <> 'deleted'").drop("delta")
+        merged = upsert(old, incoming).where("delta <> 'deleted'").drop("delta")
     write_generation({"records": merged, "progress": spark.createDataFrame([(batch_id,)], "batch_id long")}, store)
 
 

@@ -1,5 +1,7 @@
 """Small cases of the record operators."""
 
+import itertools
+import string
 from datetime import datetime, timezone
 
 import pytest
@@ -223,3 +225,39 @@ def test_numbers_of_a_scope_with_most_rows(spark, many_ranges):
     assert sum(map(len, places.values())) == 20_000 and None in places
     assert all([n for n, _ in own] == list(range(1, len(own) + 1)) for own in places.values())
     assert len({task for _, task in places["hot"]}) > 1
+
+
+def colliding_texts():
+    """Two texts of one title whose ids' hash, with the title before them, is the same."""
+    title, seen = "Follow up of the plan", {}
+    start = f"{title}\n{title}\nAll is well with "
+    for a, b, c in itertools.product(string.ascii_letters + string.digits, repeat=3):
+        h = 5381
+        for ch in start + a + b + c:
+            h = ((h * 33) & 0xFFFFFFFF) ^ ord(ch)
+        body = f"{title}\nAll is well with {a}{b}{c}"
+        if h in seen:
+            return seen[h], body
+        seen[h] = body
+    raise AssertionError("no collision")
+
+
+def test_ingest_keeps_texts_whose_ids_collide(spark):
+    from sheaf.jobs.export import ingest_job
+
+    one_, two = (t.replace("\n", "<br>") for t in colliding_texts())
+    url = "https://h.example/app/letters/"
+    page = "page_id long, url string, html string"
+    first = ingest_job(spark.createDataFrame([(1, url + "1", f"<p>{one_}</p>"), (2, url + "2", f"<p>{two}</p>")], page))
+    rows = first.collect()
+    assert len({r["id"] for r in rows}) == 1 and {r["raw_text"] for r in rows} == set(colliding_texts())
+    same_page = ingest_job(spark.createDataFrame([(1, url + "1", f"<p>{one_}</p><p>{two}</p>")], page))
+    assert {r["raw_text"] for r in same_page.collect()} == set(colliding_texts())
+    stored = spark.createDataFrame(rows, first.schema).drop("delta")
+    again = ingest_job(spark.createDataFrame([(3, url + "2", f"<p>{one_}</p>"), (4, url + "1", "")], page), stored).collect()
+    assert {r["raw_text"]: r["delta"] for r in again} == {colliding_texts()[0]: "updated", colliding_texts()[1]: "deleted"}
+
+
+def test_pages_without_an_address_are_no_one_source(spark):
+    rows = spark.createDataFrame([("1", None, "a", 1.0, 1), ("2", "", "b", 1.0, 2), ("2", "", "c", 1.0, 3), ("3", "s", "d", 1.0, None), ("4", "s", "e", 1.0, 4), ("5", "s", "f", 1.0, 5)], RECORD)
+    assert {(r["id"], r["title"]) for r in merge.latest_in_batch(rows).collect()} == {("1", "a"), ("2", "c"), ("3", "d"), ("5", "f")}
