@@ -16,8 +16,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines."""
-    return linededup.drop_boilerplate(docs)
+    """Documents without their site's boilerplate lines. Exact copies, of which a later stage keeps one, count as one page."""
+    return linededup.drop_boilerplate(docs, copies=False)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,28 +24,34 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """Per host with boilerplate: `host`, `digests` (array of the lines' MD5).
 
     A page counts a line once, however often it repeats it. Blank lines never count.
+    Without `copies`, pages of a host with equal texts count as one page.
     """
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where("host is not null and text is not null")
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), F.md5))
-    holding = pages.select("host", F.explode(digests).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("k")).where(F.col("k") >= min_pages)
+    pages = pages.select("host", "text", digests.alias("digests"))
+    if not copies:
+        # Copies meet in the map-side aggregate; only digests are shuffled.
+        pages = pages.groupBy("host", F.sha2("text", 256).alias("page")).agg(F.first("digests").alias("digests"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    holding = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("k")).where(F.col("k") >= min_pages)
     over = holding.join(totals, "host").where(F.col("k") / F.col("pages") > max_ratio)
     return over.groupBy("host").agg(F.collect_list("digest").alias("digests"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None, copies: bool = True) -> DataFrame:
     """The same rows and columns, their texts without the boilerplate lines of their host.
 
     Null texts stay null and rows without a host keep their text: there is no site
     to compare with. A text that is boilerplate throughout becomes ''. Repeated rows
-    count as pages of their own. An empty table stays empty. With `dropped`, a column
+    count as pages of their own with `copies`; without, a text that a host holds many
+    times is one page and no boilerplate of its own. An empty table stays empty. With `dropped`, a column
     of that name counts the lines that went.
     """
-    bad = materialise(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"))
+    bad = materialise(boilerplate(docs, host, text, max_ratio, min_pages, copies), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"))
     joined = docs.join(bad, docs[host] == bad["__ld_host"], "left")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("__ld_digests"), F.md5(x)))
     none = F.col("__ld_digests").isNull()

@@ -28,3 +28,14 @@ def test_stages(spark, sf):
 def test_run_gives_what_the_stages_give(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 100
+
+
+def test_a_copied_document_survives(spark, sf):
+    clean = "A heron waits by the quiet river at dawn\nThen it strikes and lifts a silver fish"
+    bodies = [f"menu\nwords of page {i}: " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(20)]
+    rows = [(i, body, "en", "host", len(body)) for i, body in enumerate(bodies + [clean] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    texts = [r["text"] for r in docs.collect()]
+    assert texts.count(clean) == 1 and len(texts) == 21 and not any("menu" in t for t in texts)
