@@ -76,10 +76,12 @@ def lab_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("id"), c("p_name").alias("name"), text.alias("text"), "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
-def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A visit note for each order with its line items as embedded lab groups: record columns."""
+def note_text(spark: SparkSession, sf_dir: str, last: int | None = 3) -> DataFrame:
+    """A visit note for each order with its line items, up to number `last` or all, as embedded lab groups: record columns."""
     c = F.col
-    items = table(spark, sf_dir, "lineitem").where(c("l_linenumber") <= 3)
+    items = table(spark, sf_dir, "lineitem")
+    if last is not None:
+        items = items.where(c("l_linenumber") <= last)
     group = F.concat_ws("\n", F.concat(F.lit("Panel "), c("l_linenumber").cast("string")), F.concat(F.lit("Collection Time: "), F.date_format("l_shipdate", "MM/dd/yy"), F.lit(" 8:15 AM")), F.lit("Result Value Ref Range"), F.concat(F.lit("Item "), c("l_partkey").cast("string"), F.lit(" "), c("l_quantity").cast("int").cast("string"), F.lit(" mg/dL")))
     groups = items.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", group.alias("g")))), lambda x: x["g"]), "\n").alias("groups"))
     joined = table(spark, sf_dir, "orders").join(groups, "o_orderkey")

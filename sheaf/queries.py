@@ -319,6 +319,14 @@ def g6_derive_results(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy(c("derived_from.record_id").alias("note"), "title", c("derived_from.collection_time").alias("collection_time")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT 'n' || l_orderkey AS note, 'Panel ' || l_linenumber || ' (' || strftime(l_shipdate, '%B %-d, %Y') || ')' AS title, strftime(l_shipdate, '%m/%d/%y') || ' 8:15 AM' AS collection_time, count(*)::BIGINT AS n
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY ALL""")
+def g6_derive_all_results(spark: SparkSession, sf: str) -> DataFrame:
+    """As `g6_derive_results`, from notes that hold all line items of their order."""
+    made = labs.derive_results(B.note_text(spark, sf, None))
+    return made.groupBy(c("derived_from.record_id").alias("note"), "title", c("derived_from.collection_time").alias("collection_time")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT l_orderkey || '-' || l_linenumber AS id, p_name AS name, l_quantity::INT::VARCHAR AS value, 'units' AS units, '1 - 25 units' AS reference_range, CASE WHEN l_quantity > 25 THEN 'High' ELSE '' END AS flag FROM lineitem JOIN part ON p_partkey = l_partkey")
 def g7_lab_components(spark: SparkSession, sf: str) -> DataFrame:
     return labs.lab_components(B.lab_text(spark, sf))

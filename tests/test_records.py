@@ -261,3 +261,11 @@ def test_ingest_keeps_texts_whose_ids_collide(spark):
 def test_pages_without_an_address_are_no_one_source(spark):
     rows = spark.createDataFrame([("1", None, "a", 1.0, 1), ("2", "", "b", 1.0, 2), ("2", "", "c", 1.0, 3), ("3", "s", "d", 1.0, None), ("4", "s", "e", 1.0, 4), ("5", "s", "f", 1.0, 5)], RECORD)
     assert {(r["id"], r["title"]) for r in merge.latest_in_batch(rows).collect()} == {("1", "a"), ("2", "c"), ("3", "d"), ("5", "f")}
+
+
+def test_notes_with_all_line_items(spark, sf):
+    from sheaf import bindings
+
+    items = bindings.table(spark, sf, "lineitem").join(bindings.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").count()
+    groups = F.size(F.split("raw_text", "Collection Time: ")) - 1
+    assert bindings.note_text(spark, sf, None).agg(F.sum(groups)).first()[0] == items
