@@ -627,6 +627,12 @@ def t1_order_records(spark: SparkSession, sf: str) -> DataFrame:
     return head.select("id", F.row_number().over(Window.orderBy(*records.order_key())).cast("long").alias("place"))
 
 
+@query(f"SELECT 'e' || event_id AS id, row_number() OVER (ORDER BY {DAY} DESC, ts DESC, 'e' || event_id) AS place FROM events")
+def t1_place_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every record in the order of `t1_order_records`, which gives the first 500."""
+    return records.number_globally(B.rec_events(spark, sf).select("id", "date", "extracted_at"), records.order_key()).select("id", c("number").alias("place"))
+
+
 @query("SELECT string_split(text, chr(10))[1] AS key, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING key <> '' ORDER BY 2 DESC, 1 LIMIT 12")
 def t2_top_counts(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.top_counts(B.rec_docs(spark, sf), c("title"), 12)

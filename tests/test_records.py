@@ -263,6 +263,13 @@ def test_pages_without_an_address_are_no_one_source(spark):
     assert {(r["id"], r["title"]) for r in merge.latest_in_batch(rows).collect()} == {("1", "a"), ("2", "c"), ("3", "d"), ("5", "f")}
 
 
+def test_every_record_has_a_place(spark, sf):
+    from sheaf import bindings, queries
+
+    places = [r["place"] for r in queries.t1_place_records(spark, sf).collect()]
+    assert sorted(places) == list(range(1, bindings.table(spark, sf, "events").count() + 1))
+
+
 def test_notes_with_all_line_items(spark, sf):
     from sheaf import bindings
 
