@@ -11,7 +11,7 @@ from sheaf.llm.common import materialise, table
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), result="__judged")
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), path="lang", result="__judged")
     return judged.where("__judged.keep").select(*docs.columns)
 
 

@@ -179,7 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     A document is kept if it is likelier good than not, and likelier clean than
     toxic. Null texts score as empty ones, null hosts and paths are sites of their
-    own. Repeated rows count each. With `keep`, only these columns come
+    own. The path level is language within a source by default, as documents have no
+    URL path. Repeated rows count each. With `keep`, only these columns come
     back. If the text is not among them the scores are written once; else texts are
     scored once for the sums and once for the result, so that no text is shuffled.
     """

@@ -15,7 +15,7 @@ from sheaf.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of each document, and whether it stays."""
-    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), path="lang", keep=["doc_id"])
     return judged.select("doc_id", F.col("judged.quality").alias("quality"), F.col("judged.toxic").alias("toxic"), F.col("judged.keep").alias("keep"))
 
 
