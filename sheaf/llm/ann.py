@@ -16,6 +16,7 @@ cannot rule out; on clustered data these are few, on isotropic data most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,16 @@ def _best(q_names: list[str], q: np.ndarray, x: np.ndarray, ids: list[list[int]]
     """For each query the ids of its k + 1 best rows (all with equal vectors), those scoring at least `least`."""
     qu, xu = q / np.linalg.norm(q, axis=1, keepdims=True), x / np.linalg.norm(x, axis=1, keepdims=True)
     near = qu @ xu.T
-    # One more for the query itself, and some for what rounding may swap.
-    top = min(k + 4, near.shape[1])
-    at = np.argpartition(-near, top - 1, axis=1)[:, :top]
-    row = np.repeat(np.arange(len(q)), top)
-    col = at.ravel()
+    # One more for the query itself; all that rounding may have put behind, so that ties are cut by id.
+    top = min(k + 1, near.shape[1])
+    last = -np.partition(-near, top - 1, axis=1)[:, top - 1]
+    row, col = np.nonzero(near >= last[:, None] - 1e-9)
     if least is not None:
         stay = near[row, col] >= least[row] - 1e-9
         row, col = row[stay], col[stay]
     scores = cosines(q[row], x[col]) if len(row) else np.zeros(0)
-    made = [(q_names[r], i, s) for r, c, s in zip(row.tolist(), col.tolist(), scores.tolist(), strict=True) for i in ids[c]]
+    found = sorted((r, -s, i) for r, c, s in zip(row.tolist(), col.tolist(), scores.tolist(), strict=True) for i in ids[c])
+    made = [(q_names[r], i, -s) for _, own in groupby(found, lambda x: x[0]) for r, s, i in islice(own, k + 1)]
     return _found([m[0] for m in made], [m[1] for m in made], [m[2] for m in made])
 
 

@@ -447,3 +447,12 @@ def test_components(spark):
     edges = [(f"{a:03d}", f"{a + 1:03d}") for a in range(0, 60)] + [("900", "901"), ("905", "905"), ("902", "900")]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert set(found.values()) == {"000", "900"} and found["060"] == "000" and found["902"] == "900" and "905" not in found
+
+
+def test_many_equal_cosines_are_cut_by_id():
+    random = np.random.default_rng(0)
+    base = random.normal(size=8)
+    x = np.vstack([random.normal(size=(2000, 8)), [base * 2.0**i for i in range(40)]])
+    ids = [[5000 + i] for i in range(2000)] + [[100 - i] for i in range(40)]
+    found = ann._best(["q"], base[None, :], x, ids, 5).to_pylist()
+    assert [r["id"] for r in found] == [61, 62, 63, 64, 65, 66]
