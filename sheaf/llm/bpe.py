@@ -4,8 +4,11 @@ Every prefix of a word has one BPE encoding, and so one last token. A token is t
 last one of a prefix if it ends there and goes with the last token of what is left
 before it. Tokens ending at a place come from an automaton over the vocabulary's
 suffixes; whether two tokens go together is read off their merge trees. The last
-tokens, followed backwards, spell the ids. Work is linear in a word's length, and
-words seen before come from a bounded store.
+tokens, followed backwards, spell the ids. Work is linear in a word's length (times
+that of the longest token), and words seen before come from bounded stores.
+
+Words are split and put in lower case by the Unicode versions of the tokenizers
+library; tables below hold what Python's `regex` and `str` tell otherwise.
 
 The vocabulary file is that of a public tokenizer; its path is a parameter.
 """
@@ -40,8 +43,37 @@ SHARED = 32
 #: What str.split() takes for white space beyond that.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 BLANK = regex.compile(f"[{SPACE}]+")
-#: Words and token pairs that a task remembers at once.
+#: Words, pieces and token pairs that a task remembers at once.
 STORE = 100_000
+#: What a word may have behind its letters and still be two plain pieces.
+STOPS = frozenset(".,;:!?")
+#: Ranges of code points that count as letters in later Unicode versions only. Fixed values.
+LATER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DF), (0xA7E0, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DFFF), (0x1E6C0, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Capitals of later Unicode versions, as ranges with the distance of their small letters. Fixed values.
+LATER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+LOWER = {c: chr(c + by) for a, b, by in LATER_CAPITALS for c in range(a, b + 1)}
+CAPITAL = regex.compile(f"[{''.join(map(chr, LOWER))}]")
+_later = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_LETTERS)
+LATER = regex.compile(f"[{_later}]")
+#: The splitting pattern for words with such characters.
+PIECE_LATER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_later}]]+|\p{{N}}|[[^{SPACE}\p{{L}}\p{{N}}]||[{_later}]]+")
+
+
+def pieces(words: str) -> list[str]:
+    """The pieces of what stands between white space."""
+    return (PIECE if words.isascii() or not LATER.search(words) else PIECE_LATER).findall(words)
+
+
+def lowered(text: str) -> str:
+    """A text in composed form and lower case."""
+    if text.isascii():
+        return text.lower()
+    own = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return (own.translate(LOWER) if CAPITAL.search(own) else own).lower()
 
 
 def byte_letters() -> list[str]:
@@ -186,7 +218,7 @@ class Bpe:
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
                 continue
-            plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
+            plain = lowered(part)
             self._words.turn()
             # No piece crosses white space, so what stands between is looked up whole.
             out.extend(map(self._words.__getitem__, plain.split() if SEPARATORS.isdisjoint(plain) else BLANK.split(plain)))
@@ -197,8 +229,8 @@ class Bpe:
         return " ".join(map(self.text.__getitem__, ids))
 
 
-class _Store(dict):
-    """Packed ids of what stands between white space: of the current generation, and of the one before it."""
+class _Pieces(dict):
+    """Packed ids of pieces: of the current generation, and of the one before it."""
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe, self.old = bpe, {}
@@ -209,11 +241,37 @@ class _Store(dict):
             self.old = dict(self)
             self.clear()
 
+    def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.bpe.word(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) < 40:
+            self[piece] = out
+        return out
+
+
+class _Store(_Pieces):
+    """Packed ids of what stands between white space, put together from those of its pieces."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        super().__init__(bpe)
+        self.pieces = _Pieces(bpe)
+
+    def turn(self) -> None:
+        super().turn()
+        self.pieces.turn()
+
     def __missing__(self, words: str) -> bytes:
         out = self.old.get(words)
         if out is None:
-            ids = [i for piece in PIECE.findall(words) for i in self.bpe.word(piece)]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            each = self.pieces
+            if words.isalpha():
+                out = each[words]
+            elif words[-1:] in STOPS and words[:-1].isalpha():
+                out = each[words[:-1]] + each[words[-1]]
+            else:
+                out = b"".join(map(each.__getitem__, pieces(words)))
         if len(words) < 40:
             self[words] = out
         return out
@@ -246,10 +304,10 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], made: dict[str, pa.Data
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
-    """Columns `keep` (all by default) with an array of token ids; null and empty texts have an empty one."""
+    """Columns `keep` (all by default) with an array of token ids; null and empty texts have an empty one. A column that is named like the ids gives way to them."""
     import numpy as np
 
-    keep = docs.columns if keep is None else keep
+    keep = [k for k in (docs.columns if keep is None else keep) if k != ids]
     schema = StructType([*(docs.schema[k] for k in keep), StructField(ids, ArrayType(IntegerType()))])
     return _mapped(docs, text, keep, {ids: pa.list_(pa.int32())}, schema, vocabulary, lambda bpe, texts: [[np.frombuffer(bpe.packed(t), "<u4").astype("int32") for t in texts]])
 
@@ -267,7 +325,7 @@ def decode(frame: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary
 
 
 def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
-    """Columns `keep` with `n_tokens`, and SHA-256 of the ids and of the text decoded from them."""
+    """Columns `keep` with `n_tokens`, and SHA-256 of the ids and of the text decoded from them. Columns with these names give way to them."""
 
     def run(bpe: Bpe, texts: list[str | None]) -> list[list]:
         rows = []
@@ -277,7 +335,7 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
     made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in made]
     schema = StructType([*(docs.schema[k] for k in keep), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
     return _mapped(docs, text, keep, made, schema, vocabulary, run)

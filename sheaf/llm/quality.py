@@ -5,7 +5,8 @@ for quality and for toxicity. The scores, summed by path and by host, are shrunk
 in two steps: a host's mean towards the global mean, a path's mean towards its
 host's. How strongly is estimated from the spread of the hosts (and of the paths
 in their hosts), so a sparse site adds next to nothing and a large one its own
-rate. A document's log odds move by what its path's posterior adds to the prior.
+rate. A document's log odds move by what the posterior of its path, made of all the
+path's other documents, adds to the prior.
 """
 
 from __future__ import annotations
@@ -134,12 +135,8 @@ def _odds(p: Column) -> Column:
     return F.log(bounded / (1 - bounded))
 
 
-def _shrink(groups: DataFrame, n: str, total: str, prior: Column, to: str) -> DataFrame:
-    """Add the posterior mean `to`: (total + k * prior) / (n + k).
-
-    k comes by moments from how far the group means lie from their priors beyond
-    what n rows would scatter; it is one number, so it passes through the driver.
-    """
+def _strength(groups: DataFrame, n: str, total: str, prior: Column) -> float:
+    """How many rows a prior is worth: by moments from how far the group means lie from their priors beyond what n rows would scatter."""
     mean = F.col(total) / F.col(n)
     r = groups.agg(
         F.sum(n).alias("n"),
@@ -147,31 +144,50 @@ def _shrink(groups: DataFrame, n: str, total: str, prior: Column, to: str) -> Da
         F.sum(F.col(n) * (mean - prior) ** 2).alias("between"),
         F.sum(F.col(n) * prior * (1 - prior)).alias("within"),
     ).first()
-    k = 1e6
-    if r["g"] and r["n"] > r["g"]:
-        v = r["within"] / r["n"]
-        extra = (r["between"] - r["g"] * v) / (r["n"] - r["g"])
-        k = min(max(v / extra - 1, 1.0), 1e6) if extra > 0 else 1e6
-    return groups.withColumn(to, (F.col(total) + k * prior) / (F.col(n) + k))
+    if not r["g"] or r["n"] <= r["g"]:
+        return 1e6
+    v = r["within"] / r["n"]
+    extra = (r["between"] - r["g"] * v) / (r["n"] - r["g"])
+    return min(max(v / extra - 1, 1.0), 1e6) if extra > 0 else 1e6
+
+
+def _posterior(total: Column, n: Column, prior: Column, k: float) -> Column:
+    return (total + k * prior) / (n + k)
+
+
+@dataclass
+class Sites:
+    """What is known of hosts and paths: one row a path (`host`, `path`, counts and sums of both), and what holds for all."""
+
+    rows: DataFrame
+    prior: dict[str, float]
+    host_strength: dict[str, float]
+    path_strength: dict[str, float]
+
+    def shift(self, head: str, own: Column) -> Column:
+        """What a row's site adds to its log odds: the posterior of its path from all rows but itself, whose evidence `own` counts once."""
+        c = F.col
+        host = _posterior(c(f"__q_host_{head}") - own, c("__q_host_n") - 1, F.lit(self.prior[head]), self.host_strength[head])
+        path = _posterior(c(f"__q_{head}") - own, c("__q_n") - 1, host, self.path_strength[head])
+        return _odds(path) - _odds(F.lit(self.prior[head]))
 
 
-def site_posteriors(scores: DataFrame) -> DataFrame:
-    """From `host`, `path` and both heads' log odds: per path and head the shift of log odds.
+def sites(scores: DataFrame) -> Sites:
+    """From `host`, `path` and both heads' log odds: sums by path and host, and how strongly each level shrinks towards the one above.
 
-    All sums are made with map-side aggregation; a host with a third of all rows is
-    one number from each task.
+    The global prior is the mean evidence of all rows. All sums are made with
+    map-side aggregation; a host with a third of all rows is one number from each
+    task. What passes through the driver is one row of numbers a level and head.
     """
     p = {h: _probability(F.col(h)) for h in HEADS}
-    paths = materialise(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(p[h]).alias(h) for h in HEADS)), "paths")
-    whole = paths.agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in HEADS)).first()
+    paths = materialise(scores.groupBy("host", "path").agg(F.count("*").alias("__q_n"), *(F.sum(p[h]).alias(f"__q_{h}") for h in HEADS)), "paths")
+    whole = paths.agg(F.sum("__q_n").alias("n"), *(F.sum(f"__q_{h}").alias(h) for h in HEADS)).first()
     prior = {h: (whole[h] / whole["n"] if whole["n"] else 0.5) for h in HEADS}
-    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), *(F.sum(h).alias(f"host_{h}") for h in HEADS))
-    for h in HEADS:
-        hosts = _shrink(hosts, "host_n", f"host_{h}", F.lit(prior[h]), f"mean_{h}")
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    for h in HEADS:
-        out = _shrink(out, "n", h, F.col(f"mean_{h}"), f"path_{h}")
-    return out.select("host", "path", *((_odds(F.col(f"path_{h}")) - _odds(F.lit(prior[h]))).alias(f"shift_{h}") for h in HEADS))
+    hosts = paths.groupBy(F.col("host").alias("__q_h")).agg(F.sum("__q_n").alias("__q_host_n"), *(F.sum(f"__q_{h}").alias(f"__q_host_{h}") for h in HEADS))
+    host_strength = {h: _strength(hosts, "__q_host_n", f"__q_host_{h}", F.lit(prior[h])) for h in HEADS}
+    rows = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("__q_h"))).drop("__q_h"), "sites")
+    mean = {h: _posterior(F.col(f"__q_host_{h}"), F.col("__q_host_n"), F.lit(prior[h]), host_strength[h]) for h in HEADS}
+    return Sites(rows, prior, host_strength, {h: _strength(rows, "__q_n", f"__q_{h}", mean[h]) for h in HEADS})
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, result: str = "judged", keep: list[str] | None = None) -> DataFrame:
@@ -180,11 +196,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     A document is kept if it is likelier good than not, and likelier clean than
     toxic. Null texts score as empty ones, null hosts and paths are sites of their
     own. The path level is language within a source by default, as documents have no
-    URL path. Repeated rows count each. With `keep`, only these columns come
-    back. If the text is not among them the scores are written once; else texts are
-    scored once for the sums and once for the result, so that no text is shuffled.
+    URL path. Repeated rows count each. With `keep`, only these columns come back;
+    a column named like the result gives way to it. Each text is scored once: rows
+    are written with their scores, and read back for the result, so that no text is
+    shuffled.
     """
-    columns = docs.columns if keep is None else keep
+    columns = [c for c in (docs.columns if keep is None else keep) if c != result]
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, rows))
 
@@ -193,13 +210,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for some in texts:
             yield pd.DataFrame(np.array([model.value.log_odds(t) for t in some]).reshape(len(some), len(HEADS)), columns=list(HEADS))
 
-    scored = docs.withColumn("__q_s", score(F.col(text)))
-    if text not in columns:
-        scored = materialise(scored.select(*dict.fromkeys([*columns, host, path]), "__q_s"), "scores")
-    thin = scored.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "__q_s.*")
-    sites = materialise(site_posteriors(thin), "sites")
-    sites = sites.select(F.col("host").alias("__q_host"), F.col("path").alias("__q_path"), *(F.col(f"shift_{h}").alias(f"__q_{h}") for h in HEADS))
-    joined = scored.join(sites, scored[host].cast("string").eqNullSafe(sites["__q_host"]) & scored[path].cast("string").eqNullSafe(sites["__q_path"]), "left")
-    p = {h: _probability(F.col("__q_s")[h] + F.coalesce(f"__q_{h}", F.lit(0.0))) for h in HEADS}
+    named = docs.select(*columns, F.col(host).cast("string").alias("__q_own_host"), F.col(path).cast("string").alias("__q_own_path"), score(F.col(text)).alias("__q_s"))
+    scored = materialise(named, "scores")
+    known = sites(scored.select(F.col("__q_own_host").alias("host"), F.col("__q_own_path").alias("path"), "__q_s.*"))
+    # Rows of sites are few beside documents; how they are joined hangs on the written table's size.
+    places = known.rows.withColumnsRenamed({"host": "__q_site_host", "path": "__q_site_path"})
+    joined = scored.join(places, F.col("__q_own_host").eqNullSafe(F.col("__q_site_host")) & F.col("__q_own_path").eqNullSafe(F.col("__q_site_path")))
+    p = {h: _probability(F.col("__q_s")[h] + known.shift(h, _probability(F.col("__q_s")[h]))) for h in HEADS}
     made = F.struct(p["quality"].alias("quality"), p["toxic"].alias("toxic"), ((p["quality"] >= 0.5) & (p["toxic"] < 0.5)).alias("keep"))
     return joined.withColumn(result, made).select(*columns, result)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with surrogates for personal data."""
+    """Each document with surrogates for personal data. The key is the session's `spark.sheaf.surrogateKey`, or made for this run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, counted="n_entities").select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.sheaf.surrogateKey", None) or secrets.token_hex(32)
+    return pii.pseudonymise(docs, key, counted="n_entities").select("doc_id", "text", "n_entities")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    network = langid.fit(docs.where(~held_out))
-    return docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, network).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    network = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), langid.predict(docs, network).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

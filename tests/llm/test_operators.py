@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import re
 from collections import defaultdict
 
@@ -57,10 +58,35 @@ def test_quality_on_held_out_rows(spark, sf):
 
 
 def test_sparse_sites_shrink(spark):
-    scores = [("big", "p", 3.0, -3.0)] * 200 + [("bad", "p", -3.0, -3.0)] * 200 + [("one", "p", -3.0, -3.0)]
+    scores = [("big", "p", 3.0, -3.0)] * 200 + [("bad", "p", -3.0, -3.0)] * 200 + [("few", "p", -3.0, -3.0)] * 2
     frame = spark.createDataFrame(scores, "host string, path string, quality double, toxic double")
-    found = {r["host"]: r["shift_quality"] for r in quality.site_posteriors(frame).collect()}
-    assert found["big"] > 1 and found["bad"] < -1 and abs(found["one"]) < abs(found["bad"])
+    known = quality.sites(frame)
+    found = {r["host"]: r["x"] for r in known.rows.select("host", known.shift("quality", F.lit(1 / (1 + math.exp(3)))).alias("x")).collect()}
+    assert found["bad"] < -1 and abs(found["few"]) < abs(found["bad"])
+
+
+def test_posteriors_against_brute_force(spark):
+    """Posteriors of all rows but a row's own, computed row by row in Python."""
+    random = np.random.default_rng(8)
+    data = [(int(i), f"t{i}", ["a", "b", None][int(random.integers(3))], ["x", None][int(random.integers(2))]) for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    logits = {i: float(random.normal() * 2) for i, *_ in data}
+    scored = spark.createDataFrame([(s, p, logits[i], -logits[i]) for i, _, s, p in data], "host string, path string, quality double, toxic double")
+    known = quality.sites(scored)
+    p = {i: 1 / (1 + math.exp(-logits[i])) for i in logits}
+    prior = np.mean(list(p.values()))
+    odds = lambda x: math.log(min(max(x, 1e-4), 1 - 1e-4) / (1 - min(max(x, 1e-4), 1 - 1e-4)))
+    own = 1 / (1 + F.exp(-F.col("quality")))
+    joined = scored.join(known.rows.withColumnsRenamed({"host": "h", "path": "q"}), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    found = sorted(r["x"] for r in joined.select(known.shift("quality", own).alias("x")).collect())
+    expected = []
+    for i, _, s, l in data:
+        h = [p[j] for j, _, s2, _ in data if s2 == s and j != i]
+        q = [p[j] for j, _, s2, l2 in data if (s2, l2) == (s, l) and j != i]
+        k, kp = known.host_strength["quality"], known.path_strength["quality"]
+        host = (sum(h) + k * prior) / (len(h) + k)
+        expected.append(odds((sum(q) + kp * host) / (len(q) + kp)) - odds(prior))
+    assert np.allclose(found, sorted(expected), atol=1e-9)
 
 
 def test_quality_odd_rows(spark, odd):
@@ -118,7 +144,7 @@ def test_surrogates(spark):
     said = "Mr. John Smith (j.smith@corp.example) paid 4111 1111 1111 1111 from 10.1.2.3; call +1 (017) 555-7713. Frau Anna Smith: DE89 3704 0044 0532 0130 00, г-жа Анна Петрова. token " + "ab12" * 10
     again = "Mr. Smith wrote J.Smith@corp.example, card 4111111111111111, phone +1 017 555 7713"
     frame = spark.createDataFrame([(1, said), (2, again), (3, None), (4, ""), (5, "no data 12"), (None, said), (2, again)], "doc_id long, text string")
-    out = [(r["doc_id"], r["text"], r["n"]) for r in pii.pseudonymise(frame, counted="n").collect()]
+    out = [(r["doc_id"], r["text"], r["n"]) for r in pii.pseudonymise(frame, "k", counted="n").collect()]
     assert len(out) == 7
     new = {d: t for d, t, _ in out}
     assert new[3] is None and new[4] == "" and new[5] == "no data 12" and new[None] == new[1]
@@ -135,7 +161,7 @@ def test_surrogates(spark):
     assert sum(digits[::2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in digits[1::2]) % 10
     moved = iban.replace(" ", "")[4:] + iban[:4]
     assert int("".join(str(int(x, 36)) for x in moved)) % 97 == 1
-    assert pii.pseudonymise(frame.limit(0)).count() == 0
+    assert pii.pseudonymise(frame.limit(0), "k").count() == 0
 
 
 def test_surrogates_are_distinct(spark):
@@ -143,7 +169,8 @@ def test_surrogates_are_distinct(spark):
     random = np.random.default_rng(1)
     names = sorted({"".join(random.choice(list("abcdefghij"), 5)).capitalize() for _ in range(300)})
     frame = spark.createDataFrame([(i, f"Mr. {n} Same and 1.2.{i % 200}.{i // 200}") for i, n in enumerate(names)], "doc_id long, text string")
-    known = pii.surrogates(frame).collect()
+    found = pii.held(frame).where("__p_has").select(F.explode(F.flatten(F.transform("__p_found", lambda e: e["units"]))).alias("u")).select("u.kind", "u.value")
+    known = pii.surrogates(found, "k").collect()
     per = defaultdict(list)
     for r in known:
         per[r["kind"]].append((r["value"], r["new"]))
@@ -151,10 +178,54 @@ def test_surrogates_are_distinct(spark):
     for pairs in per.values():
         assert len({n for _, n in pairs}) == len(pairs)
         assert not {n for _, n in pairs} & {v for v, _ in pairs}
-    out = pii.pseudonymise(frame).collect()
+    out = pii.pseudonymise(frame, "k").collect()
     assert len({r["text"].split()[1] for r in out}) == len(names)
 
 
+def test_known_names_go_wherever_they_stand(spark):
+    texts = [
+        "Mr. John Smith met Dr. Jane Roe. John Smith left; SMITH and Jane stayed. Johnson and Smithers did not come. Mr. Smith slept.",
+        "key " + "abcdef" * 6 + "ab end",
+        "key " + "abcdef" * 6 + "ab end 7",
+        "Mrs. Anna-Maria O'Brien, then O'Brien, then Anna",
+        "a \ufdd0 mark, Mr. Smith and 10.0.0.9",
+        "Dr. Арам Петров и г-жа Петрова; Mr. Արամ Պետրոսյան",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame, "k").collect()}
+    m = re.match(r"Mr\. (\S+) (\S+) met Dr\. (\S+) (\S+)\. (\S+) (\S+) left; (\S+) and (\S+) stayed\. Johnson and Smithers did not come\. Mr\. (\S+) slept\.$", new[0])
+    assert m, new[0]
+    john, smith, jane, roe, john2, smith2, smith3, jane2, smith4 = m.groups()
+    assert john == john2 and smith == smith2 == smith4 and smith3 == smith.upper() and jane == jane2 and len({john, smith, jane, roe, "John", "Smith", "Jane", "Roe"}) == 8
+    assert new[1][:42] == new[2][:42] != texts[1][:42]
+    assert not re.search("Anna|Maria|Brien", new[3]) and new[3].count(new[3].split()[2].rstrip(",")) == 2
+    assert "\ufdd0" in new[4] and f"Mr. {smith} and 10." in new[4] and "10.0.0.9" not in new[4]
+    assert not re.search("Арам|Петров|Արամ|Պետրոսյան", new[5]) and re.search("[\u0530-\u058f]{4,}", new[5]) and re.search("г-жа \\w+(?:ва|на|ая)\\b", new[5])
+    assert pii.pseudonymise(frame, "other").where("doc_id = 0").first()["text"] != new[0]
+
+
+def test_every_pattern_has_its_hint(spark):
+    said = ["a.b@c.example", "0" * 32, "abcdef" * 6, "sk-" + "A" * 16, "AKIA" + "B" * 16, "DE89 3704 0044 0532 0130 00", "10.1.2.3", "4111111111111111", "123-45-6789", "+49 30 1234567", "(030) 123-4567", "Mr. Smith", "Frau Anna Roe", "г-н Петров"]
+    frame = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(said)] + [(99, "Nothing Of That Kind here")], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame, "k").collect()}
+    assert all(t not in new[i] and new[i].startswith("x ") and new[i].endswith(" y") for i, t in enumerate(said)) and new[99] == "Nothing Of That Kind here"
+
+
+def test_surrogates_odd_rows(spark, odd):
+    out = pii.pseudonymise(odd, "k", counted="score")
+    assert set(out.columns) == set(odd.columns) and out.count() == len(ODD) and out.agg(F.sum("score")).first()[0] == 0
+    long = spark.createDataFrame([(1, "Mr. Smith and 10.1.2.3, " * 5000)], "doc_id long, text string")
+    row = pii.pseudonymise(long, "k", counted="n").first()
+    assert row["n"] == 10_000 and len(set(row["text"].split(", "))) == 2
+
+
+def test_full_formats_still_give_distinct_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FORMATTED", 2)
+    frame = spark.createDataFrame([(i, f"+1 {i // 100:02d} {i % 100:02d}") for i in range(9_000)], "doc_id long, text string").coalesce(1)
+    out = [r["text"] for r in pii.pseudonymise(frame, "k").collect()]
+    assert len(set(out)) == 9_000
+
+
 # WARC.
 
 
