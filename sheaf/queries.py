@@ -377,7 +377,7 @@ def f4_looks_like_record(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "documents").select("doc_id", clinical.looks_like_record(said, F.lit("letters")).alias("looks"))
 
 
-LICENCE = clinical.Vocabulary(substance=["licen[sc]e"], least_note=500, largest_shell=4000)
+LICENCE = clinical.Vocabulary(note_kinds=(), story=(), findings=(), judgement=(), orders=(), said=("licen[sc]e",), least_note=500, largest_shell=4000)
 
 
 @query(r"SELECT doc_id, regexp_matches(lower(text), 'licen[sc]e') AS substance, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 500 AND regexp_matches(lower(text), 'licen[sc]e') AS note FROM documents")

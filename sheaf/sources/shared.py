@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,12 +21,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write a table to the shared folder, in a folder for each value of `by`, and read it back.
 
     This cuts the lineage in a place that outlives any executor, and gives the
     planner the table's true size, on which broadcasts depend.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
