@@ -77,12 +77,10 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """`id`, `vector`: rows with an id whose vector has the table's commonest length, finite components, and not only zeros."""
+    """`id`, `vector`: rows with an id whose vector has finite components, and not only zeros."""
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector")).where("id is not null and size(vector) > 0")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = own.where(~bad & F.exists("vector", lambda x: x != 0))
-    size = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size("vector") == (size["n"] if size else 0))
+    return own.where(~bad & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,7 +114,7 @@ def _best(q_names: list[str], q: np.ndarray, x: np.ndarray, ids: list[list[int]]
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The best k of each query, ties to smaller ids. Spark keeps k rows of a query in each task before the shuffle."""
-    once = found.dropDuplicates(["query", "id"])
+    once = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
@@ -125,9 +123,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
 
     A query's own id is no candidate. Equal scores rank by smaller id. With fewer than
     k candidates there are fewer rows, and none for unusable vectors. Repeated rows
-    count once.
+    count once; of an id with several vectors the nearest pair counts. Vectors of
+    different lengths have no cosine: each length is a space of its own, searched
+    after the other.
     """
     rows = usable(vectors, vec_id, embedding)
+    # One row a length.
+    lengths = sorted(r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().collect())
+    found = None
+    for n in lengths or [0]:
+        one = _search(rows.where(F.size("vector") == n), is_query, k)
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def windows_only(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """As `search` for vectors of one length, but only what the windows give: `query_id`, `vec_id`, `score`, for measuring."""
+    return _search(usable(vectors, vec_id, embedding), is_query, k, exact=False)
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, exact: bool = True) -> DataFrame:
+    """`query_id`, `vec_id`, `score` of at least the k nearest of each query among usable rows of one length."""
     rows = materialise(rows.withColumn("name", F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","))).dropDuplicates(["name", "id"]), "vectors")
     # Equal vectors: one entry with its k + 1 smallest ids, one of which may be the query.
     ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -142,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(x, c) if len(x) else np.zeros(0, np.int64))], names=[*b.schema.names, "ordering", "place"])
 
     schema = "name string, vector array<double>, ids array<long>, asks boolean, ordering int, place long"
-    parts = max(ORDERINGS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(ORDERINGS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = entries.select("name", "vector", "ids", "asks").mapInArrow(keyed, schema).repartitionByRange(parts, "ordering", "place", "name").sortWithinPartitions("ordering", "place", "name")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +194,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     index = materialise(placed.mapInArrow(windows, kind), "index")
     near = materialise(_top(index.select(F.explode("found").alias("f")).select("f.*"), k + 1).drop("rank"), "windows")
 
+    if not exact:
+        return _answers(asked, near)
+
     # What the windows leave open: blocks that could hold a better row for a query of a batch. A batch is a stretch of queries along the first ordering.
     blocks = index.where("block is not null")
     bound = near.groupBy(F.col("query").alias("name")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select("name", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(-2.0)).alias("least"))
@@ -233,10 +254,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
                     yield _best([names[i] for i in np.flatnonzero(can)], q[can], x, ids, k, least[can])
 
     more = pairs.select("x", "ids", "centre", "radius", "queries", "names", "limits").repartition(parts).mapInArrow(scan, FOUND)
-    best_rows = _top(near.unionByName(more), k + 1).drop("rank").withColumnRenamed("query", "name")
-    each = asked.join(materialise(best_rows, "best"), "name").where("id <> query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return _answers(asked, materialise(_top(near.unionByName(more), k + 1).drop("rank"), "best"))
+
+
+def _answers(asked: DataFrame, best: DataFrame) -> DataFrame:
+    """What was found for a vector goes to all ids that ask with it, but not their own."""
+    return asked.join(best.withColumnRenamed("query", "name"), "name").where("id <> query_id").select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], rows: int = 16 * BLOCK) -> Iterator[pa.Table]:

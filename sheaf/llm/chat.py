@@ -7,8 +7,8 @@ text); the template turns them into one text a conversation with a loss mask, an
 `read_back` recovers turns and masked text from that alone.
 
 Template, one piece a turn: `### role: text</turn>` and a line feed. Inside a role
-or a text a backslash, the `#` runs and the end mark are broken up by a backslash,
-so neither control string can occur there, and `\\x` reads back as `x`.
+or a text every backslash and every `#` has a backslash before it and the end mark
+one in it, so neither control string can occur there, and `\\x` reads back as `x`.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 END = "</turn>"
@@ -28,7 +29,7 @@ class Layout:
     name: str
     #: (role, JSON path) of single-field turns, in their order.
     fields: tuple[tuple[str, str], ...] = ()
-    #: JSON path of a list of turns, with the names of its role and text.
+    #: JSON path of a list of turns, with the paths of role and text in each.
     turns: tuple[str, str, str] | None = None
     #: The names of role, text and position, where each record is a turn.
     row: tuple[str, str, str] | None = None
@@ -47,9 +48,14 @@ LAYOUTS: dict[str, Layout] = {
     "instruction,output": Layout("instruction", fields=(("user", "$.instruction"), ("assistant", "$.output"))),
     "input,instruction,output": Layout("instruction", fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     "instruction,output,system": Layout("instruction", fields=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
-    "messages[],messages[].content,messages[].role": Layout("messages", turns=("$.messages", "role", "content")),
-    "conversations[],conversations[].from,conversations[].value": Layout("messages", turns=("$.conversations", "from", "value"), roles=SPEAKERS),
+    "messages[],messages[].content,messages[].role": Layout("messages", turns=("$.messages", "$.role", "$.content")),
+    "conversations[],conversations[].from,conversations[].value": Layout("messages", turns=("$.conversations", "$.from", "$.value"), roles=SPEAKERS),
+    "conversation,conversation.messages[],conversation.messages[].content,conversation.messages[].role": Layout("nested", turns=("$.conversation.messages", "$.role", "$.content")),
+    "messages[],messages[].author,messages[].author.role,messages[].content,messages[].content.text": Layout("nested", turns=("$.messages", "$.author.role", "$.content.text")),
+    "data,data.completion,data.prompt": Layout("nested", fields=(("user", "$.data.prompt"), ("assistant", "$.data.completion"))),
 }
+#: Objects in objects that field paths go down into.
+DEPTH = 4
 
 
 def fingerprint(paths: str) -> Column:
@@ -58,20 +64,29 @@ def fingerprint(paths: str) -> Column:
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted, comma-joined field paths of a JSON record; `[]` marks lists.
+    """Sorted, comma-joined nested field paths of a JSON record; `[]` marks lists, whose objects' paths are put together.
 
     Read from the record's own structure, so the order of fields, their values and
-    nulls among them do not matter. Null for null or malformed records.
+    nulls among them do not matter. What lies deeper than `DEPTH` objects has no path.
+    Null for null or malformed records.
     """
-    keys = F.json_object_keys(record)
+    none = F.array().cast("array<string>")
 
-    def below(k: Column) -> Column:
-        item = F.call_function("get_json_object", record, F.concat(F.lit("$."), k, F.lit("[0]")))
-        listed = F.call_function("get_json_object", record, F.concat(F.lit("$."), k)).startswith("[")
-        inner = F.transform(F.coalesce(F.json_object_keys(item), F.array()), lambda x: F.concat(k, F.lit("[]."), x))
-        return F.when(listed, F.concat(F.array(F.concat(k, F.lit("[]"))), inner)).otherwise(F.array(k))
+    def paths(value: Column, depth: int) -> Column:
+        keys = F.coalesce(F.json_object_keys(value), none)
+        if not depth:
+            return keys
 
-    return F.array_join(F.array_sort(F.flatten(F.transform(keys, below))), ",")
+        def below(k: Column) -> Column:
+            child = F.call_function("get_json_object", value, F.concat(F.lit("$['"), k, F.lit("']")))
+            in_list = F.flatten(F.transform(F.coalesce(F.from_json(child, "array<string>"), none), lambda x: paths(x, depth - 1)))
+            listed = F.concat(F.array(F.concat(k, F.lit("[]"))), F.transform(F.array_distinct(in_list), lambda x: F.concat(k, F.lit("[]."), x)))
+            inner = F.concat(F.array(k), F.transform(paths(child, depth - 1), lambda x: F.concat(k, F.lit("."), x)))
+            return F.when(child.startswith("["), listed).when(child.startswith("{"), inner).otherwise(F.array(k))
+
+        return F.flatten(F.transform(keys, below))
+
+    return F.when(F.json_object_keys(record).isNotNull(), F.array_join(F.array_sort(paths(record, DEPTH - 1)), ","))
 
 
 def canonical_turns(records: DataFrame, key: str = "key", record: str = "record", layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
@@ -91,8 +106,8 @@ def canonical_turns(records: DataFrame, key: str = "key", record: str = "record"
             turns = F.array(F.struct(pos.cast("long").alias("pos"), role.alias("role"), text.alias("text")))
         elif layout.turns:
             path, role, text = layout.turns
-            listed = F.from_json(F.get_json_object("record", path), f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(listed, lambda x, i: F.struct(i.cast("long").alias("pos"), x[role].alias("role"), x[text].alias("text")))  # noqa: B023
+            listed = F.from_json(F.get_json_object("record", path), "array<string>")
+            turns = F.transform(listed, lambda x, i: F.struct(i.cast("long").alias("pos"), F.get_json_object(x, role).alias("role"), F.get_json_object(x, text).alias("text")))  # noqa: B023
         else:
             each = F.array(*(F.struct(F.lit(i).cast("long").alias("pos"), F.lit(role).alias("role"), F.get_json_object("record", path).alias("text")) for i, (role, path) in enumerate(layout.fields)))
             turns = F.filter(each, lambda x: x["text"].isNotNull())
@@ -117,7 +132,7 @@ def _all(c: Column, old: str, new: str) -> Column:
 
 def escaped(text: Column) -> Column:
     """`text` without control strings, reversibly."""
-    return _all(_all(_all(text, "\\", "\\\\"), "###", "#\\##"), END, "<\\/turn>")
+    return _all(_all(_all(text, "\\", "\\\\"), "#", "\\#"), END, "<\\/turn>")
 
 
 def unescaped(text: Column) -> Column:
@@ -134,18 +149,14 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     escaped before that.
     """
     head = F.concat(F.lit("### "), _all(escaped(F.col("role")), ":", "\\:"), F.lit(": "))
-    piece = turns.select("key", "pos", head.alias("head"), escaped(F.col("text")).alias("body"), F.col("role").isin(*trained).alias("trained"))
-    each = F.struct("pos", "head", "body", "trained")
-    # Without a rank the sort has pos, then role, then text.
-    whole = piece.groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("t"))
     tail = f"{END}\n"
-    whole = whole.withColumn("n", F.transform("t", lambda x: (F.length(x["head"]) + F.length(x["body"]) + len(tail)).cast("long")))
-    # Running starts: of each turn, from the lengths before it.
-    starts = F.aggregate("n", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
-    loss = F.transform(
-        F.arrays_zip(F.col("t").alias("t"), starts.alias("at")),
-        lambda z: F.struct(z["at"].alias("turn"), (z["at"] + F.length(z["t"]["head"])).alias("start"), F.when(z["t"]["trained"], F.length(z["t"]["body"])).otherwise(0).cast("long").alias("length")),
-    )
+    piece = turns.select("key", "pos", head.alias("head"), escaped(F.col("text")).alias("body"), F.col("role").isin(*trained).alias("trained"))
+    size = (F.length("head") + F.length("body") + len(tail)).cast("long")
+    # Where a turn starts is a running sum over its conversation, whose rows are sorted for that.
+    before = W.partitionBy("key").orderBy("pos", "head", "body").rowsBetween(W.unboundedPreceding, -1)
+    placed = piece.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+    whole = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "head", "body", "trained"))).alias("t"))
+    loss = F.transform("t", lambda x: F.struct(x["at"].alias("turn"), (x["at"] + F.length(x["head"])).alias("start"), F.when(x["trained"], F.length(x["body"])).otherwise(0).cast("long").alias("length")))
     text = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(tail))), "")
     return whole.select("key", text.alias("formatted"), loss.alias("loss"))
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise
+from sheaf.llm.common import looked_up, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Tie the neighbours of each node to the smallest one among them and itself: its larger neighbours (`large`), or the node and its smaller ones."""
+    count = F.count("*").alias("n")
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), count).select("a", F.least("a", "m").alias("m"), "n")
+        out = looked_up(both, least, ["a"], total=2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        joined = edges.join(least, "a")
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), count)
+        joined = looked_up(edges, least, ["a"], total=total)
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
@@ -24,8 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """From edges (`a`, `b`, any order): `node`, `root` for every node with an edge; the root is the smallest node of its component.
 
-    Each round is written to the shared folder. Nodes with many neighbours are one
-    aggregate with map-side minima, and a join whose large partitions Spark splits.
+    Each half round is written to the shared folder. Nodes with many neighbours are an
+    aggregate with map-side minima, and looked up by broadcast.
     """
     own = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
@@ -35,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        own = _star(_star(own, True), False)
+        half = materialise(_star(own, True, state[0]), "edges")
+        own = _star(half, False, half.count())
     return own.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own.select(F.col("b"), F.col("b")).distinct())

@@ -19,12 +19,13 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import small_batches
+from sheaf.llm.common import materialise, small_batches
 from sheaf.llm.fmindex import FmIndex
 from sheaf.llm.words import WORD, words
 
@@ -122,13 +123,18 @@ class Phrases:
         return (np.concatenate(places), np.concatenate(phrases)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """Phrases of all items, in as many blocks as the benchmark's checked size asks for. Items without an id are left out."""
-    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null")
-    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    some = (own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n))
-    return [Phrases.of([(r["i"], r["t"]) for r in part.toLocalIterator()], window) for part in some]
+class Blocks:
+    """Phrases of all items, in as many blocks as the benchmark's checked size asks for, made one at a time. Items without an id are left out."""
+
+    def __init__(self, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> None:
+        self.rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null")
+        total = self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n, self.window = max(1, -(-total // block_bytes)), window
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for k in range(self.n):
+            part = self.rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.n)) == k)
+            yield Phrases.of([(r["i"], r["t"]) for r in part.toLocalIterator()], self.window)
 
 
 def _slices(texts: list[str | None], size: int = 24 << 20) -> Iterator[tuple[int, int]]:
@@ -161,12 +167,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", res
     """`docs` with a struct column: number of words, merged word spans of occurrences, sorted item ids.
 
     Null and empty texts have no words. Every occurrence counts, repeated rows and
-    all; an empty benchmark finds nothing. `result` must not be a column of `docs`.
+    all; an empty benchmark finds nothing. A column named like `result` gives way to
+    it. Blocks of phrases are sent one at a time; what the ones before found is
+    written between them.
     """
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = docs.withColumn(result, F.lit(None).cast(RESULT))
-    for phrases in blocks(benchmark, window=window, block_bytes=block_bytes):
+    parts = Blocks(benchmark, window=window, block_bytes=block_bytes)
+    for k, phrases in enumerate(parts):
         sent = sc.broadcast(phrases)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -183,6 +192,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", res
                     yield pa.RecordBatch.from_arrays([made if c == result else part.column(c) for c in part.schema.names], names=part.schema.names)
 
         out = out.mapInArrow(task, out.schema)
+        if k + 1 < parts.n:
+            out = materialise(out, "contamination")
+            sent.unpersist()
     return out
 
 
@@ -202,8 +214,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     Words that a cut brings together may spell a phrase again: the texts that were
     cut are searched again until nothing is found.
     """
+    parts = Blocks(benchmark, window=window, block_bytes=block_bytes)
+    if parts.n > 1:
+        return _decontaminated_in_blocks(docs, benchmark, text, window, block_bytes)
     small_batches(docs.sparkSession)
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, window=window, block_bytes=block_bytes)]
+    sent = docs.sparkSession.sparkContext.broadcast(next(iter(parts)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,13 +228,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                 changed = []
                 for a, b in _slices([texts[i] for i in todo]):
                     some = todo[a:b]
-                    spans: list[list[tuple[int, int]]] = [[] for _ in some]
-                    for phrases in sent:
-                        for k, (_, found, _) in enumerate(phrases.value.scan([texts[i] for i in some])):
-                            spans[k] = _merged(spans[k], found)
-                    for i, s in zip(some, spans, strict=True):
-                        if s:
-                            texts[i] = cut(texts[i], s)
+                    for i, (_, spans, _) in zip(some, sent.value.scan([texts[i] for i in some]), strict=True):
+                        if spans:
+                            texts[i] = cut(texts[i], spans)
                             changed.append(i)
                 todo = changed
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
@@ -227,6 +238,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     return docs.mapInArrow(task, docs.schema)
 
 
+def _decontaminated_in_blocks(docs: DataFrame, benchmark: DataFrame, text: str, window: int, block_bytes: int) -> DataFrame:
+    """The same for a benchmark of several blocks: spans of all blocks are found, then cut, and the texts that were cut searched again."""
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans, strict=True)], dtype=object)
+
+    todo, out = docs, None
+    while out is None or not todo.isEmpty():
+        found = materialise(contamination(todo, benchmark, text, "__d_found", window, block_bytes), "found")
+        hit = F.size("__d_found.spans") > 0
+        clean = found.where(~hit).select(*docs.columns)
+        out = clean if out is None else out.unionByName(clean)
+        todo = materialise(found.where(hit).withColumn(text, without(F.col(text), F.col("__d_found.spans"))).select(*docs.columns), "cut")
+    return out
+
+
 def digests(found: DataFrame, result: str = "found", key: str = "doc_id") -> DataFrame:
     """The result as plain columns."""
     r = F.col(result)

@@ -7,8 +7,9 @@
 3. In a bucket, pairs compare MinHash values 16 at a time; a pair whose posterior
    probability of reaching the threshold falls below the tolerance is dropped.
    What survives ties the bucket's classes together: candidate components.
-4. Within a candidate component all pairs are verified exactly on their shingle
-   sets, in blocks, giving each class its links and the component's final groups.
+4. Within a candidate component pairs are compared in the same way, whatever bucket
+   they met in, and those that survive are verified exactly on their shingle sets,
+   in blocks, giving each class its links and the component's final groups.
 
 A bucket or component of more than `CHUNK` classes is cut into chunks, and every
 pair of chunks is a task's group of its own: no group is collected as a whole, and
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise, small_batches
+from sheaf.llm.common import looked_up, materialise, small_batches
 from sheaf.llm.components import components
 from sheaf.llm.words import words
 
@@ -261,31 +262,55 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """From `cls`, `comp`, `n` (classes in the component) and `text`: per class and group `cls`, `links`, `root`."""
-    dealt = _sorted(_paired(members, "comp", F.col("n")).select("comp", "lo", "hi", "side", "cls", "text"), "comp")
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def linked_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some pairs reach the threshold: one by one if they are few, else from all overlaps at once."""
+    size = np.array([len(s) for s in sets], np.float64)
+    if len(a) <= 4 * len(sets):
+        both = np.array([overlap(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
+    else:
+        both = overlaps(sets)[a, b]
+    return both >= threshold * (size[a] + size[b] - both) - 1e-9
+
+
+def verified(members: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """From `cls`, `comp`, `n` (classes in the component), `sig` and `text`: per class and group `cls`, `links`, `root`."""
+    dealt = _sorted(_paired(members, "comp", F.col("n")).select("comp", "lo", "hi", "side", "cls", "sig", "text"), "comp")
+    least = least_matches(threshold, tolerance)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = ["comp", "lo", "hi"]
         for table in _groups(batches, by, 2):
             starts = [*_starts(table, by), table.num_rows]
             ids, texts = table.column("cls").to_pylist(), table.column("text")
-            side = table.column("side").to_numpy()
+            side, sig = table.column("side").to_numpy(), _fixed(table.column("sig"), HASHES)
             cross = (table.column("lo").to_numpy() != table.column("hi").to_numpy())[starts[:-1]]
             out: tuple[list, list, list] = ([], [], [])
             for g, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
                 if b - a < 2:
                     continue
-                sets = [shingles(t) for t in texts.slice(a, b - a).to_pylist()]
-                size = np.array([len(s) for s in sets], np.float64)
-                both = overlaps(sets)
-                linked = both >= threshold * (size[:, None] + size - both) - 1e-9
-                np.fill_diagonal(linked, False)
+                i, j = np.triu_indices(b - a, 1)
                 if cross[g]:
-                    linked &= side[a:b, None] != side[a:b]
-                root = _roots(b - a, *np.nonzero(np.triu(linked)))
+                    apart = side[a + i] != side[a + j]
+                    i, j = i[apart], j[apart]
+                stay = surviving(sig[a:b], i, j, least)
+                i, j = i[stay], j[stay]
+                if not len(i):
+                    continue
+                sets = [shingles(t) for t in texts.slice(a, b - a).to_pylist()]
+                linked = linked_pairs(sets, i, j, threshold)
+                i, j = i[linked], j[linked]
+                root = _roots(b - a, i, j)
+                n_links = np.bincount(np.concatenate([i, j]), minlength=b - a)
                 out[0].extend(ids[a:b])
-                out[1].extend(linked.sum(1).tolist())
+                out[1].extend(n_links.tolist())
                 out[2].extend(ids[a + r] for r in root)
             yield pa.RecordBatch.from_pydict({"cls": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.binary())})
 
@@ -302,22 +327,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     other, when they stay null. Repeated rows are copies.
     """
     rows = materialise(profile(docs, key, text), "profile")
-    classes = rows.groupBy("cls").agg(F.min("id").alias("copy_of"), F.min("th").alias("th"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = rows.groupBy("cls").agg(F.min("id").alias("copy_of"), F.min("th").alias("th"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     classes = materialise(classes, "classes")
     comps = components(candidates(classes, threshold, tolerance)).select(F.col("node").alias("cls"), F.xxhash64("root").alias("comp"))
     comps = materialise(comps, "candidates")
-    sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("n")), "comp").join(classes.select("cls", "th"), "cls")
+    many = comps.groupBy("comp").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    sized = looked_up(comps, materialise(many, "sizes"), ["comp"]).join(classes.select("cls", "th", "sig"), "cls")
     texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     # One text a class: copies share the hash, so a map-side aggregate leaves one row a task and class.
-    one = texts.join(sized, "th").groupBy("cls").agg(F.first("text").alias("text"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-    found = materialise(verified(one, threshold), "verified")
+    one = texts.join(sized, "th").groupBy("cls").agg(F.first("text").alias("text"), F.first("comp").alias("comp"), F.first("size").alias("n"), F.first("sig").alias("sig"))
+    found = materialise(verified(one, threshold, tolerance), "verified")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    least = roots.join(classes.select("cls", "copy_of"), roots["node"] == classes["cls"]).groupBy("root").agg(F.min("copy_of").alias("group"))
-    grouped = roots.join(least, "root").select(F.col("node").alias("cls"), "group").join(links, "cls", "left")
-    whole = classes.select("cls", "copy_of").join(grouped, "cls", "left")
-    whole = whole.select("cls", "copy_of", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("group", "copy_of").alias("group"))
-    return rows.select("id", "th", "cls").join(materialise(whole, "whole"), "cls")
+    least = roots.join(classes.select("cls", "copy_of"), roots["node"] == classes["cls"]).groupBy("root").agg(F.min("copy_of").alias("group"), F.count("*").alias("n"))
+    grouped = looked_up(roots, materialise(least, "least"), ["root"]).select(F.col("node").alias("cls"), "group").join(links, "cls", "left")
+    whole = classes.select("cls", "copy_of", "n").join(grouped, "cls", "left")
+    whole = whole.select("cls", "copy_of", "n", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("group", "copy_of").alias("group"))
+    return looked_up(rows.select("id", "th", "cls"), materialise(whole, "whole"), ["cls"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import small_batches
+from sheaf.llm.common import materialise, small_batches
 
 #: Units of each direction, bytes of a segment, segments side by side.
 UNITS, SEGMENT, LANES = 8, 48, 2048
@@ -151,11 +151,18 @@ class Network:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, per_label: int = TRAIN_DOCS) -> DataFrame:
-    """About `per_label` documents of each label, by a hash of their key and text: `lang`, `segment` (bytes drawn from all of the text)."""
-    own = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1_000_000)).alias("h"))
-    often = own.groupBy("lang").agg(F.count("*").alias("n"))
-    # Labels are few; Spark broadcasts their counts if their size allows.
-    some = own.join(often, "lang").where(F.col("h") < F.lit(1_000_000.0) * per_label / F.col("n"))
+    """About `per_label` documents of each label, by a hash of their key and text: `lang`, `segment` (bytes drawn from all of the text).
+
+    Which ones is settled on thin rows and written; texts meet only that table, whose
+    size the planner then knows, so that they are not shuffled while it is small.
+    """
+    own = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("x"))
+    thin = materialise(own.select("lang", "x"), "labelled")
+    often = thin.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod("x", F.lit(1_000_000)).alias("h")
+    chosen = thin.select("lang", "x", place).join(materialise(often, "labels"), "lang").where(F.col("h") < F.lit(1_000_000.0) * per_label / F.col("n"))
+    chosen = materialise(chosen.select("x", "h").distinct().select(F.col("x").alias("__l_x"), "h"), "chosen")
+    some = own.join(chosen, own["x"] == chosen["__l_x"]).select("lang", "text", "h")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

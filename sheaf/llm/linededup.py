@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency.
 
-A line is boilerplate of a host when the share of the host's pages that contain
-it exceeds a ratio. Everything runs in built-in functions: each page sends the
+A line is boilerplate of a host when, seen from a page that has it, the share of the
+host's other pages that contain it exceeds a ratio: (k - 1) / (n - 1) for k of n
+pages. On large hosts that is k / n; on small ones a page's own lines do not count
+as repeated because they are on that page. Everything runs in built-in functions: each page sends the
 digests of its different lines (never the lines) through one shuffle with
 map-side counts; what exceeds the ratio is at most (mean lines of a page) / ratio
 digests for a host, kept as one small row per host.
@@ -14,17 +16,15 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import materialise
 
-#: A line on more than this share of a host's pages is boilerplate.
+#: A line on more than this share of a host's other pages is boilerplate.
 MAX_RATIO = 0.1
-#: On a host with few pages every line has a large share; fewer pages than this never make boilerplate.
-MIN_PAGES = 4
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, copies: bool = True) -> DataFrame:
     """Per host with boilerplate: `host`, `digests` (array of the lines' MD5).
 
     A page counts a line once, however often it repeats it. Blank lines never count.
@@ -37,21 +37,22 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
         # Copies meet in the map-side aggregate; only digests are shuffled.
         pages = pages.groupBy("host", F.sha2("text", 256).alias("page")).agg(F.first("digests").alias("digests"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    holding = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("k")).where(F.col("k") >= min_pages)
-    over = holding.join(totals, "host").where(F.col("k") / F.col("pages") > max_ratio)
+    holding = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("k")).where("k > 1")
+    over = holding.join(totals, "host").where((F.col("k") - 1) / (F.col("pages") - 1) > max_ratio)
     return over.groupBy("host").agg(F.collect_list("digest").alias("digests"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None, copies: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, dropped: str | None = None, copies: bool = True) -> DataFrame:
     """The same rows and columns, their texts without the boilerplate lines of their host.
 
     Null texts stay null and rows without a host keep their text: there is no site
     to compare with. A text that is boilerplate throughout becomes ''. Repeated rows
     count as pages of their own with `copies`; without, a text that a host holds many
     times is one page and no boilerplate of its own. An empty table stays empty. With `dropped`, a column
-    of that name counts the lines that went.
+    of that name counts the lines that went, in the place of any that `docs` has.
     """
-    bad = materialise(boilerplate(docs, host, text, max_ratio, min_pages, copies), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"))
+    columns = [c for c in docs.columns if c != dropped]
+    bad = materialise(boilerplate(docs, host, text, max_ratio, copies), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"))
     joined = docs.join(bad, docs[host] == bad["__ld_host"], "left")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("__ld_digests"), F.md5(x)))
     none = F.col("__ld_digests").isNull()
@@ -59,4 +60,4 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     if dropped is not None:
         out = out.withColumn(dropped, F.when(F.col("__ld_kept").isNull(), 0).otherwise(F.size(_lines(F.col(text))) - F.size("__ld_kept")).cast("long"))
     out = out.withColumn(text, F.when(F.col("__ld_kept").isNull(), F.col(text)).otherwise(F.array_join("__ld_kept", "\n")))
-    return out.select(*docs.columns, *([dropped] if dropped is not None else []))
+    return out.select(*columns, *([dropped] if dropped is not None else []))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import let
-from sheaf.llm.common import materialise
+from sheaf.llm.common import looked_up, materialise
 
 #: Titles by the gender they tell; `n` tells none. Fixed values.
 TITLES = {
@@ -99,8 +99,6 @@ PATTERN = f"{_START}(?:{'|'.join(PATTERNS.values())})"
 HINT = rf"[0-9@]|[a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|(?:{_KEYS})[-_A-Za-z]"
 #: A character that no text should have, around entities; texts that have it are cut in another way.
 MARK = "\ufdd0"
-#: Kinds with one of this many mentions, or fewer, are few: those above are looked up by broadcast.
-HEAVY = 10_000
 #: Attempts before a surrogate gives up its format.
 FORMATTED = 24
 
@@ -357,16 +355,6 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _looked_up(each: DataFrame, known: DataFrame) -> DataFrame:
-    """`each` (`kind`, `value`, ...) with `new`. What has more than one in `HEAVY` of all mentions is at most `HEAVY` rows and goes by broadcast."""
-    total = known.agg(F.sum("n")).first()[0] or 0
-    heavy = known.where(F.col("n") > total / HEAVY).select("kind", "value", F.col("new").alias("__new"))
-    light = known.where(F.col("n") <= total / HEAVY).select("kind", "value", "new")
-    tried = each.join(F.broadcast(heavy), ["kind", "value"], "left")
-    rest = tried.where("__new is null").drop("__new").join(light, ["kind", "value"])
-    return tried.where("__new is not null").withColumnRenamed("__new", "new").unionByName(rest)
-
-
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | None = None) -> DataFrame:
     """`docs` with the entities of its texts replaced; same rows and columns, and with `counted` their number.
 
@@ -380,7 +368,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | N
     having = rows.where("__p_has")
     each = having.select("__p_row", F.posexplode("__p_found").alias("i", "e")).select("__p_row", "i", "e.m", F.posexplode("e.units").alias("j", "u")).select("__p_row", "i", "m", "j", "u.kind", "u.value")
     known = surrogates(having.select(F.explode(F.flatten(F.transform("__p_found", lambda e: e["units"]))).alias("u")).select("u.kind", "u.value"), key)
-    new = _looked_up(each, known).repartition("__p_row")
+    new = looked_up(each, known, ["kind", "value"]).repartition("__p_row")
     whole = new.groupBy("__p_row", "i").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("j", "kind", "new"))).alias("n"))
     n = F.col("n")
     worn = F.when(F.startswith(n[0]["kind"], F.lit("given")) | F.startswith(n[0]["kind"], F.lit("family")), _worn_name(F.col("m"), F.transform(n, lambda x: x["new"]))).otherwise(_worn(F.col("m"), n[0]["kind"], n[0]["new"]))

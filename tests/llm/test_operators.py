@@ -105,6 +105,11 @@ def test_bpe_is_the_librarys(sf):
     from tokenizers import Tokenizer
 
     own, library = bpe.Bpe(bpe.word_vocabulary()), Tokenizer.from_file(bpe.word_vocabulary())
+    every = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 100_000):
+        some = every[at : at + 100_000]
+        for text, known in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert bpe.unpacked(own.packed(text)) == known.ids, hex(ord(text[1]))
     texts = [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
     texts += ["", " ", "a<|endoftext|>B <|startoftext|>", "I'LL we've 12 ½ Ⅷ", "Σας ΟΔΟΣ İ ß", "é É 日本 👍🏽", "x\x1cy z w", "a" * 500, "!?" * 400, "the​the", "\x00\x01", "</w>", "ab" * 3000]
     random = np.random.default_rng(0)
@@ -307,6 +312,27 @@ def test_backpropagation_through_time():
             assert abs((up - down) / 2e-3 - gradient[at]) < 2e-2 * max(1, abs(gradient[at]))
 
 
+def test_documents_pool_positions():
+    """Pooled probabilities of whole texts against a plain loop over their segments."""
+    random = np.random.default_rng(1)
+    net = langid.Network.new(["a", "b", "c"])
+    net.out = random.normal(size=net.out.shape).astype(np.float32)
+    texts = ["", None, "abc", "é" * 100, "x y " * 300, "z" * langid.SEGMENT]
+    for text, found in zip(texts, net.documents(texts), strict=True):
+        raw = (text or "").encode()
+        total = np.zeros(3)
+        for at in range(0, len(raw), langid.SEGMENT):
+            own = np.full((langid.SEGMENT, 1), langid.NONE, np.int16)
+            part = np.frombuffer(raw[at : at + langid.SEGMENT], np.uint8)
+            own[: len(part), 0] = part
+            total += net.positions(own)[0][: len(part), :, 0].sum(0)
+        assert np.allclose(found, total / max(1, len(raw)), atol=1e-4)
+
+
+def test_a_null_id_is_not_held_out(spark):
+    assert spark.range(1).select(F.coalesce(F.crc32(F.lit(None).cast("string")) % 4 == 2, F.lit(False)).alias("h")).first()["h"] is False
+
+
 def test_language_odd_rows(spark, odd):
     net = langid.Network.new(["en", "fr"])
     out = {r["doc_id"]: r["p"] for r in odd.select("doc_id", langid.predict(odd, net).alias("p")).collect()}
@@ -323,6 +349,9 @@ LAYOUTS = [
     ({"instruction": "a", "input": "c", "output": "b"}, [("user", "a"), ("user", "c"), ("assistant", "b")]),
     ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}, {"content": "é\n", "role": "assistant"}]}, [("system", "s"), ("user", ""), ("assistant", "é\n")]),
     ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]),
+    ({"conversation": {"messages": [{"role": "user", "content": "a"}, {"role": "assistant"}]}}, [("user", "a"), ("assistant", "")]),
+    ({"messages": [{"author": {"role": "user"}, "content": {"text": "x [1] {y}"}}, {"content": {"text": "b"}, "author": {"role": "assistant"}}]}, [("user", "x [1] {y}"), ("assistant", "b")]),
+    ({"data": {"completion": "b", "prompt": "a"}}, [("user", "a"), ("assistant", "b")]),
 ]
 
 
@@ -342,7 +371,13 @@ def test_chat_escapes(spark):
     frame = spark.createDataFrame([(1, i, "assistant" if i % 2 else "a: \\b", t, "x") for i, t in enumerate(nasty)], "key long, pos long, role string, text string, layout string")
     made = chat.format_turns(frame)
     row = made.first()
-    assert row["formatted"].count("</turn>") == len(nasty)
+    assert row["formatted"].count("</turn>") == len(nasty) == row["formatted"].count("###")
+
+    def plainly(t):
+        return "".join("\\" + x if x in "\\#" else x for x in t).replace("</turn>", "<\\/turn>")
+
+    role = lambda i: "assistant" if i % 2 else "a\\: \\\\b"
+    assert row["formatted"] == "".join(f"### {role(i)}: {plainly(t)}</turn>\n" for i, t in enumerate(nasty))
     back = chat.read_back(made).first()
     assert [(t["role"], t["text"]) for t in back["turns"]] == [("assistant" if i % 2 else "a: \\b", t) for i, t in enumerate(nasty)]
     assert list(back["learned"]) == [t for i, t in enumerate(nasty) if i % 2 and t]
@@ -350,6 +385,17 @@ def test_chat_escapes(spark):
         assert row["formatted"][span["turn"] :].startswith("### ")
 
 
+def test_chat_odd_rows(spark):
+    turns = spark.createDataFrame([(None, 1, "user", "a", "x"), (None, 2, "assistant", "b", "x"), (1, None, "user", "a", "x"), (1, None, "user", "a", "x"), (2, 5, "", "", "x")], "key long, pos long, role string, text string, layout string").withColumns({"t": F.lit(1), "at": F.lit(2)})
+    back = {r["key"]: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("user", "a"), ("assistant", "b")] and list(back[None]["learned"]) == ["b"]
+    assert len(back[1]["turns"]) == 2 and [(t["role"], t["text"]) for t in back[2]["turns"]] == [("", "")]
+    assert chat.format_turns(turns.limit(0)).count() == 0
+    many = spark.range(30_000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    row = chat.read_back(chat.format_turns(many)).first()
+    assert [int(t["text"]) for t in row["turns"]] == list(range(30_000)) and [int(x) for x in row["learned"]] == list(range(1, 30_000, 2))
+
+
 # Nearest neighbours.
 
 
@@ -374,6 +420,10 @@ def test_ann_against_brute_force(spark):
     assert np.allclose([x[3] for x in got], [x[3] for x in expected], atol=1e-12)
     copies = [x[2] for x in got if x[0] == 1000]
     assert copies == [0, 1001, 1002, 1003, 1004]
+    short = ann.search(frame.unionByName(spark.createDataFrame([(5006, [2.0])], frame.schema)), F.col("id") == 5004).collect()
+    assert [(r["vec_id"], r["score"]) for r in short] == [(5006, 1.0)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], frame.schema)
+    assert [(r["vec_id"], round(r["score"], 3)) for r in sorted(ann.search(twice, F.col("id") == 0).collect(), key=lambda r: r["rank"])] == [(1, 0.995), (2, 0.707)]
     few = ann.search(frame.where("vec_id < 3"), F.col("id") == 0).collect()
     assert len(few) == 2
     assert ann.search(frame.limit(0), F.col("id") == 0).count() == 0
