@@ -76,7 +76,7 @@ def lab_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("id"), c("p_name").alias("name"), text.alias("text"), "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
-def note_text(spark: SparkSession, sf_dir: str, last: int | None = 3) -> DataFrame:
+def note_text(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
     """A visit note for each order with its line items, up to number `last` or all, as embedded lab groups: record columns."""
     c = F.col
     items = table(spark, sf_dir, "lineitem")
@@ -93,6 +93,14 @@ def note_text(spark: SparkSession, sf_dir: str, last: int | None = 3) -> DataFra
     )
 
 
+def letter_pages(spark: SparkSession, sf_dir: str, changed: str = "") -> DataFrame:
+    """A portal's page for each order: `page_id`, `url`, `html` with a menu and a letter; letters of even orders say `changed`."""
+    c, k = F.col, F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit("Provider note of order "), F.when(c("o_orderkey") % 2 == 0, changed).otherwise(""), k)
+    html = F.concat(F.lit("<nav><li>Log out</li></nav><main><article>Letter about "), c("o_orderpriority"), F.lit("<br>"), F.date_format("o_orderdate", "MMM d, yyyy"), F.lit("<br>View<br>"), said, F.lit("</article></main><footer><li>Privacy policy</li></footer>"))
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), F.concat(F.lit(f"{PORTAL}/app/letters/"), k).alias("url"), html.alias("html"))
+
+
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     name = F.initcap(c("p_name"))
@@ -121,5 +129,5 @@ def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = F.col
     base = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), F.concat(F.lit(f"{PORTAL}/source?id="), (F.floor(c("event_id") / 7)).cast("string")).alias("source_url"), c("event_type").alias("title"), c("value"), c("event_id").alias("n"))
     existing = base.where(c("n") % 10 < 8)
-    incoming = base.where((c("n") % 10 >= 6) & (c("n") % 100 < 50)).withColumn("value", F.when(c("n") % 3 == 0, c("value") + 1).otherwise(c("value")))
+    incoming = base.where(((c("n") % 10 >= 6) & (c("n") % 100 < 50)) | (c("n") % 10 >= 8)).withColumn("value", F.when(c("n") % 3 == 0, c("value") + 1).otherwise(c("value")))
     return existing.drop("n"), incoming.drop("n")

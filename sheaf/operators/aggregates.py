@@ -9,7 +9,6 @@ from sheaf.functions import clinical
 from sheaf.functions.dates import clinical_date_iso
 from sheaf.functions.text import first_nonempty, or_empty
 from sheaf.functions.urls import source_host
-from sheaf.operators.records import shown
 
 
 def count_by(rows: DataFrame, key: Column) -> DataFrame:
@@ -26,14 +25,21 @@ def top_counts(rows: DataFrame, key: Column, n: int = 12) -> DataFrame:
     return count_by(rows, key).orderBy(F.desc("n"), "key").limit(n)
 
 
-def duplicate_counts(rows: DataFrame, key: Column) -> DataFrame:
-    """One row: keys that occur more than once, and the rows beyond their first."""
+#: Repeated keys that a report lists. Fixed value.
+LISTED = 25
+
+
+def duplicate_counts(rows: DataFrame, key: Column, listed: int = LISTED) -> DataFrame:
+    """One row: keys that occur more than once, the rows beyond their first, and the most frequent of them (`top_keys`: array of key and n)."""
     many = count_by(rows, key).where("n > 1")
-    return many.agg(F.count("*").alias("duplicate_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
+    # At most `listed` rows in one.
+    head = many.orderBy(F.desc("n"), "key").limit(listed)
+    top = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["key"].alias("key"), (-x["m"]).alias("n"))).alias("top_keys"))
+    return many.agg(F.count("*").alias("duplicate_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows")).crossJoin(top)
 
 
 def inspect_key() -> Column:
-    """The key by which an export is inspected: raw URL, title, and day, without patient."""
+    """The key by which an export is inspected: raw URL, analyte or title, and day, without patient."""
     return F.concat_ws("|", or_empty("source_url"), or_empty("title"), clinical_date_iso(F.col("date")))
 
 
@@ -92,13 +98,21 @@ def category_options(cards: DataFrame) -> DataFrame:
     return cards.select("category").where("category is not null and category <> ''").distinct().orderBy("category")
 
 
-def safe_summary(cards: DataFrame) -> DataFrame:
-    """One row without names, titles, text or hosts: number of records and hosts, latest day, categories by count."""
+def redacted(text: Column) -> Column:
+    """A status text without addresses."""
+    return F.regexp_replace(or_empty(text), r"(?i)\b[a-z][a-z0-9+.-]*://\S+", "[url]")
+
+
+def safe_summary(cards: DataFrame, status: str = "", **filters: str) -> DataFrame:
+    """One row without names, titles, text or hosts: number of records and hosts, latest day, categories by count, which filters were set (`has_...`), the status without addresses."""
     by = cards.groupBy(first_nonempty("category", F.lit("record")).alias("category"), source_host(F.col("source_url")).alias("host")).agg(F.count("*").alias("n"), F.max(clinical_date_iso(F.col("date"))).alias("day"))
     per = by.groupBy("category").agg(F.sum("n").alias("n"), F.max("day").alias("day"))
-    hosts = by.where("host <> ''").agg(F.count_distinct("host").alias("hosts")).first()["hosts"]
+    hosts = by.where("host <> ''").agg(F.count_distinct("host").alias("host_count"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "category"))), lambda x: F.concat(x["category"], F.lit(":"), (-x["m"]).cast("string")))
-    return per.agg(F.sum("n").alias("records"), F.coalesce(F.max("day"), F.lit("")).alias("latest_date"), F.array_join(listed, ",").alias("categories")).withColumn("host_count", F.lit(hosts).cast("long"))
+    made = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.max("day"), F.lit("")).alias("latest_date"), F.array_join(listed, ",").alias("categories")).crossJoin(hosts)
+    if status:
+        made = made.withColumn("status", redacted(F.lit(status)))
+    return made.withColumns({f"has_{name}": F.lit(bool(value)) for name, value in filters.items()})
 
 
 def run_summary(pages: DataFrame) -> DataFrame:
@@ -110,15 +124,51 @@ def run_summary(pages: DataFrame) -> DataFrame:
     return per.join(runs, "run")
 
 
-def manifest(records: DataFrame, chunks: DataFrame, filters: str = "", start: str = "", end: str = "") -> DataFrame:
-    """One row about an export: schema version, counts, text bytes, what is new; one aggregate over records and chunks together."""
+#: What changes a page's records make in a store.
+CHANGES = ("inserted", "updated", "unchanged", "deleted")
+
+
+def run_report(pages: DataFrame) -> DataFrame:
+    """One row a run from page results (those of `run_summary`, `stage` of a failure, `malformed`, `route_class`, `visited`, and the counts of `CHANGES`): sums, errors by stage, routes found and visited, completion by category, why the run ended, and whether it is safe to go on from.
+
+    Routes that were found and not visited are pending. Groups are a few words a run,
+    so the maps are small whatever the number of pages.
+    """
+    visited = F.coalesce("visited", F.lit(True))
+    groups = pages.groupBy("run", "category", F.coalesce("stage", F.lit("")).alias("stage"), F.coalesce("route_class", F.lit("")).alias("route")).agg(
+        F.count("*").alias("found"),
+        F.count_if(visited).alias("visited"),
+        F.count_if("failed").alias("errors"),
+        F.sum("records").alias("records"),
+        F.bool_or("truncated").alias("truncated"),
+        F.bool_or("malformed").alias("malformed"),
+        *(F.sum(c).alias(c) for c in CHANGES),
+    )
+
+    def said(by: str, *counts: str) -> DataFrame:
+        each = groups.groupBy("run", by).agg(*(F.sum(c).alias(c) for c in counts)).where(F.col(counts[0]) > 0)
+        text = F.concat(F.col(by), F.lit("="), F.concat_ws("/", *(F.col(c).cast("string") for c in counts)))
+        return each.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias(f"by_{by}"))
+
+    per = groups.groupBy("run", "category").agg(F.sum("errors").alias("errors"), F.bool_or("truncated").alias("truncated"), F.bool_or("malformed").alias("malformed"), F.sum(F.col("found") - F.col("visited")).alias("pending"))
+    per = per.withColumn("completion", F.when(F.col("malformed"), "malformed").when(F.col("errors") > 0, "required_error").otherwise("completed"))
+    completion = per.groupBy("run").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("category", F.lit("="), "completion"))), ",").alias("by_category"),
+        F.when(F.bool_or("truncated"), "truncated").otherwise("queue_exhausted").alias("reason"),
+        (~F.bool_or("truncated") & (F.sum("pending") == 0) & F.bool_and(F.col("completion") == "completed")).alias("freshness_safe"),
+    )
+    totals = groups.groupBy("run").agg(F.sum("visited").alias("pages"), F.sum("records").alias("records"), F.sum("errors").alias("errors"), *(F.sum(c).alias(c) for c in CHANGES))
+    out = totals.join(completion, "run").join(said("stage", "errors"), "run", "left").join(said("route", "found", "visited"), "run", "left")
+    return out.withColumns({"by_stage": or_empty("by_stage"), "by_route": or_empty("by_route")})
+
+
+def manifest(records: DataFrame, chunks: DataFrame | None = None, filters: str = "", start: str = "", end: str = "") -> DataFrame:
+    """One row about an export: schema version, counts, text bytes, what is new. Chunks are counted by the records' `chunk_count`, or from their own rows."""
     day = F.col("date_iso") if "date_iso" in records.columns else clinical_date_iso(F.col("date"))
-    rows = records.select(day.alias("day"), F.col("text_bytes").alias("b"), F.lit(1).alias("r"), F.lit(0).alias("c"))
-    rows = rows.unionAll(chunks.select(F.lit(""), F.lit(0).cast("long"), F.lit(0), F.lit(1)))
+    own = F.col("chunk_count") if chunks is None else F.lit(0)
+    rows = records.select(day.alias("day"), F.col("text_bytes").alias("b"), F.lit(1).alias("r"), own.cast("long").alias("c"))
+    if chunks is not None:
+        rows = rows.unionAll(chunks.select(F.lit(""), F.lit(0).cast("long"), F.lit(0), F.lit(1).cast("long")))
     total = lambda name, to: F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(to)
     made = rows.agg(total("r", "record_count"), total("c", "chunk_count"), total("b", "text_bytes"), *_delta(start, end, not start and not end))
     return made.select(F.lit(1).alias("schema_version"), F.lit(filters).alias("filters"), "*")
-
-
-def text_sizes(records: DataFrame) -> DataFrame:
-    return records.agg(F.count("*").alias("records"), F.sum(F.octet_length(shown())).alias("bytes"))

@@ -17,6 +17,11 @@ def _shell() -> Column:
     return clinical.is_invalid_shell(F.col("category"), F.col("record_type"), F.col("title"), text, F.col("source_url"))
 
 
+def without_shells(records: DataFrame) -> DataFrame:
+    """Records but for pages' empty frames."""
+    return records.where(~_shell())
+
+
 def row_key(rows: DataFrame) -> list[str]:
     """What names a row: the id, with `content_key` (never null) where rows have one, as made ids end in a hash of 32 bits."""
     return ["id", "content_key"] if "content_key" in rows.columns else ["id"]

@@ -124,7 +124,8 @@ def p9_text_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT p_partkey, CASE WHEN {NAME_OK} THEN name ELSE '' END AS name FROM {NAMES}")
 def p10_infer_patient(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(F.lit("Menu. You are viewing "), c("name"), F.lit(", as of now"))
+    k = c("p_partkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("Menu. You are viewing "), c("name"), F.lit(", as of now"))).when(k == 1, F.concat(F.lit("Home\nHello, "), c("name"), F.lit("! Settings"))).otherwise(F.concat(F.lit("All records ("), c("name"), F.lit(")\nlog out")))
     return B.part_names(spark, sf).select("p_partkey", people.infer_name(said).alias("name"))
 
 
@@ -171,6 +172,37 @@ def p16_drop_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "documents").select("doc_id", F.md5(clinical.drop_repeated_lines(c("text"))).alias("digest"))
 
 
+@query(f"""SELECT doc_id, md5(array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), chr(10))) AS digest
+    FROM (SELECT doc_id, list_concat({sql_lines('text')}, CASE WHEN doc_id % 2 = 0 THEN ['now', 'Sodium'] ELSE ['Download this file now', 'Sodium'] END) AS ls FROM documents)""")
+def p16_clean_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Page phrases of a category, labels of result rows, and repeats of a line."""
+    said = F.concat(c("text"), F.lit("\nView trends\nDownload this file now\nLab Sodium Normal\nLab Sodium Normal"))
+    category = F.when(c("doc_id") % 2 == 0, "visits").otherwise("letters")
+    return B.table(spark, sf, "documents").select("doc_id", F.md5(clinical.clean_lines(said, category)).alias("digest"))
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_concat(list_filter(ls, lambda x, i: list_position(low, low[i]) = i), ['Seen 3/4/2024']), chr(10))) AS digest
+    FROM (SELECT doc_id, ls, list_transform(ls, lambda z: lower(z)) AS low FROM (SELECT doc_id, {sql_lines('text')} AS ls FROM documents))""")
+def p18_polish_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines once each, and of date lines of a day that follow each other the first."""
+    said = F.concat(c("text"), F.lit("\nSeen 3/4/2024\nMarch 4, 2024\nseen 3/4/2024"))
+    return B.table(spark, sf, "documents").select("doc_id", F.md5(clinical.polish_lines(said, F.lit("letters"), F.lit(""))).alias("digest"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN 'Progress Notes by ' || o_custkey WHEN 2 THEN 'XR chest ' || o_orderkey ELSE 'letters' END AS title FROM orders")
+def p20_titles_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """A lab's row, a note's author, an image's modality, and a category where nothing else is left."""
+    k, n = c("o_orderkey") % 4, c("o_orderkey").cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit("Test results\nLab "), c("o_orderpriority"), F.lit(" Normal\nValue 3")))
+        .when(k == 1, F.concat(F.lit("Visits\nSeen at the clinic\nProgress Notes by "), c("o_custkey").cast("string"), F.lit("\nFine")))
+        .when(k == 2, F.concat(F.lit("Results\nXR chest "), n, F.lit("\nImpression: fine")))
+        .otherwise("Letters\nBilling\nMarch 4, 2024")
+    )
+    category = F.when(k == 0, "test-results").when(k == 1, "visits").when(k == 2, "imaging").otherwise("letters")
+    return B.table(spark, sf, "orders").select("o_orderkey", clinical.infer_title(said, category).alias("title"))
+
+
 @query("SELECT o_orderkey, 'Note ' || o_orderkey || chr(10) || 'Problem List one' || chr(10) || 'Home Medications two' AS reflowed FROM orders")
 def p17_reflow_sections(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.lit("Note  "), c("o_orderkey").cast("string"), F.lit(" Problem List one  Home Medications two"))
@@ -215,7 +247,7 @@ def p23_index_card(spark: SparkSession, sf: str) -> DataFrame:
     return records.index_card(B.rec_docs(spark, sf)).select("id", "category", "title", "snippet", c("patient.key").alias("patient"))
 
 
-@query("SELECT 'n' || o_orderkey AS id, 'visit-note' AS record_type, true AS has_source FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3)")
+@query("SELECT 'n' || o_orderkey AS id, 'visit-note' AS record_type, true AS has_source FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def p24_normalize_record(spark: SparkSession, sf: str) -> DataFrame:
     own = B.note_text(spark, sf).withColumn("record_type", F.lit(""))
     return records.normalize_records(own).select("id", "record_type", (c("source_text") == c("raw_text")).alias("has_source"))
@@ -287,7 +319,7 @@ def pages_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT page_id, href, count(*)::BIGINT AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""")
 def g2_extract_links(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.extract_links(pages_of(spark, sf)).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    return pages.extract_links(pages_of(spark, sf), keep=".*").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey::VARCHAR AS id, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -313,7 +345,7 @@ def pages_window(key: str):
 
 
 @query("""SELECT 'n' || l_orderkey AS note, 'Panel ' || l_linenumber || ' (' || strftime(l_shipdate, '%B %-d, %Y') || ')' AS title, strftime(l_shipdate, '%m/%d/%y') || ' 8:15 AM' AS collection_time, count(*)::BIGINT AS n
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY ALL""")
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY ALL""")
 def g6_derive_results(spark: SparkSession, sf: str) -> DataFrame:
     made = labs.derive_results(B.note_text(spark, sf))
     return made.groupBy(c("derived_from.record_id").alias("note"), "title", c("derived_from.collection_time").alias("collection_time")).agg(F.count("*").alias("n"))
@@ -322,8 +354,8 @@ def g6_derive_results(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 'n' || l_orderkey AS note, 'Panel ' || l_linenumber || ' (' || strftime(l_shipdate, '%B %-d, %Y') || ')' AS title, strftime(l_shipdate, '%m/%d/%y') || ' 8:15 AM' AS collection_time, count(*)::BIGINT AS n
     FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY ALL""")
 def g6_derive_all_results(spark: SparkSession, sf: str) -> DataFrame:
-    """As `g6_derive_results`, from notes that hold all line items of their order."""
-    made = labs.derive_results(B.note_text(spark, sf, None))
+    """As `g6_derive_results`; both read notes that hold all line items of their order."""
+    made = labs.derive_results(B.note_text(spark, sf))
     return made.groupBy(c("derived_from.record_id").alias("note"), "title", c("derived_from.collection_time").alias("collection_time")).agg(F.count("*").alias("n"))
 
 
@@ -366,6 +398,13 @@ def f2_filter_date_range(spark: SparkSession, sf: str) -> DataFrame:
     return records.filter_date_range(B.rec_events(spark, sf), "2024-01-10", "2024-01-12").select("id")
 
 
+@query(f"SELECT 'e' || event_id AS id, event_id % 10 = 0 AS date_invalid FROM events WHERE {DAY} BETWEEN '2024-01-10' AND '2024-01-12' OR event_id % 10 = 0")
+def f2_date_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that no calendar has pass a range, and are told."""
+    own = B.rec_events(spark, sf).withColumn("date", F.when(c("seq") % 10 == 0, "2024-13-40").otherwise(c("date")))
+    return records.filter_date_range(own, "2024-01-10", "2024-01-12", invalid="date_invalid").select("id", "date_invalid")
+
+
 @query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') = (SELECT max(strftime(o_orderdate, '%Y-%m-%d')) FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01')")
 def f3_filter_latest_day(spark: SparkSession, sf: str) -> DataFrame:
     return records.filter_latest_day(records.index_card(B.rec_orders(spark, sf)), "1998-12-31").select("id")
@@ -442,7 +481,7 @@ def j3_records_without_cards(spark: SparkSession, sf: str) -> DataFrame:
     return merge.records_without_cards(own, labelled(spark, sf), own.where(c("seq") % 9 == 0)).select("id")
 
 
-SETS = "WITH e AS (SELECT event_id AS n, event_id // 7 AS s, event_type AS title, value FROM events WHERE event_id % 10 < 8), i AS (SELECT event_id AS n, event_id // 7 AS s, event_type AS title, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 10 >= 6 AND event_id % 100 < 50)"
+SETS = "WITH e AS (SELECT event_id AS n, event_id // 7 AS s, event_type AS title, value FROM events WHERE event_id % 10 < 8), i AS (SELECT event_id AS n, event_id // 7 AS s, event_type AS title, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE (event_id % 10 >= 6 AND event_id % 100 < 50) OR event_id % 10 >= 8)"
 
 
 @query(f"{SETS} SELECT n::VARCHAR AS id FROM e WHERE s IN (SELECT s FROM i) AND n NOT IN (SELECT n FROM i)")
@@ -470,7 +509,7 @@ def j6_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(c("pos").alias("id"), "route.admission", "admissible", "seen")
 
 
-@query("SELECT DISTINCT 'https://portal.example.org/visit-csn/' || o_orderkey AS coverage_key FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3)")
+@query("SELECT DISTINCT 'https://portal.example.org/visit-csn/' || o_orderkey AS coverage_key FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def j7_detail_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.detail_coverage(B.note_text(spark, sf))
 
@@ -517,9 +556,13 @@ def a2_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.manifest(fields, fields).select("schema_version", "filters", "record_count", "text_bytes", "mode", "new_records", "latest_date")
 
 
-@query("SELECT count(*)::BIGINT AS duplicate_keys, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)")
+@query("""WITH k AS (SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)
+    SELECT (SELECT count(*) FROM k)::BIGINT AS duplicate_keys, (SELECT coalesce(sum(n - 1), 0) FROM k)::BIGINT AS extra_rows,
+    (SELECT coalesce(string_agg(substr(key, 1, 8) || ':' || n, ',' ORDER BY n DESC, key), '') FROM (SELECT * FROM k ORDER BY n DESC, key LIMIT 25)) AS top_keys""")
 def a3_duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.duplicate_counts(B.table(spark, sf, "documents"), F.sha2("text", 256))
+    made = aggregates.duplicate_counts(B.table(spark, sf, "documents"), F.sha2("text", 256))
+    top = F.array_join(F.transform("top_keys", lambda k: F.concat(F.substring(k["key"], 1, 8), F.lit(":"), k["n"].cast("string"))), ",")
+    return made.withColumn("top_keys", top)
 
 
 @query(f"""SELECT 'date-range' AS mode, count(*) FILTER (WHERE d > '2024-01-10')::BIGINT AS new_records, 0::BIGINT AS updated_records, count(*) FILTER (WHERE d = '2024-01-10')::BIGINT AS repeated_records,
@@ -565,16 +608,37 @@ def a8_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.run_summary(own).select("run", "category", "pages", "records", "errors", "truncated", "completion", "freshness_safe")
 
 
-@query(f"""SELECT sum(n)::BIGINT AS records, max(d) AS latest_date, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS categories, 1::BIGINT AS host_count FROM (SELECT event_type, count(*) AS n, max({DAY}) AS d FROM events GROUP BY 1)""")
+@query(f"""SELECT sum(n)::BIGINT AS records, max(d) AS latest_date, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS categories, 1::BIGINT AS host_count, 'Read [url] and [url] twice' AS status, true AS has_patient, false AS has_category FROM (SELECT event_type, count(*) AS n, max({DAY}) AS d FROM events GROUP BY 1)""")
 def a9_safe_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.safe_summary(records.index_card(B.rec_events(spark, sf)))
+    said = f"Read {B.PORTAL}/a?b=1 and http://x.example twice"
+    return aggregates.safe_summary(records.index_card(B.rec_events(spark, sf)), said, patient="somebody", category="")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_type AS category, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'page' ELSE 'open' END ELSE '' END AS stage, event_type = 'error' AS failed, event_id % 101 = 0 AS malformed,
+        CASE WHEN event_id % 4 < 2 THEN 'result-detail' ELSE 'visit-detail' END AS route, event_id % 9 <> 0 AS visited, floor(value) AS records, event_id % 97 = 0 AS truncated, event_id % 2 AS ins, event_id % 3 AS upd, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS del FROM events),
+    c AS (SELECT run, category, count(*) FILTER (WHERE failed) AS errors, bool_or(truncated) AS t, bool_or(malformed) AS m, count(*) FILTER (WHERE NOT visited) AS pending FROM e GROUP BY 1, 2),
+    d AS (SELECT *, CASE WHEN m THEN 'malformed' WHEN errors > 0 THEN 'required_error' ELSE 'completed' END AS done FROM c),
+    k AS (SELECT run, string_agg(category || '=' || done, ',' ORDER BY category || '=' || done) AS by_category, CASE WHEN bool_or(t) THEN 'truncated' ELSE 'queue_exhausted' END AS reason, NOT bool_or(t) AND sum(pending) = 0 AND bool_and(done = 'completed') AS freshness_safe FROM d GROUP BY 1),
+    s AS (SELECT run, string_agg(stage || '=' || n, ',' ORDER BY stage || '=' || n) AS by_stage FROM (SELECT run, stage, count(*) FILTER (WHERE failed) AS n FROM e GROUP BY 1, 2) WHERE n > 0 GROUP BY 1),
+    r AS (SELECT run, string_agg(route || '=' || f || '/' || v, ',' ORDER BY route || '=' || f || '/' || v) AS by_route FROM (SELECT run, route, count(*) AS f, count(*) FILTER (WHERE visited) AS v FROM e GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT run, count(*) FILTER (WHERE visited)::BIGINT AS pages, sum(records)::BIGINT AS records, count(*) FILTER (WHERE failed)::BIGINT AS errors, sum(ins)::BIGINT AS inserted, sum(upd)::BIGINT AS updated, 0::BIGINT AS unchanged, sum(del)::BIGINT AS deleted FROM e GROUP BY 1)
+    SELECT t.*, by_category, reason, freshness_safe, coalesce(by_stage, '') AS by_stage, coalesce(by_route, '') AS by_route FROM t JOIN k USING (run) LEFT JOIN s USING (run) LEFT JOIN r USING (run)""")
+def a8_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs with errors by stage, routes found and visited, changes, and why each ended."""
+    n, error = c("event_id"), c("event_type") == "error"
+    own = B.table(spark, sf, "events").select(
+        c("user_id").alias("run"), c("event_type").alias("category"), F.when(error, F.when(n % 2 == 0, "page").otherwise("open")).alias("stage"), error.alias("failed"), (n % 101 == 0).alias("malformed"),
+        F.when(n % 4 < 2, "result-detail").otherwise("visit-detail").alias("route_class"), (n % 9 != 0).alias("visited"), F.floor("value").alias("records"), (n % 97 == 0).alias("truncated"),
+        (n % 2).alias("inserted"), (n % 3).alias("updated"), F.lit(0).cast("long").alias("unchanged"), F.when(n % 5 == 0, 1).otherwise(0).cast("long").alias("deleted"),
+    )
+    return aggregates.run_report(own)
 
 
 @query("""WITH k AS (SELECT doc_id % 400 AS s, string_split(text, chr(10))[1] AS t, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1)
     SELECT (SELECT count(*) FROM documents)::BIGINT AS record_count, '' AS start_date, '' AS end_date, (SELECT count(*) FROM documents)::BIGINT AS chunk_count, (SELECT count(*) FROM k)::BIGINT AS duplicate_keys, (SELECT coalesce(sum(n - 1), 0) FROM k)::BIGINT AS extra_rows""")
 def a10_inspect(spark: SparkSession, sf: str) -> DataFrame:
     fields = records.export_fields(B.rec_docs(spark, sf))
-    return jobs.inspect_job(fields, fields)
+    return jobs.inspect_job(fields, fields).drop("top_keys")
 
 
 # Windows and deduplication.
@@ -586,6 +650,15 @@ def w1_dedupe_best(spark: SparkSession, sf: str) -> DataFrame:
     return records.dedupe_best(B.rec_events(spark, sf)).select("id", "copies")
 
 
+@query(f"""SELECT 'e' || event_id AS id, strlen(props) + 1 AS bytes, copies FROM (SELECT *, row_number() OVER w AS k, 2 * count(*) OVER (PARTITION BY user_id, event_type, {DAY})::BIGINT AS copies FROM events
+    WINDOW w AS (PARTITION BY user_id, event_type, {DAY} ORDER BY strlen(props) DESC, ts DESC, 'e' || event_id DESC)) WHERE k = 1""")
+def w1_dedupe_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record twice under its id, once longer: one row a key is left, the longer one."""
+    own = B.rec_events(spark, sf)
+    best = records.dedupe_best(own.unionByName(own.withColumn("raw_text", F.concat("raw_text", F.lit("+")))))
+    return best.select("id", F.octet_length("raw_text").cast("long").alias("bytes"), "copies")
+
+
 @query("SELECT doc_id::VARCHAR AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def w2_first_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return records.first_per_key(B.rec_docs(spark, sf).select("id", "seq", F.sha2("raw_text", 256).alias("body")), ["body"], "seq").select("id")
@@ -619,17 +692,16 @@ def w6_number_globally(spark: SparkSession, sf: str) -> DataFrame:
     return records.number_globally(B.table(spark, sf, "orders").select(c("o_orderkey").alias("id"), "o_totalprice"), ["o_totalprice", "id"]).select("id", "number")
 
 
-@query(f"SELECT 'e' || event_id AS id, row_number() OVER (ORDER BY {DAY} DESC, ts DESC, 'e' || event_id) AS place FROM events ORDER BY 2 LIMIT 500")
+@query(f"SELECT 'e' || event_id AS id, {DAY} AS day, row_number() OVER (ORDER BY {DAY} DESC, ts DESC, 'e' || event_id) AS place FROM events")
 def t1_order_records(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    head = records.order_records(records.index_card(B.rec_events(spark, sf))).limit(500)
-    return head.select("id", F.row_number().over(Window.orderBy(*records.order_key())).cast("long").alias("place"))
+    """All records in order, each with its place."""
+    own = records.index_card(B.rec_events(spark, sf))
+    return records.number_globally(own, records.order_key()).select("id", dates.clinical_date_iso(c("date")).alias("day"), c("number").alias("place"))
 
 
 @query(f"SELECT 'e' || event_id AS id, row_number() OVER (ORDER BY {DAY} DESC, ts DESC, 'e' || event_id) AS place FROM events")
 def t1_place_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The place of every record in the order of `t1_order_records`, which gives the first 500."""
+    """The place of every record, of thin rows alone."""
     return records.number_globally(B.rec_events(spark, sf).select("id", "date", "extracted_at"), records.order_key()).select("id", c("number").alias("place"))
 
 
@@ -647,8 +719,8 @@ def t3_plan_frontier(spark: SparkSession, sf: str) -> DataFrame:
 # Sets, streams, pulls, jobs.
 
 
-@query("""SELECT 'n' || o_orderkey AS id, 0::BIGINT AS derived FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3)
-    UNION ALL SELECT 'n' || l_orderkey, count(*)::BIGINT FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY 1""")
+@query("""SELECT 'n' || o_orderkey AS id, 0::BIGINT AS derived FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT 'n' || l_orderkey, count(*)::BIGINT FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity::INT FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY 1""")
 def u1_augment(spark: SparkSession, sf: str) -> DataFrame:
     own = B.note_text(spark, sf)
     both = records.augment(own, labs.derive_results(own))
@@ -670,9 +742,21 @@ def s2_since_last_pull(spark: SparkSession, sf: str) -> DataFrame:
     return pull.since_last_pull_all(cards, marks, "2024-01-25")
 
 
-@query()
+LETTER = "'https://portal.example.org/app/letters/' || o_orderkey AS source_url, 'Letter about ' || o_orderpriority AS title, strftime(o_orderdate, '%b %-d, %Y') AS date"
+
+
+@query(f"""SELECT {LETTER}, CASE WHEN o_orderkey % 5 = 0 THEN 'untouched' WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'inserted' ELSE 'unchanged' END AS delta FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0
+    UNION ALL SELECT {LETTER}, 'deleted' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0""")
 def e1_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.ingest_job(pages_of(spark, sf)).select("id", "category", "title", "delta")
+    """Two thirds of a portal's pages ingested and published, then all but a fifth of them, half of them changed, on top of what was published."""
+    from sheaf.sources.shared import new_folder
+    from sheaf.sources.store import read_generation
+
+    folder = new_folder(spark, "store")
+    jobs.ingest_job(B.letter_pages(spark, sf).where("page_id % 3 <> 0"), folder=folder)
+    stored = read_generation(spark, folder, "records")
+    done = jobs.ingest_job(B.letter_pages(spark, sf, "again ").where("page_id % 5 <> 0"), stored, folder)
+    return done.select("source_url", "title", "date", "delta")
 
 
 @query(f"SELECT 'e' || event_id AS id, 'user ' || user_id AS patient, event_type AS title FROM events WHERE {DAY} BETWEEN '2024-01-02' AND '2024-01-09' AND event_type = 'error'")
@@ -680,12 +764,51 @@ def e4_list(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.list_job(B.rec_events(spark, sf), "2024-01-02", "2024-01-09", category="error").select("id", "patient", "title")
 
 
-@query(f"""WITH r AS (SELECT o_orderkey, o_custkey, c_name, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'test-results' ELSE 'visits' END AS category, {style('o_orderdate', 'o_orderkey')} AS d,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey::VARCHAR) AS n FROM orders JOIN customer ON c_custkey = o_custkey)
-    SELECT o_orderkey::VARCHAR AS id, '## ' || n || '. ' || o_orderpriority || chr(10) || '- Patient: ' || c_name || chr(10) || '- Category: ' || category || chr(10) || '- Date: ' || d || chr(10)
-    || '- Source: https://portal.example.org/orders?id=' || o_orderkey || chr(10) || '### Details' || chr(10) || 'Order of ' || c_name AS section FROM r""")
+@query(f"""WITH r AS (SELECT o_orderkey, o_custkey, c_name, o_orderpriority AS t, o_orderstatus = 'F' AS lab, {style('o_orderdate', 'o_orderkey')} AS d, strftime(o_orderdate, '%Y-%m-%d') AS iso, 'https://portal.example.org/orders?id=' || o_orderkey AS u FROM orders JOIN customer ON c_custkey = o_custkey),
+    s AS (SELECT *, o_orderkey::VARCHAR AS id, CASE WHEN lab THEN iso ELSE '' END AS day, t || chr(10) || '- Patient: ' || c_name || chr(10) || '- Date: ' || d || chr(10) || '- Category: ' || CASE WHEN lab THEN 'Test Results' ELSE 'Visits' END || chr(10) || '- Record type: Record' || chr(10) || '- Source: ' || u AS top,
+      '- Collection/result date: ' || d || chr(10) || '- Source: ' || u AS data, 'Order of ' || c_name AS body FROM r),
+    i AS (SELECT o_custkey, day, CASE WHEN day = '' THEN id ELSE '' END AS item, count(*) AS n, max(iso) AS w, min(id) AS f, min(c_name) AS who, min(top || CASE WHEN lab THEN chr(10) || '### Result Data' || chr(10) || data ELSE '' END || chr(10) || '### Details' || chr(10) || body) AS alone,
+      list(top || chr(10) || '#### Result Data' || chr(10) || data || chr(10) || '#### Details' || chr(10) || body ORDER BY o_orderkey) AS parts FROM s GROUP BY ALL),
+    q AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, f) AS k FROM i)
+    SELECT o_custkey::VARCHAR AS patient_key, k AS number, CASE WHEN n > 1 THEN '## ' || k || '. Test Results - ' || day || chr(10) || '- Patient: ' || who || chr(10) || '- Date: ' || day || chr(10) || '- Category: Test Results' || chr(10) || '- Records grouped: ' || n || chr(10)
+      || array_to_string(list_transform(parts, lambda x, j: '### Result ' || j || ': ' || x), chr(10)) ELSE '## ' || k || '. ' || alone END AS section FROM q""")
 def e3_report(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.report_job(B.rec_orders(spark, sf)).select("id", "section")
+    return jobs.report_job(B.rec_orders(spark, sf)).select("patient_key", "number", "section")
+
+
+@query("""SELECT '# Records' || chr(10) || 'Records exported: ' || count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01') || ' of ' || count(*) || chr(10) || '- category: test-results' || chr(10) || '- from: 1997-01-01' AS header FROM orders
+    UNION ALL SELECT '# Records' || chr(10) || 'Records exported: 0 of ' || count(*) || chr(10) || '- category: none' || chr(10) || 'No records matched the current filters.' FROM orders""")
+def e3_report_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of a report with filters, and of one without records."""
+    own = B.rec_orders(spark, sf)
+    return jobs.report_header(own, "1997-01-01", category="test-results").unionByName(jobs.report_header(own, category="none"))
+
+
+EXPORTED = f"(SELECT user_id, event_type, {DAY} AS day, count(*) AS n FROM events GROUP BY ALL)"
+
+
+@query(f"""SELECT 1 AS run, '2024-01-28' AS start, max(day) AS "end", count(*)::BIGINT AS records, count(*)::BIGINT AS chunks, true AS moves FROM {EXPORTED} WHERE day BETWEEN '2024-01-28' AND '2024-01-30'
+    UNION ALL SELECT 2, max(day), max(day), count(*) FILTER (WHERE day = '2024-01-30')::BIGINT, count(*) FILTER (WHERE day = '2024-01-30')::BIGINT, true FROM {EXPORTED}""")
+def e2_export_workflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Two exports of a scope, written; the second starts at the mark that the first left."""
+    from sheaf.sources.shared import new_folder
+
+    folder, own = new_folder(spark, "exports"), B.rec_events(spark, sf)
+    done = [{"run": k} | jobs.export_workflow(spark, own, f"{folder}/{k}", f"{folder}/marks", "all", "2024-01-30") for k in (1, 2)]
+    rows = [(d["run"], d["start"], d["end"], d["records"], d["chunks"], d["moves"]) for d in done]
+    return spark.createDataFrame(rows, "run int, start string, `end` string, records long, chunks long, moves boolean")
+
+
+@query(f"""SELECT count(*)::BIGINT AS record_count, count(*)::BIGINT AS chunk_count, min(day) AS start_date, max(day) AS end_date, 0::BIGINT AS duplicate_keys, 0::BIGINT AS extra_rows, true AS as_told FROM {EXPORTED}""")
+def e6_inspect_export(spark: SparkSession, sf: str) -> DataFrame:
+    """An export written, read back, and held against its manifest."""
+    from sheaf.sources.shared import new_folder
+    from sheaf.sources.store import write_jsonl_export
+
+    folder = new_folder(spark, "export")
+    manifest, fields, parts = jobs.export_job(B.rec_events(spark, sf))
+    write_jsonl_export(manifest, fields, parts, folder)
+    return jobs.inspect_export(spark, folder)["summary"].drop("top_keys")
 
 
 @query(f"""SELECT part, count(*)::BIGINT AS n FROM (SELECT 0 AS part UNION ALL SELECT 1 FROM (SELECT DISTINCT user_id, event_type, {DAY} FROM events) UNION ALL SELECT 2 FROM (SELECT DISTINCT user_id, event_type, {DAY} FROM events)) GROUP BY 1""")
@@ -717,15 +840,14 @@ def e5_frontier(spark: SparkSession, sf: str) -> DataFrame:
 def s1_stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Events streamed into a store, and what it holds then."""
     from sheaf.sources.shared import new_folder
-    from sheaf.sources.store import read_generation
-    from sheaf.streaming.merge import stream_merge
+    from sheaf.streaming.merge import read_records, stream_merge
 
     kind = B.table(spark, sf, "events").schema
     rows = spark.readStream.schema(kind).parquet(f"{sf}/events.parquet*")
     own = rows.select(c("event_id").cast("string").alias("id"), F.concat(F.lit(f"{B.PORTAL}/source?id="), c("event_id").cast("string")).alias("source_url"), c("event_type").alias("title"), "value", c("event_id").alias("seq"))
     folder = new_folder(spark, "stream")
     stream_merge(own, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
-    return read_generation(spark, f"{folder}/store", "records").select("id", "title", "value")
+    return read_records(spark, f"{folder}/store").select("id", "title", "value")
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'https://portal.example.org/app/documents/download?id=a+' || o_orderkey WHEN 1 THEN 'https://portal.example.org/files/1' ELSE '' END AS url FROM orders")
@@ -742,21 +864,18 @@ def f5_is_useful_record(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("id", clinical.is_useful_record(F.lit("test-results"), F.lit("test-result"), title, F.lit("1/1/2024"), c("text"), F.lit("")).alias("useful"))
 
 
-@query("SELECT part, count(*)::BIGINT AS n FROM (SELECT 'record' AS part FROM documents UNION ALL SELECT 'chunk' FROM documents UNION ALL SELECT 'manifest') GROUP BY 1")
+@query("""SELECT doc_id::VARCHAR AS id, md5(t) AS digest, length(t)::BIGINT AS chars, length(t)::BIGINT AS covered FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)""")
 def io4_jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """An export written, read back and counted by line type."""
+    """Records with their texts and chunks written as lines, and both read back."""
     from sheaf.sources.shared import new_folder
-    from sheaf.sources.store import read_jsonl_export, write_jsonl_export
+    from sheaf.sources.store import read_export, write_jsonl_export
 
-    fields = records.export_fields(B.rec_docs(spark, sf)).drop("text")
+    fields = records.export_fields(B.rec_docs(spark, sf))
     folder = new_folder(spark, "export")
-    write_jsonl_export(aggregates.manifest(fields, fields), fields, fields.select("id"), folder)
-    back = read_jsonl_export(spark, folder)
-    out = None
-    for kind in ("manifest", "record", "chunk"):
-        one = back[kind].select(F.lit(kind).alias("part"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("part").agg(F.count("*").alias("n"))
+    write_jsonl_export(aggregates.manifest(fields), fields, chunks.chunk_text(fields.select("id", "text")), folder)
+    _, back, parts = read_export(spark, folder, "id string, text string", "id string, char_end int")
+    covered = parts.groupBy("id").agg(F.max("char_end").cast("long").alias("covered"))
+    return back.join(covered, "id", "left").select("id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"), F.coalesce("covered", F.lit(0).cast("long")).alias("covered"))
 
 
 @query(f"SELECT doc_id::VARCHAR AS id, lang AS category FROM documents")

@@ -1,27 +1,73 @@
-"""Merging a stream of record rows into a store, generation by generation."""
+"""Merging a stream of record rows into a store that is a log of changes.
+
+A batch writes what it changes: its rows, and a mark for each row that goes. The
+store is the last change of every row; reading puts the parts together, and every so
+many batches they are written as one. So a batch reads the keys of the store, and
+writes no more than its own size.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sheaf.operators.merge import latest_in_batch, upsert
+from sheaf.operators.merge import ids_to_replace, latest_in_batch, row_key
 from sheaf.sources.store import read_generation, write_generation
 
+#: Batches after which the parts of a store are put together.
+PARTS = 8
+
+
+def _log(spark: SparkSession, store: str) -> tuple[int, list[str]]:
+    """The last batch that was merged, and the parts that make up the store."""
+    found = read_generation(spark, store, "log")
+    row = found.first() if found is not None else None
+    return (row["batch_id"], json.loads(row["parts"])) if row else (-1, [])
+
+
+def _last(spark: SparkSession, parts: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The last change of each row, without rows that went. With `columns` no others are read."""
+    rows = spark.read.parquet(*parts)
+    named = row_key(rows)
+    kept = rows.columns if columns is None else [*dict.fromkeys([*named, *columns, "__batch", "__live"])]
+    if len(parts) == 1:
+        return rows.select(*kept).where("__live").drop("__batch", "__live")
+    last = rows.select(*kept).groupBy(*(F.col(n).alias(f"__k_{n}") for n in named)).agg(F.max_by(F.struct(*kept), "__batch").alias("r"))
+    return last.select("r.*").where("__live").drop("__batch", "__live")
+
+
+def read_records(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows of a store; None before the first batch."""
+    _, parts = _log(spark, store)
+    return _last(spark, parts) if parts else None
+
 
 def merge_batch(spark: SparkSession, store: str, batch: DataFrame, batch_id: int, seq: str = "seq") -> None:
-    """Merge a batch; a batch that was merged already changes nothing, and a failed one leaves the last generation."""
-    done = read_generation(spark, store, "progress")
-    if done is not None and done.first()["batch_id"] >= batch_id:
+    """Merge a batch; one that was merged already changes nothing, and a failed one leaves the store as it was."""
+    done, parts = _log(spark, store)
+    if done >= batch_id:
         return
-    old = read_generation(spark, store, "records")
-    # The store's columns also say what names a row.
-    incoming = latest_in_batch(batch if old is None else batch.select(*old.columns), seq)
-    if old is None:
-        merged = incoming
+    marked = lambda rows, live: rows.withColumns({"__batch": F.lit(batch_id).cast("long"), "__live": F.lit(live)})
+    if not parts:
+        changes = marked(latest_in_batch(batch, seq), True)
     else:
-        merged = upsert(old, incoming).where("delta <> 'deleted'").drop("delta")
-    write_generation({"records": merged, "progress": spark.createDataFrame([(batch_id,)], "batch_id long")}, store)
+        known = spark.read.parquet(*parts)
+        columns = [c for c in known.columns if c not in ("__batch", "__live")]
+        # The store's columns also say what names a row.
+        incoming = latest_in_batch(batch.select(*columns), seq)
+        gone = ids_to_replace(_last(spark, parts, ["source_url"]), incoming)
+        changes = marked(incoming, True).unionByName(marked(gone, False), allowMissingColumns=True)
+    part = f"{store}/parts/{batch_id:012d}"
+    changes.write.mode("overwrite").parquet(part)
+    parts = [*parts, part]
+    if len(parts) > PARTS:
+        whole = f"{store}/parts/{batch_id:012d}-whole"
+        marked(_last(spark, parts), True).write.mode("overwrite").parquet(whole)
+        parts = [whole]
+    write_generation({"log": spark.createDataFrame([(batch_id, json.dumps(parts))], "batch_id long, parts string")}, store)
 
 
 def stream_merge(rows: DataFrame, store: str, checkpoint: str, interval: str | None = None, seq: str = "seq") -> StreamingQuery:

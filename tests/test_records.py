@@ -106,7 +106,23 @@ def test_lab_groups():
 def test_pages():
     html = "<body><script>no</script><h1>T &amp; U</h1><ul><li>a<li>b</ul><p>x<br>y<p>x<br>y<a href='/q?x=1#z'>go</a></body>"
     assert [(b["tag"], b["text"]) for b in pages.page_blocks(html)] == [("h1", "T & U"), ("li", "a"), ("li", "b"), ("p", "x\ny"), ("p", "x\nygo")]
-    assert pages.page_blocks(None) == [] and pages.page_blocks("plain") == []
+    assert pages.page_blocks(None) == [] and pages.page_blocks("plain <b>text</b>") == [{"tag": "main", "text": "plain text"}]
+    page = "<nav><li>menu</li></nav><main><div class='ResultCard' aria-label='Sodium'>7 mg</div><li title='x'>x y</li></main><li>foot</li>"
+    assert [(b["tag"], b["text"]) for b in pages.page_blocks(page)] == [("card", "7 mg\nSodium"), ("li", "x y")]
+
+
+def test_links(spark):
+    html = "<a href='/visit?id=1'>A</a><a href='#x'>visit</a><a href='http://h.example/p#x'>visit</a><a href='http://o.example/visit'>visit</a><button formaction='/notes/1' aria-label='Open note'></button><button>view</button><a href='/about'>us</a><a href='/visit'>Print visit</a>"
+    frame = spark.createDataFrame([(1, "http://h.example/p", html), (2, None, html), (3, "http://[bad", html)], "page_id long, url string, html string")
+    assert [(r["text"], r["href"]) for r in pages.extract_links(frame).where("page_id = 1").collect()] == [("A", "http://h.example/visit?id=1"), ("Open note", "http://h.example/notes/1")]
+
+
+def test_splits(spark):
+    own = lambda t, c: one(spark, pages.split_texts(F.lit(t), F.lit(c)))
+    assert own("First visit\n3/4/2024\nall\nSecond one\nMar 5, 2024\nwell", "letters") == ["First visit\n3/4/2024\nall", "Second one\nMar 5, 2024\nwell"]
+    note = "Progress Notes by A\n3/4/2024\nPlan: rest\nNext\n3/5/2024\nx"
+    assert own(note, "visits") == [note]
+    assert own("Acetaminophen tablet\nTake one\nIbuprofen capsule\nTake two", "medications") == ["Acetaminophen tablet\nTake one", "Ibuprofen capsule\nTake two"]
 
 
 def test_categories_and_scopes():
@@ -188,16 +204,65 @@ def test_bad_export_lines(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from sheaf.streaming.merge import stream_merge
+    from sheaf.streaming.merge import read_records, stream_merge
 
     rows = spark.createDataFrame([(str(i % 20), f"https://h.example/{i % 5}", f"t{i}", float(i), i) for i in range(60)], RECORD)
     rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(RECORD).parquet(f"file://{tmp_path}/in")
     stream_merge(stream, f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint").awaitTermination()
-    found = {tuple(r) for r in store.read_generation(spark, f"file://{tmp_path}/store", "records").select("id", "title").collect()}
+    found = {tuple(r) for r in read_records(spark, f"file://{tmp_path}/store").select("id", "title").collect()}
     assert found == {tuple(r) for r in merge.latest_in_batch(rows).select("id", "title").collect()}
 
 
+def test_batches_make_the_same_store_as_upserts(spark, tmp_path, monkeypatch):
+    """A log of changes, put together every few batches, against whole upserts; a batch that comes again changes nothing."""
+    from sheaf.streaming import merge as log
+
+    monkeypatch.setattr(log, "PARTS", 3)
+    path, whole = f"file://{tmp_path}/log", None
+    for n in range(9):
+        rows = [(str((n * 7 + i) % 23), f"https://h.example/{(n + i) % 6}", f"t{n}-{i}", float(n), n * 10 + i) for i in range(6)]
+        batch = spark.createDataFrame(rows, RECORD)
+        for _ in range(2):
+            log.merge_batch(spark, path, batch, n)
+        incoming = merge.latest_in_batch(batch)
+        whole = incoming if whole is None else merge.upsert(whole, incoming).where("delta <> 'deleted'").drop("delta")
+        whole = spark.createDataFrame(whole.collect(), RECORD)
+        assert sorted(map(tuple, log.read_records(spark, path).collect())) == sorted(map(tuple, whole.collect()))
+    assert len(log._log(spark, path)[1]) <= 3
+
+
+def test_a_pointer_that_was_not_finished_is_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    assert store.read_generation(spark, path, "t") is None
+    store.write_generation({"t": spark.range(3)}, path)
+    (tmp_path / "store/current/000000000001").mkdir(parents=True)
+    assert store.read_generation(spark, path, "t").count() == 3
+    store.write_generation({"t": spark.range(4)}, path)
+    assert store.read_generation(spark, path, "t").count() == 4
+
+
+def test_sync_state(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"syncMetadata": {"runs": {"a": {"in_progress": false, "freshness_safe": true, "error_count": 2}}, "visitedUrls": {"u": "2024-01-01T00:00:00Z"}, "canonicalCoverage": 7}, "settings": {"x": 1}, "history": [{"e": 1}]}')
+    got = store.read_sync_state(spark, f"file://{tmp_path}/s.json")
+    assert got["runs"].first()["error_count"] == 2 and got["visited"].first()["url_key"] == "u" and got["coverage"].count() == 0 and got["settings"].first()["value"] == "1" and got["history"].count() == 1
+    assert all(t.count() == 0 for t in store.read_sync_state(spark, f"file://{tmp_path}/none.json").values())
+
+
+def test_labs_of_notes_and_lists():
+    assert labs.lab_groups("Seen\nCollection Time: 03/04/24 8:15 AM\nWBC 5 K/uL") == []
+    assert [c["name"] for c in labs.components("Sodium\nNormal\nValue 7 mg/dL\nCollected on 3/4/2024\nFinal result")] == ["Sodium"]
+    assert labs.split_medications("Acetaminophen tablet\nTake one\nIbuprofen capsule\nTake two") == ["Acetaminophen tablet\nTake one", "Ibuprofen capsule\nTake two"]
+
+
+def test_nothing_is_planned_behind_a_stop(spark):
+    rows = [(f"u{i}", 1, i, True, i in (1, 2, 5), 1) for i in range(8)]
+    frame = spark.createDataFrame(rows, "url string, priority int, pos int, strict boolean, broad boolean, expected int")
+    out = [(r["url"], r["stopped"]) for r in frontier.plan(frame, 6, max_broad=1).orderBy("position").collect()]
+    assert out == [("u0", ""), ("u1", ""), ("u2", "max_broad")]
+    assert frontier.plan(frame, 6, max_records=3).where("stopped = ''").count() == 3
+
+
 @pytest.fixture
 def many_ranges(spark):
     """Range bounds from small samples, and small partitions kept apart, as large tables have it."""
@@ -229,7 +294,7 @@ def test_numbers_of_a_scope_with_most_rows(spark, many_ranges):
 
 def colliding_texts():
     """Two texts of one title whose ids' hash, with the title before them, is the same."""
-    title, seen = "Follow up of the plan", {}
+    title, seen = "Follow up of the visit", {}
     start = f"{title}\n{title}\nAll is well with "
     for a, b, c in itertools.product(string.ascii_letters + string.digits, repeat=3):
         h = 5381
