@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, decontam, jaccard, langid, linededup, pii, quality, warc
+from sheaf.llm import ann, bpe, chat, curriculum, decontam, divergence, jaccard, langid, linededup, pii, quality, warc, whitening
 from sheaf.llm.common import table
 from sheaf.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 
@@ -95,4 +95,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(alone)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op6_language_id, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join)}
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, and where in the mix it stands first."""
+    mixed = curriculum.per_document(curriculum.mix(table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between sources of a language, and the terms that tell each source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of each vector."""
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii_surrogates, op4_warc, op5_line_dedup, op6_language_id, op7_chat_format, op8_hilbert_ann, op9_decontaminate, op10_jaccard_join, op11_mix, op12_divergence, op13_whitening)}
