@@ -131,3 +131,18 @@ def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     existing = base.where(c("n") % 10 < 8)
     incoming = base.where(((c("n") % 10 >= 6) & (c("n") % 100 < 50)) | (c("n") % 10 >= 8)).withColumn("value", F.when(c("n") % 3 == 0, c("value") + 1).otherwise(c("value")))
     return existing.drop("n"), incoming.drop("n")
+
+
+def stored_rows(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of `batches` with the category and patient by which a store in parts lays them."""
+    c = F.col
+    own = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), c("event_type").alias("category"), _patient(c("user_id").cast("string"), c("user_id").cast("string")).alias("patient"))
+    return rows.join(own, "id")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of 500 pages that are read again and again: `seq` numbers a page's readings."""
+    c = F.col
+    source = F.concat(F.lit(f"{PORTAL}/page?id="), (c("event_id") % 500).cast("string"))
+    who = c("user_id").cast("string")
+    return table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), source.alias("source_url"), c("event_type").alias("title"), "value", c("event_type").alias("category"), _patient(who, who).alias("patient"), F.floor(c("event_id") / 2000).alias("seq"))

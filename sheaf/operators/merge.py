@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from sheaf.functions.dates import group_date
 from sheaf.functions.text import first_nonempty, or_empty
 from sheaf.functions.urls import is_past_visit_detail, source_url_key, visit_key
 from sheaf.operators.records import index_card
+from sheaf.sources.shared import materialise
 
 
 def _shell() -> Column:
@@ -113,16 +116,60 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(or_empty(title)), r"\([^)]*\)", " "), "[^a-z0-9]+", " "))
 
 
+#: Lengths of the substrings by which titles are found; a title is asked for by its longest.
+GRAMS = (1, 2, 4, 8, 16, 32)
+
+
+def _grams(title: Column, length: Column) -> Column:
+    """The distinct substrings of one length; none of a shorter title."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(title) - length + 1, F.lit(1)))
+    return F.when(F.length(title) >= length, F.array_distinct(F.transform(starts, lambda i: F.substr(title, i, length)))).otherwise(F.array())
+
+
+def contained(small: DataFrame, large: DataFrame, by: Sequence[str], title: str) -> DataFrame:
+    """Pairs of a title of `small` that stands in one of `large` with the same `by`: `by`, `small`, `large`. Both hold distinct, not empty titles.
+
+    What stands in a title has all its substrings there. Each title of `large` gives its
+    substrings of the lengths `GRAMS`, each of `small` asks for one: of its longest
+    length the one that the fewest titles of `large` have. So titles meet by an equal
+    substring, not all of a group with all; a title with a substring that none has
+    falls out at once.
+    """
+    longest = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length(title)))
+    asked_lengths = small.select(*by, longest.alias("__n")).distinct()
+    every = F.array(*(F.struct(F.lit(n).alias("n"), _grams(F.col(title), F.lit(n)).alias("gs")) for n in GRAMS))
+    each = large.select(*by, F.col(title).alias("large"), F.explode(every).alias("e")).select(*by, "large", F.col("e.n").alias("__n"), F.col("e.gs").alias("__gs"))
+    # Only lengths that a title of the group asks for are spread out.
+    each = each.where(F.size("__gs") > 0).join(asked_lengths, [*by, "__n"], "left_semi").select(*by, "large", "__n", F.explode("__gs").alias("__g"))
+    stored = materialise(each, "grams")
+    having = stored.groupBy(*by, "__n", "__g").agg(F.count("*").alias("__have"))
+    asks = small.select(*by, F.col(title).alias("small"), longest.alias("__n"))
+    own = asks.select("*", F.explode(_grams(F.col("small"), F.col("__n"))).alias("__g")).join(having, [*by, "__n", "__g"], "left")
+    # One of its substrings that nobody has settles a title.
+    best = own.groupBy(*by, "small", "__n").agg(F.min(F.struct(F.coalesce("__have", F.lit(0)).alias("have"), F.col("__g").alias("g"))).alias("b")).where("b.have > 0")
+    met = best.select(*by, "small", "__n", F.col("b.g").alias("__g")).join(stored, [*by, "__n", "__g"])
+    return met.where(F.contains("large", "small")).select(*by, "small", "large")
+
+
 def unmatched_derived(derived: DataFrame, stored: DataFrame) -> DataFrame:
     """Derived rows without a stored lab of the same patient and day whose title equals, contains or is contained in theirs.
 
-    Stored titles are made distinct before the join, so a heavy day meets each title
-    once. Rows that lack a part of the key stay.
+    Titles of a patient's day are compared once each, by `contained` in both
+    directions, so a day of very many titles is no product of them. Rows that lack a
+    part of the key stay.
     """
+    by = ["__who", "__day"]
     who = first_nonempty("patient.key", "patient.label")
     day = group_date(F.col("date"))["day_key"]
-    labs = stored.where("category = 'test-results'").select(who.alias("s_who"), day.alias("s_day"), title_key(F.col("title")).alias("s_title")).where("s_who <> '' and s_day <> '' and s_title <> ''").distinct()
+    whole = "__who <> '' and __day <> '' and __title <> ''"
+    labs = stored.where("category = 'test-results'").select(who.alias("__who"), day.alias("__day"), title_key(F.col("title")).alias("__title")).where(whole).distinct()
     group = F.col("derived_from.group_title") if "derived_from" in derived.columns else F.lit("")
     own = derived.withColumns({"__who": who, "__day": day, "__title": title_key(first_nonempty(group, "title"))})
-    near = (F.col("s_who") == F.col("__who")) & (F.col("s_day") == F.col("__day")) & (F.contains("s_title", "__title") | F.contains("__title", "s_title")) & (F.col("__title") != "")
-    return own.join(labs, near, "left_anti").select(*derived.columns)
+    asked = own.select(*by, "__title").where(whole).distinct()
+    # Only titles of days that both sides have can meet.
+    asked = materialise(asked.join(labs.select(*by).distinct(), by, "left_semi"), "asked")
+    labs = materialise(labs.join(asked.select(*by).distinct(), by, "left_semi"), "labs")
+    inner = contained(asked, labs, by, "__title").select(*by, F.col("small").alias("__title"))
+    outer = contained(labs, asked, by, "__title").select(*by, F.col("large").alias("__title"))
+    known = materialise(inner.union(outer).distinct(), "known")
+    return own.join(known, [*by, "__title"], "left_anti").select(*derived.columns)

@@ -919,3 +919,63 @@ def io6_pull_state(spark: SparkSession, sf: str) -> DataFrame:
     write_pull_state(spark, folder, marks.drop("even"))
     write_pull_state(spark, folder, marks.where("even").drop("even").withColumn("last_clinical_date", F.lit("2024-02-01")))
     return read_pull_state(spark, folder).select("scope_key", "last_clinical_date", "last_record_count")
+
+
+@query(f"""{SETS}, m AS (SELECT coalesce(i.n, e.n) AS n, coalesce(i.value, e.value) AS value, i.n IS NULL AND e.s IN (SELECT s FROM i) AS gone FROM e FULL JOIN i ON e.n = i.n)
+    SELECT n::VARCHAR AS id, event_type AS category, user_id::VARCHAR AS patient, m.value FROM m JOIN events ON event_id = n WHERE NOT gone""")
+def io7_bucketed_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches merged into a store of parts (IO7 with J8), and what it holds then."""
+    from sheaf.sources import buckets
+    from sheaf.sources.shared import new_folder
+
+    old, new = (B.stored_rows(x, spark, sf) for x in B.batches(spark, sf))
+    folder = new_folder(spark, "parts")
+    buckets.create(spark, folder, old, buckets.Layout(categories=("click", "view"), buckets=8, key_buckets=8))
+    for batch in (old, new):
+        buckets.merge_into(batch, folder)
+    return buckets.read_records(spark, folder).select("id", "category", c("patient.key").alias("patient"), "value")
+
+
+@query(f"""SELECT event_id::VARCHAR AS id, event_type AS title, value, TRUE AS bounded FROM (SELECT *, event_id // 2000 AS seq, max(event_id // 2000) OVER (PARTITION BY event_id % 500) AS last FROM events) WHERE seq = last""")
+def s1_bounded_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of pages that arrive in four files, merged into a store of parts one file a checkpoint; `bounded` says that each file was one."""
+    from sheaf.sources import buckets
+    from sheaf.sources.shared import new_folder
+    from sheaf.streaming.merge import page_stream, stream_checkpoints
+
+    rows, folder = B.readings(spark, sf), new_folder(spark, "arrivals")
+    last = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    for k in range(4):
+        rows.where(F.floor(c("seq") * 4 / last) == k).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    buckets.create(spark, f"{folder}/store", rows, buckets.Layout(categories=("click", "view"), buckets=4, key_buckets=4))
+    stream_checkpoints(page_stream(spark, f"{folder}/pages", rows.schema, files=1), f"{folder}/store", f"{folder}/checkpoint", every=None).awaitTermination()
+    bounded = buckets.opened(spark, f"{folder}/store").batch_id == 3
+    return buckets.read_records(spark, f"{folder}/store").select("id", "title", "value", F.lit(bounded).alias("bounded"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, row_number() OVER w AS position, row_number() OVER w - 1 AS pages, coalesce(sum((o_orderkey % 6 = 5)::INT) OVER b, 0) AS broads, coalesce(sum(n) OVER b, 0) AS records
+        FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+        WINDOW w AS (ORDER BY o_orderkey % 3, o_orderkey % 2 DESC, o_orderkey), b AS (ORDER BY o_orderkey % 3, o_orderkey % 2 DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, CASE WHEN pages >= (SELECT count(*) * 9 // 10 FROM orders) THEN 'max_pages' WHEN records >= (SELECT count(*) * 8 // 10 FROM lineitem) THEN 'max_records' WHEN o_orderkey % 6 = 5 AND broads >= 1000000 THEN 'max_broad' ELSE '' END AS stopped FROM t)
+    SELECT o_orderkey AS id, position::BIGINT AS position, stopped FROM s WHERE position <= (SELECT min(position) FROM s WHERE stopped <> '')""")
+def t3_plan_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as targets that give as many records as they have line items, up to budgets that most of them fit in."""
+    items = B.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("expected"))
+    every = B.table(spark, sf, "orders").join(items, "o_orderkey", "left")
+    total = every.agg(F.count("*"), F.sum("expected")).first()
+    k = c("o_orderkey")
+    targets = every.select(k.cast("string").alias("url"), (k % 3).alias("priority"), k.alias("pos"), (k % 2 == 1).alias("strict"), (k % 6 == 5).alias("broad"), "expected")
+    return frontier.plan(targets, total[0] * 9 // 10, 1_000_000, (total[1] or 0) * 8 // 10).select(c("pos").alias("id"), "position", "stopped")
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, string_split(lower(o_orderpriority), '-')[2] || ' ' || o_orderkey % 7 AS t FROM orders WHERE o_orderkey % 2 = 0),
+    d AS (SELECT o_custkey, o_orderkey, 'panel ' || CASE WHEN o_orderkey % 4 = 1 THEN string_split(lower(o_orderpriority), '-')[2] || ' ' || o_orderkey % 7 || ' total' ELSE '' || o_orderkey % 7 END AS t FROM orders WHERE o_orderkey % 2 = 1)
+    SELECT o_orderkey AS id FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_custkey = d.o_custkey % 10 AND (contains(d.t, s.t) OR contains(s.t, d.t)))""")
+def j5_hot_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived titles of ten patients' one day each, which hold a tenth of all stored titles."""
+    own, k = B.table(spark, sf, "orders"), c("o_orderkey")
+    said = F.concat(F.element_at(F.split(F.lower("o_orderpriority"), "-"), 2), F.lit(" "), (k % 7).cast("string"))
+    row = lambda who, title: [k.cast("string").alias("id"), F.struct(who.cast("string").alias("key"), F.lit("").alias("label")).alias("patient"), F.lit("test-results").alias("category"), title.alias("title"), F.lit("January 5, 2024").alias("date")]
+    stored = own.where(k % 2 == 0).select(*row(c("o_custkey"), said))
+    derived = own.where(k % 2 == 1).select(*row(c("o_custkey") % 10, F.concat(F.lit("Panel "), F.when(k % 4 == 1, F.concat(said, F.lit(" total"))).otherwise((k % 7).cast("string")))))
+    return merge.unmatched_derived(derived, stored).select(c("id").cast("long").alias("id"))

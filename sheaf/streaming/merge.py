@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pyspark.sql.types import StructType
+
 from sheaf.operators.merge import ids_to_replace, latest_in_batch, row_key
+from sheaf.sources.buckets import merge_into
 from sheaf.sources.store import read_generation, write_generation
 
 #: Batches after which the parts of a store are put together.
@@ -75,3 +78,32 @@ def stream_merge(rows: DataFrame, store: str, checkpoint: str, interval: str | N
     spark = rows.sparkSession
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_batch(spark, store, df, n, seq))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+#: A checkpoint takes in so many files of pages, or what has come in so long.
+CHECKPOINT_FILES, CHECKPOINT_EVERY = 10, "10 seconds"
+
+
+def page_stream(spark: SparkSession, folder: str, schema: StructType, files: int = CHECKPOINT_FILES, most_bytes: str | None = None) -> DataFrame:
+    """Rows of the files that arrive in `folder`, oldest first, at most `files` of them (or `most_bytes`) a batch: a checkpoint that follows is bounded, however many wait."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxBytesPerTrigger", most_bytes) if most_bytes else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder)
+
+
+def stream_checkpoints(rows: DataFrame, store: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY, seq: str = "seq") -> StreamingQuery:
+    """Merge a bounded stream (see `page_stream`) into a store in parts (see `sources.buckets`): each batch is one checkpoint, which reads and writes only the parts it touches.
+
+    A checkpoint that fails ends the query and leaves the store as the last one
+    published it; started again with the same `checkpoint`, the query repeats the
+    failed batch, and one that was published already changes nothing. With `every` a
+    batch starts so often, else the query takes what is there, in bounded batches, and
+    ends. Of a source that a batch reads twice the greatest `seq` counts; between
+    batches the later one does.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        merge_into(latest_in_batch(batch, seq), store, batch_id=number)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
