@@ -37,22 +37,22 @@ SMOOTH = 2
 #: Sources in a block of a term's postings.
 BLOCK = 64
 #: Entries that a task counts before it hands them on, and bytes of a text that it splits at once.
-HELD, PIECE = 200_000, 1 << 20
+HELD, PIECE = 400_000, 1 << 20
+#: Pairs of entries that are corrected at once, and matrices of pairs of blocks that a task holds.
+PAIRS, MATRICES = 1 << 18, 256
 
 #: Byte by byte: letters in lower case, bytes beyond ASCII as they are, all else a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def term_counts(text: bytes) -> Counter:
-    """The terms of a text in UTF-8 (runs of letters and of what is beyond ASCII) and how often each stands there."""
-    found: Counter = Counter()
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8 (runs of letters and of what is beyond ASCII), a piece of it at a time."""
     letters, at = text.translate(LETTERS), 0
     while at < len(letters):
         end = letters.find(b" ", at + PIECE)
         end = len(letters) if end < 0 else end
-        found.update(letters[at:end].split())
+        yield letters[at:end].split()
         at = end
-    return found
 
 
 def _counted(batches: Iterator) -> Iterator:
@@ -63,20 +63,21 @@ def _counted(batches: Iterator) -> Iterator:
 
     def parts() -> Iterator:
         for (lang, source), (count, docs) in groups.items():
-            terms = [None, *count]
-            yield pa.RecordBatch.from_pydict(
-                {"lang": [lang] * len(terms), "source": [source] * len(terms), "term": pa.array([None, *(t.decode("utf-8", "replace") for t in count)], pa.string()), "count": [0, *count.values()], "docs": [0, *(docs[t] for t in count)]},
-                schema=pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())]),
-            )
+            n = len(count) + 1
+            terms = pa.array([None, *count], pa.binary()).cast(pa.string(), safe=False)
+            own = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), terms, pa.array([0, *count.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, count)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, names=["lang", "source", "term", "count", "docs"])
         groups.clear()
 
     held = 0
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             count, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            before, own = len(count), term_counts(text)
-            count.update(own)
-            docs.update(own.keys())
+            before, seen = len(count), set()
+            for piece in terms_of(text):
+                count.update(piece)
+                seen.update(piece)
+            docs.update(seen)
             held += len(count) - before + 1
             if held > HELD:
                 yield from parts()
@@ -85,9 +86,10 @@ def _counted(batches: Iterator) -> Iterator:
 
 
 def probability(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(SCALE (count + 2) / (n + 2 v)), exact also where the product passes a long."""
-    top = (count + SMOOTH).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return (F.call_function("div", top, (n + 2 * v).cast("decimal(20,0)")) + 1).cast("long")
+    """1 + floor(SCALE (count + 2) / (n + 2 v)), in longs, and exact also where the product passes one."""
+    whole = F.call_function("div", (count + SMOOTH) * F.lit(SCALE).cast("long"), n + 2 * v)
+    wide = F.call_function("div", (count + SMOOTH).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), (n + 2 * v).cast("decimal(20,0)"))
+    return (F.when(count < F.lit(9 * SCALE), whole).otherwise(wide) + 1).cast("long")
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -105,6 +107,11 @@ def _both(batches: Iterator) -> Iterator:
     def f(p, q):
         return (p - q) ** 2 // (p + q)
 
+    def entries(column) -> tuple:
+        """Where each row's entries start, how many there are, and the fields of all of them."""
+        offsets = np.asarray(column.offsets)
+        return offsets[:-1], np.diff(offsets), *(np.asarray(column.values.field(k)) for k in ("at", "p", "zero"))
+
     def parts() -> Iterator:
         for (lang, i, j), m in sums.items():
             at = np.argwhere(m)
@@ -113,12 +120,28 @@ def _both(batches: Iterator) -> Iterator:
         sums.clear()
 
     for batch in batches:
-        for lang, i, j, own, other in zip(*(batch.column(c).to_pylist() for c in ("lang", "i", "j", "own", "other")), strict=True):
-            a, b = (np.array([(e["at"], e["p"], e["zero"]) for e in x], dtype=np.int64).T for x in (own, other))
-            (p, p0), (q, q0) = a[1:, :, None], b[1:, None, :]
-            m = sums.setdefault((lang, i, j), np.zeros((BLOCK, BLOCK), dtype=np.int64))
-            m[np.ix_(a[0], b[0])] += f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
-            if len(sums) > 256:
+        (start_a, n_a, at_a, p_a, zero_a), (start_b, n_b, at_b, p_b, zero_b) = entries(batch.column("own")), entries(batch.column("other"))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "i", "j")), strict=True))
+        # All pairs of a row's entries, for as many rows at once as give a bounded number of pairs.
+        products = np.cumsum(n_a.astype(np.int64) * n_b)
+        first = 0
+        while first < len(keys):
+            last = max(int(np.searchsorted(products, (products[first - 1] if first else 0) + PAIRS, "right")), first + 1)
+            rows = np.arange(first, last)
+            size = n_a[rows].astype(np.int64) * n_b[rows]
+            row = np.repeat(rows, size)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            x, y = start_a[row] + k // n_b[row], start_b[row] + k % n_b[row]
+            p, q, p0, q0 = p_a[x], p_b[y], zero_a[x], zero_b[y]
+            value = f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
+            own = {key: n for n, key in enumerate(dict.fromkeys(keys[first:last]))}
+            at = (np.array([own[key] for key in keys[first:last]])[row - first] * BLOCK + at_a[x]) * BLOCK + at_b[y]
+            total = np.zeros(len(own) * BLOCK * BLOCK, dtype=np.int64)
+            np.add.at(total, at, value)
+            for key, m in zip(own, total.reshape(-1, BLOCK, BLOCK), strict=True):
+                sums[key] = sums[key] + m if key in sums else m
+            first = last
+            if len(sums) > MATRICES:
                 yield from parts()
     yield from parts()
 
@@ -143,12 +166,14 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     plain = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     thin = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     counted = thin.mapInArrow(_counted, "lang string, source string, term string, count long, docs long")
-    counts = materialise(counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counts")
-
-    terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    terms = materialise(terms.select("lang", "term", "total"), "terms")
-    langs = terms.groupBy("lang").agg(F.sum("total").alias("lang_n"), F.count("*").alias("v"))
-    kept = materialise(counts.where("term is not null").drop("docs").join(terms, ["lang", "term"]), "kept")
+    # Tasks have counted what they read, so rows are dealt as they are, by term: sums by
+    # source and sums over sources then meet in the same place.
+    counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    over = W.partitionBy("lang", "term")
+    counts = counts.select("lang", "source", "term", "count", F.sum("count").over(over).alias("total"), F.sum("docs").over(over).alias("docs"), (F.min("source").over(over) == F.col("source")).alias("head"))
+    counts = materialise(counts.where((F.col("docs") >= least) | F.col("term").isNull()).drop("docs"), "counts")
+    kept = counts.where("term is not null")
+    langs = kept.groupBy("lang").agg(F.sum("count").alias("lang_n"), F.count_if("head").alias("v"))
 
     sizes = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("rows"))
     groups = counts.where("term is null").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -180,8 +205,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     # At most BLOCK entries: a source stands once in a term's postings.
     blocks = postings.groupBy("lang", "term", block.alias("i")).agg(F.collect_list(entry).alias("own"))
     blocks = materialise(blocks, "blocks")
-    met = blocks.join(blocks.select("lang", "term", F.col("i").alias("j"), F.col("own").alias("other")), ["lang", "term"]).where("i < j").select("lang", "i", "j", "own", "other")
-    met = met.union(blocks.select("lang", "i", F.col("i").alias("j"), "own", F.col("own").alias("other")))
+    met = blocks.select("lang", "i", F.col("i").alias("j"), "own", F.col("own").alias("other"))
+    if (groups.agg(F.max("no")).first()[0] or 0) >= BLOCK:
+        others = blocks.where("i > 0").select("lang", "term", F.col("i").alias("j"), F.col("own").alias("other"))
+        met = met.union(blocks.join(others, ["lang", "term"]).where("i < j").select("lang", "i", "j", "own", "other"))
     both = met.mapInArrow(_both, "lang string, a long, b long, value long")
     both = materialise(both.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")).where("a <> b"), "both")
     # Blocks meet themselves in both orders, others in one.
