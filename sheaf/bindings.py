@@ -146,3 +146,18 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit(f"{PORTAL}/page?id="), (c("event_id") % 500).cast("string"))
     who = c("user_id").cast("string")
     return table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), source.alias("source_url"), c("event_type").alias("title"), "value", c("event_type").alias("category"), _patient(who, who).alias("patient"), F.floor(c("event_id") / 2000).alias("seq"))
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portal's site with a page for each order but the first, which is its list of results: each leads to eight others, every seventh only by an address of a route that is not recognised; some of what it leads to is not there."""
+    c, k = F.col, F.col("o_orderkey")
+
+    def address(n: Column) -> Column:
+        plain = F.concat(F.lit(f"{PORTAL}/app/test-results/details?eorderid="), n.cast("string"))
+        other = F.concat(F.lit(f"{PORTAL}/clinical/result/more?orderid="), n.cast("string"))
+        return F.when(n == 0, f"{PORTAL}/app/test-results").when(n % 7 == 3, other).otherwise(plain)
+
+    anchor = lambda n: F.concat(F.lit('<li><a href="'), address(n), F.lit('">Result details</a></li>'))
+    more = F.array_join(F.transform(F.sequence(k * 8 + 1, k * 8 + 8), anchor), "")
+    html = F.concat(F.lit("<main><ul>"), more, anchor(F.greatest(F.floor((k - 1) / 8), F.lit(0))), F.lit(f'<li><a href="{PORTAL}/app/test-results/past-result-details?orderid=1">View trends</a></li></ul></main>'))
+    return table(spark, sf_dir, "orders").select(k.alias("page_id"), address(k).alias("url"), html.alias("html"))

@@ -979,3 +979,43 @@ def j5_hot_days(spark: SparkSession, sf: str) -> DataFrame:
     stored = own.where(k % 2 == 0).select(*row(c("o_custkey"), said))
     derived = own.where(k % 2 == 1).select(*row(c("o_custkey") % 10, F.concat(F.lit("Panel "), F.when(k % 4 == 1, F.concat(said, F.lit(" total"))).otherwise((k % 7).cast("string")))))
     return merge.unmatched_derived(derived, stored).select(c("id").cast("long").alias("id"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT max(o_orderkey) AS last FROM orders),
+    v AS (SELECT 0::BIGINT AS k UNION ALL SELECT v.k * 8 + j FROM v, (SELECT unnest(range(1, 9)) AS j), n WHERE v.k <= last AND v.k % 10 <> 9),
+    s AS (SELECT k, CASE WHEN k % 10 = 9 AND k > 0 THEN 'skipped' WHEN k > last THEN 'failed' ELSE 'visited' END AS status FROM v, n)
+    SELECT CASE WHEN k = 0 THEN 'https://portal.example.org/app/test-results' WHEN k % 7 = 3 THEN 'https://portal.example.org/clinical/result/more?orderid=' || k ELSE 'https://portal.example.org/app/test-results/details?eorderid=' || k END AS url,
+        CASE WHEN k = 0 THEN 'discovery' WHEN k % 7 = 3 THEN 'unknown-clinical' ELSE 'result-detail' END AS route_class, status FROM s""")
+def e5_crawl_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """All that a run visits of a site, from a portal's list of results on; details whose number ends in 9 were visited before."""
+    from sheaf.jobs.crawl import crawl_job
+
+    site = B.site_pages(spark, sf)
+    known = site.where(c("page_id") % 10 == 9).select("url", F.lit("").alias("text"), F.lit("test-results").alias("category"))
+    beyond = B.table(spark, sf, "orders").select(F.explode(F.sequence(c("o_orderkey") * 8 + 1, c("o_orderkey") * 8 + 8)).alias("k")).where("k % 10 = 9")
+    other = F.concat(F.when(c("k") % 7 == 3, f"{B.PORTAL}/clinical/result/more?orderid=").otherwise(f"{B.PORTAL}/app/test-results/details?eorderid="), c("k").cast("string"))
+    known = known.unionByName(beyond.select(other.alias("url"), F.lit("").alias("text"), F.lit("test-results").alias("category")))
+    covered = frontier.classified(known).select("identity_hash")
+    seeds = frontier.seeds(spark.range(1).select(F.lit(B.PORTAL).alias("base_url")), categories=["test-results"])
+    run = crawl_job(site, seeds, coverage=covered, budgets=frontier.Budgets(broad=1 << 40), expected_origin=B.PORTAL)
+    return run.visits.select("url", "route_class", "status")
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'imaging' WHEN 1 THEN 'test-results' WHEN 2 THEN 'visits' END AS category,
+        'https://portal.example.org/inside.asp?mode=proxyswitch&action=switchcontext&eid=' || o_orderkey || '&redirecturl=' || CASE o_orderkey % 4 WHEN 0 THEN 'Imaging%2FList' WHEN 1 THEN '%2Fapp%2Ftest-results' WHEN 2 THEN '%2Fapp%2Fvisits' ELSE '%2Fhome' END AS url FROM orders)
+    SELECT category, url, CASE WHEN category = 'visits' THEN 0.75 ELSE 0.5 END::DOUBLE AS priority, TRUE AS refresh FROM s WHERE category IN ('test-results', 'visits')
+    UNION ALL SELECT category, 'https://portal.example.org' || path, priority, TRUE FROM (VALUES ('test-results', '/app/test-results', 1.0), ('visits', '/app/visits', 2.0)) t(category, path, priority)
+    UNION ALL SELECT 'visits', 'https://portal.example.org/app/visits/note?noteid=7&csn=' || o_orderkey, 0.0, FALSE FROM orders WHERE o_orderkey % 6 = 1""")
+def g9_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Where runs start: a portal's categories, switches of patients read off a page for each order, and listed addresses."""
+    k = c("o_orderkey")
+    lead = F.when(k % 4 == 0, "Imaging%2FList").when(k % 4 == 1, "%2Fapp%2Ftest-results").when(k % 4 == 2, "%2Fapp%2Fvisits").otherwise("%2Fhome")
+    switch = F.concat(F.lit(f"{B.PORTAL}/inside.asp?mode=proxyswitch&amp;action=switchcontext&amp;eid="), k.cast("string"), F.lit("&amp;redirecturl="), lead)
+    page_rows = B.table(spark, sf, "orders").select(k.alias("page_id"), F.lit(f"{B.PORTAL}/app/list").alias("url"), F.concat(F.lit('<p><a href="'), switch, F.lit('">Somebody</a><a href="/app/visits">Visits</a></p>')).alias("html"))
+    links = pages.extract_links(page_rows, keep="mode=proxyswitch")
+    listed = B.portal_urls(spark, sf).where("kind = 'note'").select(F.regexp_replace("url", "&view=.*$", "").alias("url"))
+    portals = spark.range(1).select(F.lit(f"{B.PORTAL}/").alias("base_url"))
+    some = ["test-results", "visits"]
+    switches = frontier.context_switches(links, some).select("category", "url", "priority", F.lit(True).alias("refresh"))
+    # A run takes switches of one path for one target, as their identities are equal.
+    return frontier.seeds(portals, listed, None, some).select("category", "url", "priority", "refresh").unionByName(switches)
