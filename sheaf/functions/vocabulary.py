@@ -38,13 +38,70 @@ class Vocabulary:
     findings: tuple[str, ...] = ("Physical Exam", "Vital Signs", "Vitals", "Objective", "Recent Results", "Fetal Monitoring", "Respiratory Support", "Nutrition", "Growth")
     judgement: tuple[str, ...] = ("Assessment and Plan", "Assessment", "Impression", "Problem List", "Hospital Course", "Discharge Summary", "Discharge Diagnosis", "Indication", "Complications")
     orders: tuple[str, ...] = ("Plan", "Instructions", "Home Medications", "Active Medications", "Medications", "Allergies", "Procedure", "Procedure Time", "Performing Provider", "Follow Up")
-    #: What only the body of a note says.
-    said: tuple[str, ...] = ("hospital course", "admit summary", "vital signs", "room air", "patient (?:states|reports|presents|denies|called)", "nurse spoke with", "was discharged", "discharged to")
+    #: What tells that a text is a note and no page frame: any of these, anywhere. Fixed values.
+    note_text: tuple[str, ...] = (
+        "progress notes? by",
+        "progress notes? signed by",
+        "progress note date of service",
+        "ed provider notes? by",
+        "procedure notes? by",
+        "telephone encounter by",
+        "plan of care by",
+        "lactation note by",
+        "h&p signed by",
+        "admit summary",
+        "neuraxial procedure note",
+        "chief complaint",
+        "history of present illness",
+        "reason for consult",
+        r"maternal hx\s*:",
+        r"lactation note\s*:",
+        r"assessment\s*:",
+        r"assessment and plan\s*:",
+        r"subjective\s*:",
+        r"objective\s*:",
+        r"procedure\s*:",
+        r"procedure note\s*:",
+        r"procedure time\s*:",
+        r"indications?\s*:",
+        r"complications?\s*:",
+        r"date/time note written\s*:",
+        r"preprocedure check\s*:",
+        r"performing provider\s*:",
+        r"authorizing provider\s*:",
+        "urine dip",
+        "flank pain",
+        "vitals?",
+        r"vs\s*:",
+        "reviewed that",
+        "patient (?:called|states?|here|presents)",
+        "nurse spoke with patient",
+        "hospital course",
+        "discharge",
+        "vital signs",
+        "physical exam dol",
+        "room air",
+        "nicu",
+        "infant",
+        "active medications?",
+        "respiratory support",
+        "fen assessment",
+        r"medications\s*:",
+        r"plan\s*:",
+        r"instructions?\s*:",
+    )
     #: Entries of a page's menu, and starts of lines that are only buttons.
     menu: tuple[str, ...] = ("menu", "main menu", "your menu", "home", "search", "search the menu", "clear search field", "close the menu", "change language", "high contrast", "log out", "switch patients", "messaging", "account settings", "skip navigation")
     buttons: tuple[str, ...] = ("view", "show", "hide", "expand", "collapse", "compare", "learn more")
-    #: Where the footer of a visit's page starts.
-    footer: tuple[str, ...] = ("interoperability guide", "terms and conditions", "privacy policy", "faqs")
+    #: Whole lines that are a page's own; a portal's names of itself go here too. Fixed values.
+    page_lines: tuple[str, ...] = (
+        "menu", "main menu", "search", "search the menu", "clear search field", "messaging", "home", "results", "test results", "test results list", "visits", "appointments and visits", "medications", "letters", "health summary",
+        "terms and conditions", "non-discrimination", "privacy policy", "copyright", "download", "print", "back to top", "share everywhere", "open scheduling", "log out", "logout", "close", "close the menu", "more", "next", "previous",
+        "additional information", "prescription details", "refill details", "request a refill", "remove", r"how can i help you\??", "schedule an appointment", "cancel an appointment", "reschedule an appointment", "pay my bill", "more options", "ask me a question",
+        "switch patients", "change language", "billing", "billing summary", "insurance", "insurance summary", "sharing",
+    )
+    #: Whole lines with which the footer of a visit's page starts; a portal's help desk goes here too. Fixed values.
+    footer: tuple[str, ...] = ("interoperability guide", "terms and conditions")
     #: Phrases of a page's own that stand inside clinical lines, by category ('' for all).
     widgets: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
@@ -69,9 +126,12 @@ class Vocabulary:
     #: Results that are words, and what stands before a value.
     word_results: tuple[str, ...] = ("positive", "negative", "detected", "not detected", "none seen")
     value_labels: tuple[str, ...] = ("normal range", "normal value", "your value is", "value")
-    #: Phrases of pages of visits that hold no note: of their lists, and of their details.
-    list_frames: tuple[str, ...] = ("load more past visits", "oldest record loaded", "there are no (?:upcoming|past) visits to display")
-    detail_frames: tuple[str, ...] = ("notes from care team", "after visit summary", "please enable javascript", "interoperability guide", "terms and conditions", "there are no (?:upcoming|past) visits to display", "this was a hospital visit")
+    #: Phrases of pages of visits that hold no note: of their lists, of their details, and titles of their frames. A portal's own page titles go here too. Fixed values.
+    list_frames: tuple[str, ...] = ("load more past visits", "oldest record loaded", "visit is from another organization", "there are no upcoming visits to display", "there are no past visits to display", "this was a hospital visit")
+    detail_frames: tuple[str, ...] = ("notes from care team", "after visit summary", "please enable javascript", "interoperability guide", "terms and conditions", "there are no upcoming visits to display", "there are no past visits to display", "this was a hospital visit")
+    frame_titles: tuple[str, ...] = ("notes from care team",)
+    #: Short titles of real notes. Fixed values.
+    note_titles: tuple[str, ...] = ("procedure notes?", "progress notes?", "ed provider notes?", "anesthesia procedure notes?", "anesthesia progress notes?", "anesthesia ed provider notes?")
     #: Marks of a page's program; a portal's own go here.
     program: tuple[str, ...] = ("<script\\b", "<meta http-equiv", "document\\.getElementById", "function\\(\\)\\{")
     #: Characters of a note at least, and of a page without a note at most. Fixed values.
@@ -102,8 +162,8 @@ def authored(v: Vocabulary) -> str:
 
 
 def substance(v: Vocabulary) -> str:
-    """What a text with a note's substance holds: a kind of note with its author, a heading with a colon, or a phrase of its body."""
-    return rf"(?i)(?:{authored(v)}|\b{any_of(v.headings)}\s*:|{any_of(v.said)})"
+    """What a text with a note's substance holds."""
+    return rf"(?i){any_of(v.note_text)}"
 
 
 def note_marker(v: Vocabulary) -> str:

@@ -125,7 +125,7 @@ def p9_text_hash(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT p_partkey, CASE WHEN {NAME_OK} THEN name ELSE '' END AS name FROM {NAMES}")
 def p10_infer_patient(spark: SparkSession, sf: str) -> DataFrame:
     k = c("p_partkey") % 3
-    said = F.when(k == 0, F.concat(F.lit("Menu. You are viewing "), c("name"), F.lit(", as of now"))).when(k == 1, F.concat(F.lit("Home\nHello, "), c("name"), F.lit("! Settings"))).otherwise(F.concat(F.lit("All records ("), c("name"), F.lit(")\nlog out")))
+    said = F.when(k == 0, F.concat(F.lit("Menu. You are viewing "), c("name"), F.lit(", as of now"))).when(k == 1, F.concat(F.lit("Home\nWelcome, "), c("name"), F.lit("! Settings"))).otherwise(F.concat(F.lit("All records ("), c("name"), F.lit(")\nlog out")))
     return B.part_names(spark, sf).select("p_partkey", people.infer_name(said).alias("name"))
 
 
@@ -160,9 +160,9 @@ def p14_route_identity(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumn("hash", F.sha2("identity", 256))
 
 
-@query(f"SELECT doc_id, md5(array_to_string({sql_lines('text')}, chr(10)) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || 'Terms and conditions apply' || chr(10) || 'more' END) AS digest FROM documents")
+@query(f"SELECT doc_id, md5(array_to_string({sql_lines('text')}, chr(10)) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Privacy policy reviewed with patient' ELSE chr(10) || 'Privacy policy reviewed with patient' || chr(10) || 'and so on' END) AS digest FROM documents")
 def p15_trim_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(c("text"), F.lit("\nLog out\nTerms and conditions apply\nmore"))
+    said = F.concat(c("text"), F.lit("\nLog out\nPrivacy policy reviewed with patient\nTerms and Conditions\nand so on"))
     category = F.when(c("doc_id") % 2 == 0, "visits").otherwise("letters")
     return B.table(spark, sf, "documents").select("doc_id", F.md5(clinical.trim_boilerplate(said, category)).alias("digest"))
 
@@ -416,7 +416,7 @@ def f4_looks_like_record(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "documents").select("doc_id", clinical.looks_like_record(said, F.lit("letters")).alias("looks"))
 
 
-LICENCE = clinical.Vocabulary(note_kinds=(), story=(), findings=(), judgement=(), orders=(), said=("licen[sc]e",), least_note=500, largest_shell=4000)
+LICENCE = clinical.Vocabulary(note_kinds=(), story=(), findings=(), judgement=(), orders=(), note_text=("licen[sc]e",), least_note=500, largest_shell=4000)
 
 
 @query(r"SELECT doc_id, regexp_matches(lower(text), 'licen[sc]e') AS substance, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 500 AND regexp_matches(lower(text), 'licen[sc]e') AS note FROM documents")
@@ -1019,3 +1019,30 @@ def g9_seeds(spark: SparkSession, sf: str) -> DataFrame:
     switches = frontier.context_switches(links, some).select("category", "url", "priority", F.lit(True).alias("refresh"))
     # A run takes switches of one path for one target, as their identities are equal.
     return frontier.seeds(portals, listed, None, some).select("category", "url", "priority", "refresh").unionByName(switches)
+
+
+#: What the default vocabulary takes for a note's substance, and the phrases of pages of visits that the rendering uses.
+NOTE_SQL = r"regexp_matches(lower(t), 'progress notes? by|progress notes? signed by|progress note date of service|ed provider notes? by|procedure notes? by|telephone encounter by|plan of care by|lactation note by|h&p signed by|admit summary|neuraxial procedure note|chief complaint|history of present illness|reason for consult|maternal hx\s*:|lactation note\s*:|assessment\s*:|assessment and plan\s*:|subjective\s*:|objective\s*:|procedure\s*:|procedure note\s*:|procedure time\s*:|indications?\s*:|complications?\s*:|date/time note written\s*:|preprocedure check\s*:|performing provider\s*:|authorizing provider\s*:|urine dip|flank pain|vitals?|vs\s*:|reviewed that|patient (called|states?|here|presents)|nurse spoke with patient|hospital course|discharge|vital signs|physical exam dol|room air|nicu|infant|active medications?|respiratory support|fen assessment|medications\s*:|plan\s*:|instructions?\s*:')"
+NOTED = """(SELECT doc_id, chr(10) || CASE doc_id % 8 WHEN 0 THEN 'Chief Complaint' || chr(10) || 'Fever' WHEN 1 THEN 'Flank pain since Monday' WHEN 2 THEN 'Privacy policy' WHEN 3 THEN 'Plan: rest' WHEN 4 THEN 'Plan of the week' WHEN 5 THEN 'Infant in NICU' WHEN 6 THEN 'Urine dip positive' ELSE 'Load more past visits' END || chr(10) || text AS t, text FROM documents)"""
+
+
+def noted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents behind lines of eight kinds, some of which only notes have."""
+    lines = ["Chief Complaint\nFever", "Flank pain since Monday", "Privacy policy", "Plan: rest", "Plan of the week", "Infant in NICU", "Urine dip positive", "Load more past visits"]
+    line = F.get(F.array(*map(F.lit, lines)), F.pmod("doc_id", F.lit(8)).cast("int"))
+    return B.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("\n"), line, F.lit("\n"), "text").alias("t"))
+
+
+@query(rf"SELECT doc_id, {NOTE_SQL} AS substance FROM {NOTED}")
+def f6_note_substance(spark: SparkSession, sf: str) -> DataFrame:
+    """Substance by the default vocabulary."""
+    return noted(spark, sf).select("doc_id", clinical.has_substance(c("t")).alias("substance"))
+
+
+@query(rf"""SELECT doc_id, NOT {NOTE_SQL} AND (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 8 = 7) OR length('Notes from Care Team' || t) > 50000) AS shell FROM {NOTED}""")
+def f7_page_shells(spark: SparkSession, sf: str) -> DataFrame:
+    """Shells by the default vocabulary: of frames by their titles, of lists by their phrases, of all else by size."""
+    k = c("doc_id") % 3
+    title = F.when(k == 0, "Notes from Care Team").otherwise("Visit")
+    url = F.when(k == 1, f"{B.PORTAL}/app/visits").otherwise(f"{B.PORTAL}/app/other")
+    return noted(spark, sf).select("doc_id", clinical.is_invalid_shell(F.lit("visits"), F.lit("visit"), title, F.concat(title, "t"), url).alias("shell"))

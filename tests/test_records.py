@@ -35,7 +35,7 @@ def test_extracted_dates(spark, said, found):
     assert one(spark, dates.extract_date(F.lit(said))) == found
 
 
-@pytest.mark.parametrize(("name", "ok"), [("Ann Lee", True), ("ANN LEE", False), ("Serum Glucose", False), ("Log Out", False), ("Baby Girl Lee", True), ("ann lee", False), ("A B C D E F g", False), ("", False)])
+@pytest.mark.parametrize(("name", "ok"), [("Ann Lee", True), ("ANN LEE", False), ("Serum Glucose", False), ("Ann Friday", True), ("Joan Visit", True), ("Ann Serum", True), ("Mary Panel", True), ("Zyrtec Daily", False), ("Results Only", False), ("Metabolic  Panel", False), ("Baby A B C D E", True), ("Baby A B C D E F", False), ("Log Out", False), ("Baby Girl Lee", True), ("ann lee", False), ("A B C D E F g", False), ("", False)])
 def test_names(spark, name, ok):
     assert one(spark, people.is_person_name(F.lit(name))) is ok
 
@@ -341,3 +341,39 @@ def test_notes_with_all_line_items(spark, sf):
     items = bindings.table(spark, sf, "lineitem").join(bindings.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").count()
     groups = F.size(F.split("raw_text", "Collection Time: ")) - 1
     assert bindings.note_text(spark, sf, None).agg(F.sum(groups)).first()[0] == items
+
+
+@pytest.mark.parametrize(
+    ("said", "name"),
+    [("Welcome, Ann Lee!", "Ann Lee"), ("Hello, Main Menu", ""), ("Hi Ann! I'm here to help", "Ann"), ("BBaby Lee Park", "Baby Lee Park"), ("BBoy Lee", "Boy Lee"), ("XBaby Lee Park", "Baby Lee Park"), ("Viewing: Office Visit", ""), ("Account Settings", ""), ("Patient: Ann Friday", ""), ("now viewing Joan Visit's chart", "Joan Visit")],
+)
+def test_whose_page_it_is(spark, said, name):
+    assert one(spark, people.infer_name(F.lit(said))) == name
+
+
+@pytest.mark.parametrize(
+    ("said", "substance"),
+    [
+        ("Notes from Care Team\nChief Complaint\nFever and flank pain since Monday.\nInfant in NICU.\nUrine dip positive", True), ("Chief Complaint", True), ("Flank pain", True), ("Infant", True), ("on room air", True),
+        ("Plan of the week", False), ("Plan : rest", True), ("Privacy policy", False), ("", False), (None, False),
+    ],
+)
+def test_notes_without_colons(spark, said, substance):
+    text = F.lit(said).cast("string")
+    shell = clinical.is_invalid_shell(F.lit("visits"), F.lit("visit-note"), F.lit("Notes from Care Team"), F.concat(F.lit("Notes from Care Team\n"), F.coalesce(text, F.lit(""))), F.lit(""))
+    assert one(spark, clinical.has_substance(text)) is substance and one(spark, shell) is not substance
+
+
+def test_frames_by_their_titles_and_sizes(spark):
+    shell = lambda title, text, kind="visit", url="", category="visits": one(spark, clinical.is_invalid_shell(F.lit(category), F.lit(kind), F.lit(title), F.lit(text), F.lit(url)))
+    assert shell("Notes from Care Team", "Notes from Care Team")
+    assert not shell("Progress Notes", "Notes from Care Team", "visit-note")
+    assert not shell("Visit", "Notes from Care Team") and shell("Visit", "Notes from Care Team", "visit-note")
+    assert shell("Visit", "Load more past visits", url="https://p.example.org/app/Visits") and not shell("Visit", "Load more past visits", category="", url="https://p.example.org/app/Visits")
+    assert shell("Visit", "x" * 50_001) and not shell("Visit", "x" * 50_000) and not shell("Visit", "x" * 60_000 + " infant")
+
+
+def test_only_whole_lines_start_a_footer(spark):
+    said = "Privacy policy reviewed with patient\nAssessment: stable\nPlan: rest\nFAQs\nPrivacy Policy\nTerms and Conditions\nPlan: none"
+    assert one(spark, clinical.trim_boilerplate(F.lit(said), F.lit("visits"))) == "Privacy policy reviewed with patient\nAssessment: stable\nPlan: rest\nFAQs"
+    assert one(spark, clinical.trim_boilerplate(F.lit(said), F.lit("letters"))).endswith("FAQs\nPlan: none")
