@@ -53,14 +53,16 @@ LATER_LETTERS = (
     (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18DF2),
     (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DFFF), (0x1E6C0, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
+#: Ranges of code points that count as numbers here and not to the tokenizers library. Fixed values.
+LATER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
 #: Capitals of later Unicode versions, as ranges with the distance of their small letters. Fixed values.
 LATER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
 LOWER = {c: chr(c + by) for a, b, by in LATER_CAPITALS for c in range(a, b + 1)}
 CAPITAL = regex.compile(f"[{''.join(map(chr, LOWER))}]")
-_later = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_LETTERS)
+_later = "".join(f"{chr(a)}-{chr(b)}" for a, b in (*LATER_LETTERS, *LATER_NUMBERS))
 LATER = regex.compile(f"[{_later}]")
-#: The splitting pattern for words with such characters.
-PIECE_LATER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_later}]]+|\p{{N}}|[[^{SPACE}\p{{L}}\p{{N}}]||[{_later}]]+")
+#: The splitting pattern for words with such characters, which count as symbols.
+PIECE_LATER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_later}]]+|[\p{{N}}--[{_later}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{_later}]]+")
 
 
 def pieces(words: str) -> list[str]:

@@ -105,7 +105,8 @@ def test_bpe_is_the_librarys(sf):
     from tokenizers import Tokenizer
 
     own, library = bpe.Bpe(bpe.word_vocabulary()), Tokenizer.from_file(bpe.word_vocabulary())
-    every = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Each code point beside letters, symbols, numbers and itself: each may be split from another.
+    every = [f"a{chr(c)}b!{chr(c)}1{chr(c)}{chr(c)}!" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(every), 100_000):
         some = every[at : at + 100_000]
         for text, known in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
@@ -113,6 +114,8 @@ def test_bpe_is_the_librarys(sf):
     texts = [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
     texts += ["", " ", "a<|endoftext|>B <|startoftext|>", "I'LL we've 12 ½ Ⅷ", "Σας ΟΔΟΣ İ ß", "é É 日本 👍🏽", "x\x1cy z w", "a" * 500, "!?" * 400, "the​the", "\x00\x01", "</w>", "ab" * 3000]
     random = np.random.default_rng(0)
+    few = ["a", "!", "1", " ", "é", "\U00012550", "\U000114ab", "\U00011DE0", "\U0001246F", "\U00012475", "\U00016FF4", "½", "日", "\u0558"]
+    texts += ["".join(random.choice(few, random.integers(1, 9))) for _ in range(200_000)]
     texts += ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz'"), random.integers(1, 25))) for _ in range(3000)]
     for text, known in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         ids = bpe.unpacked(own.packed(text))
