@@ -6,14 +6,17 @@ writing. Surrogates keep type and format: digits are poured back into a number's
 punctuation, card numbers stay valid or invalid by their check digit, IBANs keep
 country and valid check digits, names keep their gender, script and capitals, and
 given and family names are replaced on their own, so "Mr. A B" and "Mr. B" still
-agree. A text that names somebody with a title loses that name wherever it stands.
+agree. A given name has one gender in the whole corpus: that of most titles before
+it, else of a list that has it, else either. A text that names somebody with a title
+loses that name wherever it stands.
 
 Texts are searched once: rows are written with their texts in pieces, every other
 one an entity. All else works on thin rows of entities, which are joined back to the
 rows that have any.
 
-Distinctness: where two different entities share a surrogate, or a surrogate is
-itself an entity of the corpus, all but one draw again from another hash, round by
+Distinctness: all words of names share one space, whatever their kind, and each other
+kind has its own. Where two different entities of a space share a surrogate, or a
+surrogate is itself an entity of the corpus, all but one draw again from another hash, round by
 round. Entities with a large share of all mentions, of which there can only be few,
 are looked up by broadcast, all others by a shuffle without a heavy key.
 """
@@ -82,21 +85,29 @@ _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _TITLE = "|".join(sorted((t for some in TITLES.values() for t in some), key=len, reverse=True))
 _WORD = r"\p{Lu}(?:['’]?[\p{L}\p{M}])+"
 _NAME = f"{_WORD}(?:-{_WORD})?"
-_KEYS = "sk|ghp|gho|glpat|AKIA|AIza|xox[bp]"
+#: How many blanks may stand between a title, and a name's words.
+_GAP = " {1,3}"
+#: What tokens of services start with: before a dash, and without one. Fixed values.
+_KEYS = "sk|pk|rk|gh[opsur]|github_pat|glpat|hf|npm|xox[abeprs]"
+_PREFIXES = "AKIA|ASIA|AIza"
+_TOKEN = rf"(?:(?:{_KEYS})[-_][A-Za-z0-9][A-Za-z0-9_-]{{15,}}+|(?:{_PREFIXES})[A-Za-z0-9_-]{{16,}}+)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IBAN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?|(?=[a-z0-9]{15,34}(?![a-z0-9]))[a-z]{2}[0-9]{2}[a-z]{0,6}[0-9]{7,26}"
 #: Patterns by kind, in the order in which they are tried; all start where no letter or digit stands before.
 PATTERNS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}_%+-]{1,64}(?:\.[\p{L}\p{N}_%+-]{1,64}){0,8}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": rf"(?:[0-9a-f]{{32,64}}|(?:{_KEYS})[-_]?[A-Za-z0-9]{{16,64}}){_END}",
-    "iban": rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    "secret": rf"(?:[0-9a-f]{{32,}}+|{_TOKEN}){_END}",
+    "ip6": rf"(?=[A-Fa-f:]*+[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,7}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)(?![\p{{L}}\p{{N}}:])",
+    "iban": rf"(?:{_IBAN}){_END}",
     "ip": r"(?<!\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "card": rf"(?:[0-9]{{13,19}}|[0-9]{{4}} [0-9]{{4}} [0-9]{{4}} [0-9]{{4}}|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}){_END}",
     "ssn": rf"[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
     "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}|\([0-9]{{2,4}}\) ?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_END}",
-    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME})?{_END}",
+    "name": rf"(?:{_TITLE})\.?{_GAP}{_NAME}(?:{_GAP}{_NAME})?{_END}",
 }
 PATTERN = f"{_START}(?:{'|'.join(PATTERNS.values())})"
 #: Every pattern implies one of these; most texts are passed over by this alone.
-HINT = rf"[0-9@]|[a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|(?:{_KEYS})[-_A-Za-z]"
+HINT = rf"[0-9@]|[a-f]{{32}}|(?:{_TITLE})\.?{_GAP}\p{{Lu}}|(?:{_KEYS})[-_]|(?:{_PREFIXES})"
 #: A character that no text should have, around entities; texts that have it are cut in another way.
 MARK = "\ufdd0"
 #: Attempts before a surrogate gives up its format.
@@ -119,18 +130,18 @@ def pieces(text: Column) -> Column:
 
 def _rest(m: Column) -> Column:
     """A name without its title."""
-    return F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", "")
+    return F.regexp_replace(m, rf"^(?:{_TITLE})\.?{_GAP}", "")
 
 
 def _is_titled(m: Column) -> Column:
-    return m.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}")
+    return m.rlike(rf"^(?:{_TITLE})\.?{_GAP}\p{{Lu}}")
 
 
 def with_bare_names(own: Column) -> Column:
     """Pieces in which words of names that the text gives with a title are pieces of their own, wherever they stand."""
 
     def words(names: Column) -> Column:
-        each = F.array_distinct(F.flatten(F.transform(names, lambda m: F.split(_rest(m), "[ -]"))))
+        each = F.array_distinct(F.flatten(F.transform(names, lambda m: F.split(_rest(m), " +|-"))))
         return F.array_distinct(F.concat(each, F.transform(each, lambda w: F.upper(w))))
 
     def cut(pattern: Column) -> Column:
@@ -191,9 +202,10 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(_is_titled(m), "name")
         .when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip")
-        .when(m.rlike(rf"^[0-9a-f]{{32,}}$|^(?:{_KEYS})[-_]?[A-Za-z0-9]{{16,64}}$"), "secret")
+        .when(m.rlike(rf"^[0-9a-f]{{32,}}$|^{_TOKEN}$"), "secret")
+        .when(m.rlike("^[0-9A-Fa-f:]+$") & m.contains(":"), "ip6")
         .when(~m.rlike("[0-9]"), "name")
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), "iban")
+        .when(m.rlike(r"^[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 ]+$"), "iban")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(m.rlike(r"^[0-9]{13,}$|^(?:[0-9]{4}[ -]){3}[0-9]{4}$"), "card")
         .otherwise("phone")
@@ -209,14 +221,14 @@ def _any(words: list[str]) -> str:
 
 
 def _title_gender(m: Column) -> Column:
-    return F.when(m.rlike(rf"^(?:{_any(TITLES['f'])})\.? "), "f").when(m.rlike(rf"^(?:{_any(TITLES['m'])})\.? "), "m").otherwise("n")
+    return F.when(m.rlike(rf"^(?:{_any(TITLES['f'])})\.? "), "f").when(m.rlike(rf"^(?:{_any(TITLES['m'])})\.? "), "m").otherwise("")
 
 
-def _given_gender(m: Column, given: Column) -> Column:
-    """The gender of a given name: that of the title before it, else of a list that has it."""
+def _settled(male: Column, female: Column, given: Column) -> Column:
+    """The gender of a given name in a corpus: that of more of the titles before it, else of a list that has it, else `n`."""
     listed = {g: F.array(*(F.lit(x) for (_, of), names in GIVEN.items() if of == g for x in names)) for g in "fm"}
     told = F.when(F.array_contains(listed["f"], given), "f").when(F.array_contains(listed["m"], given), "m").otherwise("n")
-    return F.when(_title_gender(m) == "n", told).otherwise(_title_gender(m))
+    return F.when(female > male, "f").when(male > female, "m").otherwise(told)
 
 
 def _family_gender(family: Column) -> Column:
@@ -226,11 +238,8 @@ def _family_gender(family: Column) -> Column:
     return F.when(_script(family).isin("latin", "other"), "n").when(female, "f").otherwise("m")
 
 
-UNIT = "array<struct<kind:string,value:string>>"
-
-
-def _unit(kind: Column, value: Column) -> Column:
-    return F.struct(kind.alias("kind"), value.alias("value"))
+def _unit(kind: Column, value: Column, said: Column | None = None) -> Column:
+    return F.struct(kind.alias("kind"), value.alias("value"), (F.lit("") if said is None else said).alias("said"))
 
 
 def _plain_name(word: Column) -> Column:
@@ -239,7 +248,7 @@ def _plain_name(word: Column) -> Column:
 
 
 def units(m: Column) -> Column:
-    """What of a match is replaced as a unit: array of (kind, value), in canonical form.
+    """What of a match is replaced as a unit: array of (kind, value, said), in canonical form; `said` is the gender that a title tells of a given name.
 
     A name with a title has its family name, before that maybe its given name, each
     in one or two parts; anything else is one.
@@ -248,12 +257,12 @@ def units(m: Column) -> Column:
     def named(parts: Column) -> Column:
         given = F.when(F.size(parts) > 1, F.transform(F.split(parts[0], "-"), _plain_name)).otherwise(F.array().cast("array<string>"))
         family = F.split(F.element_at(parts, -1), "-")
-        first = F.transform(given, lambda w: _unit(F.concat_ws("_", F.lit("given"), _given_gender(m, w), _script(w)), w))
+        first = F.transform(given, lambda w: _unit(F.concat_ws("_", F.lit("given"), _script(w)), w, _title_gender(m)))
         return F.concat(first, F.transform(family, lambda w: _unit(F.concat_ws("_", F.lit("family"), _family_gender(w), _script(w)), _plain_name(w))))
 
     kind = kind_of(m)
-    value = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, "[^0-9]", "")).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).otherwise(m)
-    return F.when(kind == "name", named(F.split(_rest(m), " "))).otherwise(F.array(_unit(kind, value)))
+    value = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, "[^0-9]", "")).when(kind == "iban", F.upper(F.replace(m, F.lit(" "), F.lit("")))).when(kind == "ip6", F.lower(m)).otherwise(m)
+    return F.when(kind == "name", named(F.split(_rest(m), " +"))).otherwise(F.array(_unit(kind, value)))
 
 
 def entities(own: Column) -> Column:
@@ -272,7 +281,7 @@ def entities(own: Column) -> Column:
 
 
 def _drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
-    """Units (`kind`, `value`, `n`) with their replacement at an attempt, `new`; later attempts draw anew, names also get longer."""
+    """Units (`kind`, `value`, `gender`, ...) with their replacement at an attempt, `new`; later attempts draw anew, names also get longer."""
     kind, value, stream = F.col("kind"), F.col("value"), F.col("__stream")
     out = units.withColumn("__stream", _stream(F.concat_ws("\u0001", F.lit(key), kind, value, F.lit(str(attempt))), F.length(value)))
     if attempt >= FORMATTED:
@@ -294,17 +303,18 @@ def _drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
     country, bban = F.substring(value, F.lit(1), F.lit(2)), F.substring(same, F.lit(5), F.length(value))
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
     secret = F.when(value.rlike("^[0-9a-f]+$"), F.substring(stream, F.lit(1), F.length(value))).otherwise(F.concat(F.substring(value, F.lit(1), F.lit(4)), F.substring(same, F.lit(5), F.length(value))))
-    new = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.lit(9))))
+    new = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip6", _poured(value, "0-9a-f", stream)).when(kind == "secret", secret).when(kind == "ssn", F.concat(F.lit("9"), F.substring(same, F.lit(2), F.lit(9))))
     # Names: drawn from lists, and the longer the more often they had to be drawn.
     pick = lambda some, i: F.get(F.array(*(F.lit(x) for x in some)), F.pmod(byte(i) * 256 + byte(i + 1), F.lit(len(some))))
-    script, gender = F.substring_index(kind, "_", -1), F.substring(F.substring_index(kind, "_", 2), -1, 1)
+    script, form = F.substring_index(kind, "_", -1), F.substring(F.substring_index(kind, "_", 2), -1, 1)
     family, given = F.lit(None).cast("string"), F.lit(None).cast("string")
     for (name, g), endings in ENDINGS.items():
         stems = F.concat(*(pick(STEMS[name], 2 * i) for i in range(1 + min(attempt, 6))))
-        family = F.when((script == name) & (gender == g), F.initcap(F.concat(stems, pick(endings, 14)))).otherwise(family)
+        family = F.when((script == name) & (form == g), F.initcap(F.concat(stems, pick(endings, 14)))).otherwise(family)
     for (name, g), names in GIVEN.items():
-        fits = (script == name) & ((gender == g) | ((gender == "n") & (F.pmod(byte(30), F.lit(2)) == (0 if g == "m" else 1))))
-        given = F.when(fits, F.concat_ws("-", *(pick(names, 16 + 2 * i) for i in range(1 + min(attempt, 6))))).otherwise(given)
+        fits = (script == name) & ((F.col("gender") == g) | ((F.col("gender") == "n") & (F.pmod(byte(30), F.lit(2)) == (0 if g == "m" else 1))))
+        # Without a dash: two names with one are two surrogates.
+        given = F.when(fits, F.initcap(F.lower(F.concat(*(pick(names, 16 + 2 * i) for i in range(1 + min(attempt, 6))))))).otherwise(given)
     other = F.initcap(F.concat(same, F.substring(_same_format(value, F.reverse(stream)), 1, attempt)))
     new = new.when(kind.startswith("family"), F.coalesce(family, other)).when(kind.startswith("given"), F.coalesce(given, other))
     return out.withColumn("new", new.otherwise(number)).drop("__stream", "__same")
@@ -313,16 +323,16 @@ def _drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
 def _worn(m: Column, kind: Column, new: Column) -> Column:
     """The surrogate in the writing of the match."""
     formatted = ~F.startswith(new, F.concat(kind, F.lit("-")))
-    return F.when(kind.isin("card", "ssn", "phone") & formatted, _poured(m, "0-9", new)).when((kind == "iban") & formatted, _poured(m, "A-Z0-9", new)).otherwise(new)
+    return F.when(kind.isin("card", "ssn", "phone") & formatted, _poured(m, "0-9", new)).when((kind == "iban") & formatted, F.when(m == F.lower(m), _poured(m, "a-z0-9", F.lower(new))).otherwise(_poured(m, "A-Z0-9", new))).otherwise(new)
 
 
 def _worn_name(m: Column, new: Column) -> Column:
     """A name's title, and its words' surrogates with what stood between them and in their capitals."""
-    words = F.split(_rest(m), "[ -]")
+    words = F.split(_rest(m), " +|-")
     capitals = F.zip_with(words, new, lambda w, x: F.when((F.length(w) > 2) & (w == F.upper(w)), F.upper(x)).otherwise(x))
-    between = F.regexp_extract_all(_rest(m), F.lit("[ -]"), F.lit(0))
+    between = F.regexp_extract_all(_rest(m), F.lit(" +|-"), F.lit(0))
     whole = F.zip_with(capitals, between, lambda w, x: F.concat(w, F.coalesce(x, F.lit(""))))
-    return F.concat(F.regexp_extract(m, rf"^(?:{_TITLE})\.? ", 0), F.array_join(whole, ""))
+    return F.concat(F.regexp_extract(m, rf"^(?:{_TITLE})\.?{_GAP}", 0), F.array_join(whole, ""))
 
 
 def held(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -334,25 +344,33 @@ def held(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialise(own, "held", by=["__p_has"])
 
 
+def _space(kind: Column) -> Column:
+    """In what a surrogate has to be distinct: all words of names are written alike."""
+    return F.when(kind.startswith("given") | kind.startswith("family"), "name").otherwise(kind)
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """From units (`kind`, `value`) in any number: all different ones with their mentions and surrogates, `kind`, `value`, `n`, `new`; no two of a kind share one, and none is itself a unit.
+    """From units (`kind`, `value`, `said`) in any number: all different ones with their mentions and surrogates, `kind`, `value`, `n`, `new`; no two of a space share one, and none is itself a unit.
 
     Units are compared by shuffles of their surrogates, round by round until each has
     its own; a round gives it, of those with equal surrogates, to the smallest value.
     What finds none in its format, as where a corpus holds most numbers of a length,
     gets one without format in the end.
     """
-    todo = materialise(found.groupBy("kind", "value").agg(F.count("*").alias("n")), "units")
-    taken, attempt, out = todo.select("kind", F.col("value").alias("new")), 0, None
+    votes = [F.count_if(F.col("said") == g).alias(g) for g in "mf"]
+    own = found.groupBy("kind", "value").agg(F.count("*").alias("n"), *votes)
+    gender = F.when(F.col("kind").startswith("given"), _settled(F.col("m"), F.col("f"), F.col("value"))).otherwise("")
+    todo = materialise(own.select("kind", "value", "n", gender.alias("gender"), _space(F.col("kind")).alias("space")), "units")
+    taken, attempt, out = todo.select("space", F.col("value").alias("new")), 0, None
     while out is None or not todo.isEmpty():
-        # A kind's surrogates: small rows with map-side minima.
+        # A space's surrogates: small rows with map-side minima.
         drawn = materialise(_drawn(todo, attempt, key), "drawn")
-        first = drawn.groupBy("kind", "new").agg(F.min_by(F.struct("value", "n"), "value").alias("u")).join(taken, ["kind", "new"], "left_anti").select("kind", "u.value", "u.n", "new")
+        first = drawn.groupBy("space", "new").agg(F.min_by(F.struct("kind", "value", "n"), F.struct("value", "kind")).alias("u")).join(taken, ["space", "new"], "left_anti").select("space", "u.*", "new")
         first = materialise(first, "surrogates")
         todo = materialise(todo.join(first, ["kind", "value"], "left_anti"), "again")
         out = first if out is None else out.unionByName(first)
-        taken, attempt = taken.unionByName(first.select("kind", "new")), attempt + 1
-    return out
+        taken, attempt = taken.unionByName(first.select("space", "new")), attempt + 1
+    return out.select("kind", "value", "n", "new")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | None = None) -> DataFrame:
@@ -367,7 +385,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | N
     rows = held(docs.select(*columns), text)
     having = rows.where("__p_has")
     each = having.select("__p_row", F.posexplode("__p_found").alias("i", "e")).select("__p_row", "i", "e.m", F.posexplode("e.units").alias("j", "u")).select("__p_row", "i", "m", "j", "u.kind", "u.value")
-    known = surrogates(having.select(F.explode(F.flatten(F.transform("__p_found", lambda e: e["units"]))).alias("u")).select("u.kind", "u.value"), key)
+    known = surrogates(having.select(F.explode(F.flatten(F.transform("__p_found", lambda e: e["units"]))).alias("u")).select("u.*"), key)
     new = looked_up(each, known, ["kind", "value"]).repartition("__p_row")
     whole = new.groupBy("__p_row", "i").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("j", "kind", "new"))).alias("n"))
     n = F.col("n")
