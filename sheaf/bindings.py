@@ -161,3 +161,19 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.array_join(F.transform(F.sequence(k * 8 + 1, k * 8 + 8), anchor), "")
     html = F.concat(F.lit("<main><ul>"), more, anchor(F.greatest(F.floor((k - 1) / 8), F.lit(0))), F.lit(f'<li><a href="{PORTAL}/app/test-results/past-result-details?orderid=1">View trends</a></li></ul></main>'))
     return table(spark, sf_dir, "orders").select(k.alias("page_id"), address(k).alias("url"), html.alias("html"))
+
+
+def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portal's page for each order, of four kinds: a list of two results, a note in a frame and a shadow tree under a header of its page, a result's detail, and a page where nothing looks like a record."""
+    c, k = F.col, F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "MMM d, yyyy")
+    link = lambda n: F.concat(F.lit(f'<div class="line"><div><a href="{PORTAL}/app/test-results/details?eorderid='), k, F.lit(f'-{n}"><div>Lab</div><div>Panel {n} of order '), k, F.lit("</div></a></div><div>"), day, F.lit("</div><div>Final result</div></div>"))
+    listed = F.concat(F.lit("<nav><ul><li>Log out</li></ul></nav><main><div>"), link(1), link(2), F.lit("</div></main>"))
+    inner = F.concat(F.lit("<p>Chief Complaint</p><p>Fever of order "), k, F.lit("</p>"))
+    framed = F.concat(F.lit("<main><div>Notes from Care Team</div><div>Progress Notes</div><div>Signed "), day, F.lit('</div><iframe srcdoc="'), F.replace(F.replace(inner, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"></iframe><div><template shadowrootmode="open"><p>Plan: rest</p></template></div></main>'))
+    detail = F.concat(F.lit("<main><h1>Panel of order "), k, F.lit("</h1><p>Collected on "), day, F.lit("</p><table><tr><td>Sodium</td><td>Value 140</td></tr></table></main>"))
+    plain = F.concat(F.lit("<body><ul><li>Menu</li></ul><p>Order "), k, F.lit("</p></body>"))
+    kind = F.pmod(c("o_orderkey"), F.lit(4)).cast("int")
+    forms = [("/app/test-results?list=", listed), ("/app/visits/note?csn=", framed), ("/app/test-results/details?eorderid=", detail), ("/app/letters?id=", plain)]
+    pick = lambda values: F.get(F.array(*values), kind)
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), F.concat(pick([F.lit(PORTAL + u) for u, _ in forms]), k).alias("url"), pick([h for _, h in forms]).alias("html"))

@@ -11,7 +11,7 @@ from sheaf import bindings as B
 from sheaf.functions import clinical, dates, people, text, urls
 from sheaf.jobs import export as jobs
 from sheaf.jobs import pull
-from sheaf.operators import aggregates, chunks, frontier, labs, merge, pages, records
+from sheaf.operators import aggregates, chunks, elements, frontier, labs, merge, pages, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1046,3 +1046,24 @@ def f7_page_shells(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(k == 0, "Notes from Care Team").otherwise("Visit")
     url = F.when(k == 1, f"{B.PORTAL}/app/visits").otherwise(f"{B.PORTAL}/app/other")
     return noted(spark, sf).select("doc_id", clinical.is_invalid_shell(F.lit("visits"), F.lit("visit"), title, F.concat(title, "t"), url).alias("shell"))
+
+
+PORTAL_PAGES = "(SELECT o_orderkey AS page_id, o_orderkey % 4 AS kind, strftime(o_orderdate, '%b %-d, %Y') AS day FROM orders)"
+
+
+@query(f"""SELECT page_id, 0 AS pos, 'Panel 1 of order ' || page_id || chr(10) || day || chr(10) || 'Final result' AS text FROM {PORTAL_PAGES} WHERE kind = 0
+    UNION ALL SELECT page_id, 1, 'Panel 2 of order ' || page_id || chr(10) || day || chr(10) || 'Final result' FROM {PORTAL_PAGES} WHERE kind = 0
+    UNION ALL SELECT page_id, 0, 'Notes from Care Team' || chr(10) || 'Progress Notes' || chr(10) || 'Signed ' || day || chr(10) || 'Chief Complaint' || chr(10) || 'Fever of order ' || page_id || chr(10) || 'Plan: rest' FROM {PORTAL_PAGES} WHERE kind = 1
+    UNION ALL SELECT page_id, 0, 'Panel of order ' || page_id || chr(10) || 'Collected on ' || day || chr(10) || 'SodiumValue 140' FROM {PORTAL_PAGES} WHERE kind = 2
+    UNION ALL SELECT page_id, 0, 'Menu' || chr(10) || 'Order ' || page_id FROM {PORTAL_PAGES} WHERE kind = 3""")
+def g1_blocks_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of a portal's pages, chosen by category: links of lists, notes of frames and shadow trees, whole details, and whole main parts where nothing looks like a record."""
+    return elements.record_blocks(B.portal_pages(spark, sf)).select("page_id", "pos", "text")
+
+
+@query(f"""SELECT 'k:visits:' || day || ':' || page_id AS id, 'Progress Notes' AS title, day AS date, 'Notes from Care Team' || chr(10) || 'Progress Notes' || chr(10) || 'Signed ' || day || chr(10) || 'text' AS raw_text FROM {PORTAL_PAGES} WHERE kind = 1""")
+def p31_header_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes that take title and day from the header that their page's HTML has."""
+    blocks = elements.record_blocks(B.portal_pages(spark, sf)).where("header <> ''")
+    made = blocks.select(F.concat(F.lit("k:visits:undated:"), c("page_id").cast("string")).alias("id"), F.lit("").alias("date"), F.lit("Visit").alias("title"), F.lit("visit-note").alias("record_type"), F.lit("text").alias("raw_text"), "header")
+    return elements.enrich_notes(made).select("id", "title", "date", "raw_text")

@@ -377,3 +377,37 @@ def test_only_whole_lines_start_a_footer(spark):
     said = "Privacy policy reviewed with patient\nAssessment: stable\nPlan: rest\nFAQs\nPrivacy Policy\nTerms and Conditions\nPlan: none"
     assert one(spark, clinical.trim_boilerplate(F.lit(said), F.lit("visits"))) == "Privacy policy reviewed with patient\nAssessment: stable\nPlan: rest\nFAQs"
     assert one(spark, clinical.trim_boilerplate(F.lit(said), F.lit("letters"))).endswith("FAQs\nPlan: none")
+
+
+def test_page_parts():
+    from sheaf.operators.elements import page_parts
+
+    said = page_parts('<body><main id="x"><section class="y"><p>one<p>two</section><iframe srcdoc="&lt;p&gt;inner &amp;amp; deep&lt;/p&gt;"></iframe><template shadowrootmode="open"><b>shade</b></template><template>no</template><script>x</script></main><p>out</p></body>')
+    assert said["main"] == "one\ntwo" and said["page"] == "one\ntwo\nout" and said["blocks"] == ["one\ntwo"] and said["linked"] == []
+    assert said["deep"] == ["one\ntwo\ninner & deep\nshade", "one\ntwo\ninner & deep\nshade\nout"]
+    nested = page_parts("<div>" * 5000 + "<li>a" + "</div>" * 3)
+    assert nested["blocks"] == ["a"] and page_parts(None) == {"main": "", "page": "", "deep": ["", ""], "linked": [], "blocks": []}
+    far = page_parts('<div>Jan 5, 2024<div><div><div><div><div><div><div><a href="/testresults?x" aria-label="Glucose">Lab</a></div></div></div></div></div></div></div></div>')
+    assert far["linked"] == ["Glucose\nLab"]
+    near = page_parts(f'<ul><li><a href="/testresults?x">Glucose</a><p>Jan 5, 2024</p><p>{"x" * 2000}</p></li></ul>')
+    assert near["linked"] == ["Glucose\nGlucose"]
+
+
+def test_blocks_fall_back_to_the_whole_page(spark):
+    from sheaf.operators.elements import record_blocks
+
+    rows = [(1, "https://p.example.org/app/letters", "<main><li>Log out</li><p>Dear all</p></main>"), (2, "https://p.example.org/home", "<li>Letter of Jan 5, 2024 about it</li>"), (3, None, None), (4, "https://p.example.org/app/visits", "<main><article>Office visit on Jan 5, 2024 with staff</article></main>"), (5, None, "<li>Result of Jan 5, 2024: value 7</li><li>Result of Jan 5, 2024: value 7</li>")]
+    got = {(r["page_id"], r["pos"]): r["text"] for r in record_blocks(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, 0): "Log out\nDear all", (4, 0): "Office visit on Jan 5, 2024 with staff", (5, 0): "Result of Jan 5, 2024: value 7"}
+
+
+def test_headers_over_notes(spark):
+    from sheaf.operators.elements import enrich_notes, note_header, page_header
+
+    text = "Menu\nNotes from Care Team\nProgress Notes by Ann Lee\nSigned Jan 5, 2024\nFiled today\nother"
+    assert one(spark, page_header(F.lit(text))) == "Notes from Care Team\nProgress Notes by Ann Lee\nSigned Jan 5, 2024\nFiled today"
+    assert one(spark, page_header(F.lit("a\nb"))) == "" and one(spark, page_header(F.lit(None).cast("string"))) == ""
+    assert one(spark, note_header(F.lit("Signed Jan 5, 2024\nPlan of Care by Ann\nx\nthe note begins"), F.lit("the note begins"))) == "Plan of Care by Ann\nSigned Jan 5, 2024"
+    rows = [("p:visits:undated:1", "visit-note", "Visit", "", "t", text), ("p:visits:1/2/2020:2", "visit-note", "Chief Complaint", "1/2/2020", "t", text), ("p:visits:1/2/2020:3", "visit-note", "Real title", "1/2/2020", "t", text), ("p:visits:undated:4", "visit", "Visit", "", "t", text), ("p:visits:undated:5", "visit-note", "Real", "", "t", text), (None, "visit-note", None, None, None, None)]
+    got = [(r["id"], r["title"], r["date"]) for r in enrich_notes(spark.createDataFrame(rows, "id string, record_type string, title string, date string, raw_text string, header string")).collect()]
+    assert got == [("p:visits:Jan 5, 2024:1", "Progress Notes by Ann Lee", "Jan 5, 2024"), ("p:visits:Jan 5, 2024:2", "Progress Notes by Ann Lee", "Jan 5, 2024"), ("p:visits:1/2/2020:3", "Real title", "1/2/2020"), ("p:visits:undated:4", "Visit", ""), ("p:visits:Jan 5, 2024:5", "Real", "Jan 5, 2024"), (None, None, None)]
