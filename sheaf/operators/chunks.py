@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,8 +69,8 @@ def cuts(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int,
     return out if text else []
 
 
-def chunk_text(rows: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """`id`, `chunk_id`, `chunk_index`, `chunk_count`, `text`, `char_start`, `char_end`; other fields of a record stay with its id.
+def chunk_text(rows: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """`id`, `chunk_id`, `chunk_index`, `chunk_count`, `text`, `char_start`, `char_end`, and the columns `keep`; other fields of a record stay with its id.
 
     Texts are trimmed; null and blank ones have no chunk. An overlap that is not
     positive means the default one.
@@ -81,10 +81,10 @@ def chunk_text(rows: DataFrame, text: str = "text", size: int = SIZE, overlap: i
         for some in texts:
             yield pd.Series([[{"text": t[a:b], "char_start": a, "char_end": b} for a, b in cuts(t, size, overlap)] for t in ((x or "").strip() for x in some)], dtype=object)
 
-    made = rows.select("id", run(F.col(text)).alias("c"))
-    each = made.select("id", F.size("c").alias("chunk_count"), F.posexplode("c").alias("chunk_index", "c"))
+    made = rows.select("id", *keep, run(F.col(text)).alias("c"))
+    each = made.select("id", *keep, F.size("c").alias("chunk_count"), F.posexplode("c").alias("chunk_index", "c"))
     number = F.lpad((F.col("chunk_index") + 1).cast("string"), 4, "0")
-    return each.select("id", F.concat("id", F.lit(":chunk:"), number).alias("chunk_id"), "chunk_index", "chunk_count", "c.text", "c.char_start", "c.char_end")
+    return each.select("id", F.concat("id", F.lit(":chunk:"), number).alias("chunk_id"), "chunk_index", "chunk_count", "c.text", "c.char_start", "c.char_end", *keep)
 
 
 def count_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

@@ -111,6 +111,14 @@ def cleanup(records: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]
     return kept, repaired_cards(kept, cards)
 
 
+def with_cards(records: DataFrame, cards: DataFrame) -> DataFrame:
+    """Records as their cards tell them (J9 with J1): without shells, and with what a card of theirs says of title, type, category, date and source before what the record does. Cards of no record count for nothing, a record without one speaks for itself; of several cards of an id the least counts."""
+    said = ["title", "record_type", "category", "date", "source_url"]
+    own = cards.groupBy("id").agg(F.min(F.struct(*(or_empty(c).alias(c) for c in said))).alias("__card"))
+    joined = without_shells(records).join(own, "id", "left")
+    return joined.withColumns({c: first_nonempty(F.col(f"__card.{c}"), F.col(c)) for c in said}).drop("__card").select(*records.columns)
+
+
 def title_key(title: Column) -> Column:
     """For comparing titles: letters and digits, without brackets and case."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(or_empty(title)), r"\([^)]*\)", " "), "[^a-z0-9]+", " "))
@@ -133,21 +141,22 @@ def contained(small: DataFrame, large: DataFrame, by: Sequence[str], title: str)
     substrings of the lengths `GRAMS`, each of `small` asks for one: of its longest
     length the one that the fewest titles of `large` have. So titles meet by an equal
     substring, not all of a group with all; a title with a substring that none has
-    falls out at once.
+    falls out at once. Substrings compress so well that their files say nothing of
+    their number, so these joins are never broadcasts.
     """
     longest = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length(title)))
-    asked_lengths = small.select(*by, longest.alias("__n")).distinct()
+    asks = materialise(small.select(*by, F.col(title).alias("small"), longest.alias("__n")), "asks")
+    asked_lengths = asks.select(*by, "__n").distinct()
     every = F.array(*(F.struct(F.lit(n).alias("n"), _grams(F.col(title), F.lit(n)).alias("gs")) for n in GRAMS))
     each = large.select(*by, F.col(title).alias("large"), F.explode(every).alias("e")).select(*by, "large", F.col("e.n").alias("__n"), F.col("e.gs").alias("__gs"))
     # Only lengths that a title of the group asks for are spread out.
     each = each.where(F.size("__gs") > 0).join(asked_lengths, [*by, "__n"], "left_semi").select(*by, "large", "__n", F.explode("__gs").alias("__g"))
     stored = materialise(each, "grams")
     having = stored.groupBy(*by, "__n", "__g").agg(F.count("*").alias("__have"))
-    asks = small.select(*by, F.col(title).alias("small"), longest.alias("__n"))
-    own = asks.select("*", F.explode(_grams(F.col("small"), F.col("__n"))).alias("__g")).join(having, [*by, "__n", "__g"], "left")
+    own = asks.select("*", F.explode(_grams(F.col("small"), F.col("__n"))).alias("__g")).join(having.hint("merge"), [*by, "__n", "__g"], "left")
     # One of its substrings that nobody has settles a title.
     best = own.groupBy(*by, "small", "__n").agg(F.min(F.struct(F.coalesce("__have", F.lit(0)).alias("have"), F.col("__g").alias("g"))).alias("b")).where("b.have > 0")
-    met = best.select(*by, "small", "__n", F.col("b.g").alias("__g")).join(stored, [*by, "__n", "__g"])
+    met = best.select(*by, "small", "__n", F.col("b.g").alias("__g")).join(stored.hint("merge"), [*by, "__n", "__g"])
     return met.where(F.contains("large", "small")).select(*by, "small", "large")
 
 

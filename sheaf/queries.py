@@ -1048,6 +1048,51 @@ def f7_page_shells(spark: SparkSession, sf: str) -> DataFrame:
     return noted(spark, sf).select("doc_id", clinical.is_invalid_shell(F.lit("visits"), F.lit("visit"), title, F.concat(title, "t"), url).alias("shell"))
 
 
+@query(f"""WITH e AS (SELECT 'e' || event_id AS id, {DAY} AS day, ts, CASE WHEN event_id % 4 = 0 THEN 'card of ' || event_type ELSE event_type END AS title FROM events),
+    lines AS (SELECT 0 AS part, 'manifest' AS type, NULL AS id, NULL AS title, NULL AS day, NULL AS ts UNION ALL SELECT 1, 'record', id, title, day, ts FROM e UNION ALL SELECT 2, 'chunk', id, NULL, day, ts FROM e)
+    SELECT row_number() OVER (ORDER BY part, day DESC, ts DESC, id) AS number, type, id, title FROM lines""")
+def e2_ordered_export(spark: SparkSession, sf: str) -> DataFrame:
+    """All events exported as their cards tell them (J9), every line in the order of the records (T1), and read back by the names of the files."""
+    from sheaf.sources.shared import new_folder
+    from sheaf.sources.store import read_ordered_lines, write_ordered_export
+
+    own = B.rec_events(spark, sf)
+    some = own.where(c("seq") % 2 == 0).select("id", F.when(c("seq") % 4 == 0, F.concat(F.lit("card of "), "title")).otherwise("").alias("title"), *(F.lit("").alias(n) for n in ("record_type", "category", "date", "source_url")))
+    orphan = some.withColumns({"id": F.concat(F.lit("gone "), "id"), "title": F.lit("orphan")})
+    manifest, fields, _ = jobs.export_job(own, cards=some.unionByName(orphan), key=c("id"))
+    folder = new_folder(spark, "ordered")
+    write_ordered_export(manifest, fields, folder)
+    said = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return read_ordered_lines(spark, folder).select("number", said("type"), said("id"), said("title"))
+
+
+@query("""SELECT 'r' || o_orderkey AS id, o_orderpriority AS title, 'text of ' || o_orderkey || chr(10) || '    }' || chr(10) || '"records": [' AS raw_text, 'record' AS kind FROM orders
+    UNION ALL SELECT 'r' || o_orderkey, o_orderpriority, NULL, 'card' FROM orders WHERE o_orderkey % 3 = 0""")
+def io1_large_store(spark: SparkSession, sf: str) -> DataFrame:
+    """One store document with a record for each order and cards for a third, cut and read by many tasks. One task writes it, as it is one file."""
+    from sheaf.sources.shared import new_folder
+    from sheaf.sources.store import read_large_store
+
+    k, quoted = c("o_orderkey").cast("string"), lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    own = B.table(spark, sf, "orders")
+    text = F.concat(F.lit("text of "), k, F.lit('\n    }\n"records": ['))
+    pair = lambda name, x: F.concat(F.lit(f'      "{name}": '), x)
+    body = lambda *pairs: F.concat(F.lit("    {\n"), F.concat_ws(",\n", *pairs), F.lit("\n    }"))
+    ident = pair("id", quoted(F.concat(F.lit("r"), k)))
+    patient = pair("patient", F.lit('{\n        "key": "p"\n      }'))
+    record = body(ident, pair("title", quoted(c("o_orderpriority"))), pair("rawText", quoted(text)), patient)
+    card = body(ident, pair("title", quoted(c("o_orderpriority"))), pair("snippet", F.lit('""')))
+    rows = own.select(F.lit(1).alias("part"), c("o_orderkey").alias("at"), record.alias("value")).union(own.where(c("o_orderkey") % 3 == 0).select(F.lit(3), "o_orderkey", card))
+    last = rows.groupBy("part").agg(F.max("at").alias("at")).withColumn("last", F.lit(True))
+    rows = rows.join(F.broadcast(last), ["part", "at"], "left").select("part", "at", F.concat("value", F.when(c("last"), "").otherwise(",")).alias("value"))
+    frame = [(0, 0, '{\n  "version": 1,\n  "syncMetadata": {\n    "visitedUrls": {\n      "a": "b"\n    }\n  },\n  "records": ['), (2, 0, '  ],\n  "indexCards": ['), (4, 0, '  ],\n  "history": [\n    {\n      "id": "h"\n    }\n  ],\n  "settings": {}\n}')]
+    whole = rows.union(spark.createDataFrame(frame, "part int, at long, value string"))
+    folder = new_folder(spark, "document")
+    whole.coalesce(1).sortWithinPartitions("part", "at").select("value").write.text(folder)
+    made, cards = read_large_store(spark, folder)
+    return made.select("id", "title", "raw_text", F.lit("record").alias("kind")).unionByName(cards.select("id", "title", F.lit(None).cast("string").alias("raw_text"), F.lit("card").alias("kind")))
+
+
 PORTAL_PAGES = "(SELECT o_orderkey AS page_id, o_orderkey % 4 AS kind, strftime(o_orderdate, '%b %-d, %Y') AS day FROM orders)"
 
 
