@@ -12,7 +12,7 @@ from sheaf.functions.dates import group_date
 from sheaf.functions.text import first_nonempty, or_empty
 from sheaf.functions.urls import is_past_visit_detail, source_url_key, visit_key
 from sheaf.operators.records import index_card
-from sheaf.sources.shared import materialise
+from sheaf.sources.shared import looked_up, materialise
 
 
 def _shell() -> Column:
@@ -94,8 +94,10 @@ def latest_in_batch(rows: DataFrame, seq: str = "seq") -> DataFrame:
     keyed = rows.withColumn("__read", F.coalesce((url != "") & F.col(seq).isNotNull(), F.lit(False)))
     # Rows of no reading are spread by their id.
     keyed = keyed.withColumn("__key", F.when(F.col("__read"), url).otherwise(F.concat(F.lit("\0"), or_empty("id"))))
-    last = keyed.where("__read").groupBy("__key").agg(F.max(seq).alias("__last"))
-    kept = keyed.join(last, "__key", "left").where(~F.col("__read") | (F.col(seq) == F.col("__last")))
+    # A source with most rows is looked up like a small one.
+    last = materialise(keyed.where("__read").groupBy("__key").agg(F.max(seq).alias("__last"), F.count("*").alias("n")), "last")
+    alone = keyed.where("not __read").withColumn("__last", F.lit(None).cast(last.schema["__last"].dataType))
+    kept = looked_up(keyed.where("__read"), last, ["__key"]).where(F.col(seq) == F.col("__last")).unionByName(alone)
     return kept.groupBy(*row_key(rows)).agg(F.max_by(F.struct(*rows.columns), F.struct(seq)).alias("r")).select("r.*")
 
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,3 +31,31 @@ def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys that more than one in so many rows ask for are fewer than this.
+HEAVY = 10_000
+
+
+def looked_up(rows: DataFrame, known: DataFrame, by: Sequence[str], n: str = "n", total: int | None = None, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `known` (one row for each key `by`); those without one are left out, or with `how` left come with nulls.
+
+    `n` of `known` is how many rows ask for a key, `total` how many ask for any. Keys
+    that more than one in `HEAVY` rows ask for are at most `HEAVY` rows, whatever the
+    data, and go by broadcast; what is left for the shuffle has no heavy key but those
+    that `known` does not have. Keys that are null have no row in `known`, and pass by.
+    """
+    by = list(by)
+    if total is None:
+        total = known.agg(F.sum(n)).first()[0] or 0
+    payload = [c for c in known.columns if c != n and c not in by]
+    many = known.where(F.col(n) > total / HEAVY).drop(n).withColumn("__heavy", F.lit(True))
+    few = known.where(F.col(n) <= total / HEAVY).drop(n)
+    tried = rows.join(F.broadcast(many), by, "left")
+    found = tried.where("__heavy").drop("__heavy")
+    rest = tried.where("__heavy is null").drop("__heavy", *payload)
+    if how == "inner":
+        return found.unionByName(rest.join(few, by))
+    none = " or ".join(f"`{c}` is null" for c in by)
+    passing = rest.where(none)
+    return found.unionByName(rest.where(f"not ({none})").join(few, by, "left")).unionByName(passing, allowMissingColumns=True)

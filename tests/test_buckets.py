@@ -123,3 +123,23 @@ def test_a_failed_checkpoint_leaves_the_last_one(spark, tmp_path, monkeypatch):
     assert opened(spark, store).batch_id == 3
     assert told(read_records(spark, store)) == [(f"p3-{j}", "visits", "ann", "read 3") for j in range(3)]
     assert latest_in_batch(spark.read.schema(schema).parquet(pages)).count() == 3
+
+
+def test_lookups_of_heavy_and_rare_keys(spark, monkeypatch):
+    from sheaf.sources import shared
+
+    monkeypatch.setattr(shared, "HEAVY", 4)
+    some = spark.createDataFrame([("hot", i) for i in range(60)] + [(f"k{i}", i) for i in range(40)] + [(None, 1), ("unknown", 2)], "key string, x long")
+    known = spark.createDataFrame([("hot", 60, "H")] + [(f"k{i}", 1, f"v{i}") for i in range(30)], "key string, n long, v string")
+    got = sorted((r["key"] or "", r["x"], r["v"]) for r in shared.looked_up(some, known, ["key"]).collect())
+    want = [("hot", i, "H") for i in range(60)] + [(f"k{i}", i, f"v{i}") for i in range(30)]
+    assert got == sorted(want)
+    left = sorted((r["key"] or "", r["x"], r["v"] or "") for r in shared.looked_up(some, known, ["key"], how="left").collect())
+    assert left == sorted(want + [(f"k{i}", i, "") for i in range(30, 40)] + [("", 1, ""), ("unknown", 2, "")])
+    assert shared.looked_up(some, known.limit(0), ["key"], how="left").count() == 102
+
+
+def test_a_hot_source_in_a_batch(spark):
+    made = [(f"h{i}", "visits", "p", "https://p.example.org/hot", f"t{i % 3}", i % 3) for i in range(90)] + [(f"o{i}", "visits", "p", i, "t", 0) for i in range(30)] + [("n", "visits", "p", None, "a", 1), ("n", "visits", "p", None, "b", 2), ("m", "visits", "p", 5, "c", None)]
+    got = {r["id"]: r["title"] for r in latest_in_batch(rows(spark, made)).collect()}
+    assert got == {f"h{i}": "t2" for i in range(90) if i % 3 == 2} | {f"o{i}": "t" for i in range(30)} | {"n": "b", "m": "c"}
