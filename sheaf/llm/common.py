@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sheaf.sources.shared import materialise, new_folder  # noqa: F401  (used beside what is here)
+from sheaf.sources.shared import looked_up, materialise, new_folder  # noqa: F401  (used beside what is here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,23 +23,3 @@ def small_batches(spark: SparkSession) -> None:
     executor's workers, and workers keep what they once took.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
-#: Keys that more than one in so many rows ask for are fewer than this.
-HEAVY = 10_000
-
-
-def looked_up(rows: DataFrame, known: DataFrame, by: list[str], n: str = "n", total: int | None = None) -> DataFrame:
-    """`rows` with the columns of `known` (one row for each key `by`), those without one left out.
-
-    `n` of `known` is how many rows ask for a key, `total` how many ask for any. Keys
-    that more than one in `HEAVY` rows ask for are at most `HEAVY` rows, whatever the
-    data, and go by broadcast; what is left for the shuffle has no heavy key.
-    """
-    if total is None:
-        total = known.agg(F.sum(n)).first()[0] or 0
-    payload = [c for c in known.columns if c != n and c not in by]
-    many = known.where(F.col(n) > total / HEAVY).drop(n).withColumn("__heavy", F.lit(True))
-    few = known.where(F.col(n) <= total / HEAVY).drop(n)
-    tried = rows.join(F.broadcast(many), by, "left")
-    return tried.where("__heavy").drop("__heavy").unionByName(tried.where("__heavy is null").drop("__heavy", *payload).join(few, by))

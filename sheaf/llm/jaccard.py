@@ -208,7 +208,12 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     small_batches(docs.sparkSession)
     own = docs.where(F.col(text).isNotNull())
-    return own.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), run(F.col(text)).alias("p")).select("id", "th", "p.*")
+    return own.select(_id(docs, key).alias("id"), F.xxhash64(text).alias("th"), run(F.col(text)).alias("p")).select("id", "th", "p.*")
+
+
+def _id(docs: DataFrame, key: str) -> Column:
+    """A row's id: whole numbers as longs, anything else as it is."""
+    return F.col(key).cast("long") if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.col(key)
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -327,15 +332,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     other, when they stay null. Repeated rows are copies.
     """
     rows = materialise(profile(docs, key, text), "profile")
-    classes = rows.groupBy("cls").agg(F.min("id").alias("copy_of"), F.min("th").alias("th"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    # One row stands for its class in all that needs its text, so its copies' texts are not moved.
+    first = F.min(F.struct("th", "id"))
+    classes = rows.groupBy("cls").agg(F.min("id").alias("copy_of"), first.alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     classes = materialise(classes, "classes")
     comps = components(candidates(classes, threshold, tolerance)).select(F.col("node").alias("cls"), F.xxhash64("root").alias("comp"))
     comps = materialise(comps, "candidates")
     many = comps.groupBy("comp").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
-    sized = looked_up(comps, materialise(many, "sizes"), ["comp"]).join(classes.select("cls", "th", "sig"), "cls")
-    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    # One text a class: copies share the hash, so a map-side aggregate leaves one row a task and class.
-    one = texts.join(sized, "th").groupBy("cls").agg(F.first("text").alias("text"), F.first("comp").alias("comp"), F.first("size").alias("n"), F.first("sig").alias("sig"))
+    sized = looked_up(comps, materialise(many, "sizes"), ["comp"]).join(classes.select("cls", "first", "sig"), "cls").select("*", F.xxhash64("first.th", "first.id").alias("row"), F.col("first.th").alias("th"))
+    texts = docs.where(F.col(text).isNotNull()).select(_id(docs, key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    texts = texts.select(F.xxhash64("th", "id").alias("row"), "th", "text")
+    # Rows that repeat id and text still meet; a map-side aggregate leaves one of them a task and class.
+    one = texts.join(sized, ["row", "th"]).groupBy("cls").agg(F.first("text").alias("text"), F.first("comp").alias("comp"), F.first("size").alias("n"), F.first("sig").alias("sig"))
     found = materialise(verified(one, threshold, tolerance), "verified")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
@@ -354,7 +362,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = materialise(join(docs, key, text).select("id", "th", "group"), "groups")
     gone = found.where(~F.col("id").eqNullSafe(F.col("group"))).select(F.col("id").alias("__j_id"), F.col("th").alias("__j_th")).distinct()
     own = docs.withColumn("__j_th", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
-    rest = own.join(gone, F.col(key).cast("long").eqNullSafe(gone["__j_id"]) & (own["__j_th"] == gone["__j_th"]), "left_anti")
+    rest = own.join(gone, _id(docs, key).eqNullSafe(gone["__j_id"]) & (own["__j_th"] == gone["__j_th"]), "left_anti")
     if found.groupBy("id", "th").count().where("count > 1").limit(1).count():
         texts = rest.where(F.col(text).isNotNull())
         one = texts.groupBy(F.col(key).alias("__j_key"), "__j_th").agg(F.first(F.struct(*docs.columns)).alias("__j_row")).select("__j_row.*")

@@ -1,12 +1,11 @@
 """Line dedup by site-relative frequency.
 
-A line is boilerplate of a host when, seen from a page that has it, the share of the
-host's other pages that contain it exceeds a ratio: (k - 1) / (n - 1) for k of n
-pages. On large hosts that is k / n; on small ones a page's own lines do not count
-as repeated because they are on that page. Everything runs in built-in functions: each page sends the
-digests of its different lines (never the lines) through one shuffle with
-map-side counts; what exceeds the ratio is at most (mean lines of a page) / ratio
-digests for a host, kept as one small row per host.
+A line is boilerplate of a host when the share of the host's pages that contain it,
+k / n, exceeds a ratio, and more than one page does: what only one page has is no
+boilerplate, however few pages the host has. Everything runs in built-in functions:
+each page sends the digests of its different lines (never the lines) through one
+shuffle with map-side counts; what exceeds the ratio is at most (mean lines of a
+page) / ratio digests for a host, kept as one small row per host.
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise
+from sheaf.llm.common import looked_up, materialise
 
-#: A line on more than this share of a host's other pages is boilerplate.
+#: A line on more than this share of a host's pages is boilerplate.
 MAX_RATIO = 0.1
 
 
@@ -25,7 +24,7 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, copies: bool = True) -> DataFrame:
-    """Per host with boilerplate: `host`, `digests` (array of the lines' MD5).
+    """Per host with boilerplate: `host`, `digests` (array of the lines' MD5), and its `pages`.
 
     A page counts a line once, however often it repeats it. Blank lines never count.
     Without `copies`, pages of a host with equal texts count as one page.
@@ -38,8 +37,8 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
         pages = pages.groupBy("host", F.sha2("text", 256).alias("page")).agg(F.first("digests").alias("digests"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     holding = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("k")).where("k > 1")
-    over = holding.join(totals, "host").where((F.col("k") - 1) / (F.col("pages") - 1) > max_ratio)
-    return over.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+    over = holding.join(totals, "host").where(F.col("k") / F.col("pages") > max_ratio)
+    return over.groupBy("host").agg(F.collect_list("digest").alias("digests"), F.first("pages").alias("pages"))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, dropped: str | None = None, copies: bool = True) -> DataFrame:
@@ -50,10 +49,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     count as pages of their own with `copies`; without, a text that a host holds many
     times is one page and no boilerplate of its own. An empty table stays empty. With `dropped`, a column
     of that name counts the lines that went, in the place of any that `docs` has.
+    Hosts with many pages are looked up by broadcast; only pages of small ones are
+    shuffled, once there are more of these than a broadcast takes.
     """
     columns = [c for c in docs.columns if c != dropped]
-    bad = materialise(boilerplate(docs, host, text, max_ratio, copies), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"))
-    joined = docs.join(bad, docs[host] == bad["__ld_host"], "left")
+    bad = materialise(boilerplate(docs, host, text, max_ratio, copies), "boilerplate").select(F.col("host").alias("__ld_host"), F.col("digests").alias("__ld_digests"), F.col("pages").alias("__ld_pages"))
+    joined = looked_up(docs.withColumn("__ld_host", F.col(host)), bad, ["__ld_host"], n="__ld_pages", how="left")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("__ld_digests"), F.md5(x)))
     none = F.col("__ld_digests").isNull()
     out = joined.withColumn("__ld_kept", F.when(none, F.lit(None)).otherwise(kept))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise, small_batches
+from sheaf.llm.common import looked_up, materialise, small_batches
 from sheaf.llm.words import TABLE
 
 #: Labelled rows that the document models are fitted on, at most.
@@ -198,8 +198,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     own. The path level is language within a source by default, as documents have no
     URL path. Repeated rows count each. With `keep`, only these columns come back;
     a column named like the result gives way to it. Each text is scored once: rows
-    are written with their scores, and read back for the result, so that no text is
-    shuffled.
+    are written with their scores, and read back for the result. Sites with many rows
+    are looked up by broadcast; only rows of small ones are shuffled, once there are
+    more of these than a broadcast takes.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c != result]
     small_batches(docs.sparkSession)
@@ -213,9 +214,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     named = docs.select(*columns, F.col(host).cast("string").alias("__q_own_host"), F.col(path).cast("string").alias("__q_own_path"), score(F.col(text)).alias("__q_s"))
     scored = materialise(named, "scores")
     known = sites(scored.select(F.col("__q_own_host").alias("host"), F.col("__q_own_path").alias("path"), "__q_s.*"))
-    # Rows of sites are few beside documents; how they are joined hangs on the written table's size.
-    places = known.rows.withColumnsRenamed({"host": "__q_site_host", "path": "__q_site_path"})
-    joined = scored.join(places, F.col("__q_own_host").eqNullSafe(F.col("__q_site_host")) & F.col("__q_own_path").eqNullSafe(F.col("__q_site_path")))
+    # Null hosts and paths are looked up like any other.
+    named = lambda *cs: F.struct(*(x for k, c in enumerate(cs) for x in (F.col(c).isNull().alias(f"n{k}"), F.coalesce(F.col(c), F.lit("")).alias(f"c{k}"))))
+    places = known.rows.withColumn("__q_by", named("host", "path")).withColumn("__q_rows", F.col("__q_n")).drop("host", "path")
+    joined = looked_up(scored.withColumn("__q_by", named("__q_own_host", "__q_own_path")), places, ["__q_by"], n="__q_rows")
     p = {h: _probability(F.col("__q_s")[h] + known.shift(h, _probability(F.col("__q_s")[h]))) for h in HEADS}
     made = F.struct(p["quality"].alias("quality"), p["toxic"].alias("toxic"), ((p["quality"] >= 0.5) & (p["toxic"] < 0.5)).alias("keep"))
     return joined.withColumn(result, made).select(*columns, result)

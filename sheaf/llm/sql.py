@@ -19,7 +19,7 @@ SQL = {
         totals AS (SELECT source, count(*) AS n FROM d WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source),
         lines AS (SELECT source, unnest(list_distinct(list_filter(ls, lambda x: trim(x) <> ''))) AS line FROM d WHERE source IS NOT NULL),
         bad AS (SELECT l.source, list(l.line) AS bl FROM (SELECT source, line, count(*) AS k FROM lines GROUP BY source, line) l
-                JOIN totals t ON t.source = l.source WHERE l.k > 1 AND (l.k - 1) / (t.n - 1) > 0.1 GROUP BY l.source)
+                JOIN totals t ON t.source = l.source WHERE l.k > 1 AND l.k / t.n > 0.1 GROUP BY l.source)
         SELECT d.doc_id,
                CASE WHEN b.bl IS NULL OR d.text IS NULL THEN d.text
                     ELSE coalesce(array_to_string(list_filter(d.ls, lambda x: NOT list_contains(b.bl, x)), chr(10)), '') END AS text,

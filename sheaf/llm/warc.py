@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialise, new_folder, small_batches
+from sheaf.llm.common import looked_up, materialise, new_folder, small_batches
 
 #: Lines of an index block, and bytes after which an archive is closed.
 BLOCK_LINES = 3000
@@ -110,8 +110,9 @@ def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload"))
     large = own.where(F.octet_length("payload") >= least_bytes)
-    again = large.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
-    joined = own.join(materialise(again, "copies"), "sha1", "left")
+    again = large.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null")
+    # A payload that very many pages share, such as the empty one, is looked up by broadcast.
+    joined = looked_up(own, materialise(again, "copies"), ["sha1"], how="left")
     first = F.col("response").isNull() | F.col("page_id").eqNullSafe(F.col("response"))
     return joined.select("page_id", "url", "payload", F.when(~first, F.col("response")).alias("refers_to"))
 

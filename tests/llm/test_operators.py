@@ -638,3 +638,24 @@ def test_many_equal_cosines_are_cut_by_id():
     ids = [[5000 + i] for i in range(2000)] + [[100 - i] for i in range(40)]
     found = ann._best(["q"], base[None, :], x, ids, 5).to_pylist()
     assert [r["id"] for r in found] == [61, 62, 63, 64, 65, 66]
+
+
+def test_string_ids_and_copies_of_one_text(spark):
+    """Ids that are no numbers, and a text that a third of all rows hold."""
+    words_ = [f"w{i}" for i in range(60)]
+    hot = " ".join(words_)
+    near = " ".join([*words_[:57], "x", "y", "z"])
+    made = [(f"h{i}", hot) for i in range(40)] + [("n1", near), ("a0", hot), (None, near)] + [(f"o{i}", " ".join(f"{c}{i}" for c in "abcdefghij")) for i in range(40)]
+    frame = spark.createDataFrame(made, "doc_id string, text string").repartition(6)
+    groups = defaultdict(set)
+    for r in jaccard.join(frame).collect():
+        groups[r["group"]].add(r["id"])
+    assert groups["a0"] == {*(f"h{i}" for i in range(40)), "a0", "n1", None} and len(groups) == 41
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(frame).collect()) == sorted(["a0", *(f"o{i}" for i in range(40))])
+
+
+def test_lines_by_the_share_of_a_hosts_pages(spark):
+    made = [(i, f"own {i}\nevery page\n" + ("some" if i < 3 else "x"), "a") for i in range(20)] + [(100 + i, f"only {i}\ntwice", "b") for i in range(2)] + [(200, "alone", "c"), (201, "n", None)]
+    new = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(spark.createDataFrame(made, "doc_id long, text string, source string"), max_ratio=0.15).collect()}
+    # 20 of 20, 17 of 20; 3 of 20 are not more than the ratio.
+    assert new[0] == "own 0\nsome" and new[5] == "own 5" and new[100] == "only 0" and new[200] == "alone" and new[201] == "n"
