@@ -43,7 +43,11 @@ def gap_kind(text: str, start: int, a: int, b: int) -> tuple[int, int]:
 def cut_place(text: str, start: int, stop: int, least: int) -> int:
     """Where the chunk from `start` ends, `stop` at the latest: behind the last gap of the best kind that ends at `least` or later, else at `stop`."""
     best: dict[int, int] = {}
-    for m in _GAP.finditer(text, start, stop):
+    # Gaps that end before `least` do not count; one that ends there may begin before.
+    first = least
+    while first > start and text[first - 1].isspace():
+        first -= 1
+    for m in _GAP.finditer(text, first, stop):
         if m.end() >= least:
             kind, end = gap_kind(text, start, *m.span())
             if end >= least:
