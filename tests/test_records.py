@@ -316,7 +316,7 @@ def test_ingest_keeps_texts_whose_ids_collide(spark):
     first = ingest_job(spark.createDataFrame([(1, url + "1", f"<p>{one_}</p>"), (2, url + "2", f"<p>{two}</p>")], page))
     rows = first.collect()
     assert len({r["id"] for r in rows}) == 1 and {r["raw_text"] for r in rows} == set(colliding_texts())
-    same_page = ingest_job(spark.createDataFrame([(1, url + "1", f"<p>{one_}</p><p>{two}</p>")], page))
+    same_page = ingest_job(spark.createDataFrame([(1, url + "1", f"<article>{one_}</article><article>{two}</article>")], page))
     assert {r["raw_text"] for r in same_page.collect()} == set(colliding_texts())
     stored = spark.createDataFrame(rows, first.schema).drop("delta")
     again = ingest_job(spark.createDataFrame([(3, url + "2", f"<p>{one_}</p>"), (4, url + "1", "")], page), stored).collect()
