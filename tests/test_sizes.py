@@ -2,7 +2,15 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from sheaf import bindings as B
 from sheaf import queries as Q
+from sheaf.operators import elements
+
+
+def optimized(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_attachments_in_order_of_lines_whatever_the_parts(spark, tmp_path):
@@ -10,3 +18,15 @@ def test_attachments_in_order_of_lines_whatever_the_parts(spark, tmp_path):
     spark.createDataFrame([(1, "Ann")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 1, 1_500_000), (1, 2, 3)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert Q.QUERIES["p29_attachments"](spark, str(tmp_path)).first()["summary"] == "Attachments: Line 1, Line 2"
+
+
+def test_a_filter_on_headers_reads_pages_once(spark, sf):
+    blocks = elements.record_blocks(B.portal_pages(spark, sf)).where("header <> ''")
+    plan = optimized(elements.enrich_notes(blocks.select(F.lit("k:visits:undated:1").alias("id"), F.lit("").alias("date"), F.lit("Visit").alias("title"), F.lit("visit-note").alias("record_type"), F.lit("text").alias("raw_text"), "header")))
+    assert plan.count("ArrowEvalPython") == 1
+    # What a header says is looked for once for all columns that need it.
+    assert plan.count("signed\\s+((?:jan") == 1
+
+
+def test_small_tables_are_rendered_on_all_cores(spark, sf):
+    assert B.portal_pages(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
