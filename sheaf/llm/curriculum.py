@@ -132,7 +132,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     for k, schedule in enumerate(schedules):
         at = F.when(F.col("kind") == k, time_of(share, schedule)).otherwise(at)
     timed = copies.withColumn("position", at).select("row", "id", "source", "size", "source_size", "target", "epoch", "words", "position", "no", "start")
-    return running_totals(timed, ["position", "no", "start"], "words", "offset").drop("no", "start")
+    order = ["position", "no", "start"]
+    return running_totals(timed, order, "words", "offset").repartitionByRange(*order).sortWithinPartitions(*order).drop("no", "start")
 
 
 def per_document(mixed: DataFrame) -> DataFrame:

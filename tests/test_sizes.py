@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf import bindings as B
 from sheaf import queries as Q
-from sheaf.operators import elements
+from sheaf.operators import elements, records
 
 
 def optimized(rows):
@@ -30,3 +30,10 @@ def test_a_filter_on_headers_reads_pages_once(spark, sf):
 
 def test_small_tables_are_rendered_on_all_cores(spark, sf):
     assert B.portal_pages(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_running_sums_need_no_python_workers(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("kind"), F.lit(2).cast("long").alias("n"))
+    totals = records.running_totals(rows, ["id"], "n", "before", scope="kind")
+    assert "MapInArrow" not in optimized(totals)
+    assert totals.where("before = 2 * floor(id / 3)").count() == 1000
