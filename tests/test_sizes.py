@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheaf import bindings as B
 from sheaf import queries as Q
 from sheaf.operators import elements, records
+from sheaf.sources import store
 
 
 def optimized(rows):
@@ -37,3 +38,12 @@ def test_running_sums_need_no_python_workers(spark):
     totals = records.running_totals(rows, ["id"], "n", "before", scope="kind")
     assert "MapInArrow" not in optimized(totals)
     assert totals.where("before = 2 * floor(id / 3)").count() == 1000
+
+
+def test_a_store_document_in_several_files(spark, tmp_path):
+    record = lambda i: f'    {{\n      "id": "{i}"\n    }}'
+    (tmp_path / "part-0").write_text('{\n  "version": 1,\n  "records": [\n' + record("a") + ",\n")
+    (tmp_path / "part-1").write_text(record("b") + ",\n" + record("c") + '\n  ],\n  "indexCards": [\n')
+    (tmp_path / "part-2").write_text(record("d") + '\n  ],\n  "history": [\n    {\n      "id": "h"\n    }\n  ]\n}\n')
+    made, cards = store.read_large_store(spark, str(tmp_path))
+    assert [sorted(r["id"] for r in t.collect()) for t in (made, cards)] == [["a", "b", "c"], ["d"]]
