@@ -91,9 +91,10 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
     links = materialise(pages.extract_links(known), "links")
 
     none = lambda schema: spark.createDataFrame([], schema)
-    before = none("identity_hash string") if coverage is None or force else coverage.select("identity_hash").distinct()
-    told = none("coverage_key string") if stored is None or context else frontier.detail_coverage(stored)
-    urls_seen = none("url_key string") if visited is None or force else visited.select("url_key").distinct()
+    # Every round asks for what earlier runs did, so it is made once.
+    before = none("identity_hash string") if coverage is None or force else materialise(coverage.select("identity_hash").distinct(), "coverage")
+    told = none("coverage_key string") if stored is None or context else materialise(frontier.detail_coverage(stored), "told")
+    urls_seen = none("url_key string") if visited is None or force else materialise(visited.select("url_key").distinct(), "visited")
     flag = F.lit(True)
 
     def with_coverage(targets: DataFrame) -> DataFrame:

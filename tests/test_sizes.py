@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sheaf import bindings as B
 from sheaf import queries as Q
-from sheaf.operators import elements, records
+from sheaf.jobs.crawl import crawl_job
+from sheaf.operators import elements, frontier, records
 from sheaf.sources import store
 
 
@@ -47,3 +48,20 @@ def test_a_store_document_in_several_files(spark, tmp_path):
     (tmp_path / "part-2").write_text(record("d") + '\n  ],\n  "history": [\n    {\n      "id": "h"\n    }\n  ]\n}\n')
     made, cards = store.read_large_store(spark, str(tmp_path))
     assert [sorted(r["id"] for r in t.collect()) for t in (made, cards)] == [["a", "b", "c"], ["d"]]
+
+
+def test_rounds_make_what_earlier_runs_covered_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    address = lambda n: f"{B.PORTAL}/app/test-results" if n == 0 else f"{B.PORTAL}/app/test-results/details?eorderid={n}"
+    site = spark.createDataFrame([(n, address(n), f'<a href="{address(n + 1)}">Result details</a>') for n in range(4)], "page_id long, url string, html string")
+    coverage = spark.createDataFrame([("none",)], "identity_hash string").select(counted("identity_hash").alias("identity_hash"))
+    seeds = frontier.seeds(spark.range(1).select(F.lit(B.PORTAL).alias("base_url")), categories=["test-results"])
+    run = crawl_job(site, seeds, coverage=coverage, expected_origin=B.PORTAL)
+    assert run.rounds == 5 and run.visits.where("status = 'visited'").count() == 4
+    assert made.value == 1
