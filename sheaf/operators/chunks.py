@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import or_empty, trimmed
+from sheaf.sources.shared import small_batches
 
 #: Characters of a chunk, of what it shares with the next one, and the share of a chunk before which it is not cut. Fixed values.
 SIZE, OVERLAP, EARLIEST = 3000, 300, 0.55
@@ -85,6 +86,7 @@ def chunk_text(rows: DataFrame, text: str = "text", size: int = SIZE, overlap: i
         for some in texts:
             yield pd.Series([[{"text": t[a:b], "char_start": a, "char_end": b} for a, b in cuts(t, size, overlap)] for t in ((x or "").strip() for x in some)], dtype=object)
 
+    small_batches(rows.sparkSession)
     made = rows.select("id", *keep, run(F.col(text)).alias("c"))
     each = made.select("id", *keep, F.size("c").alias("chunk_count"), F.posexplode("c").alias("chunk_index", "c"))
     number = F.lpad((F.col("chunk_index") + 1).cast("string"), 4, "0")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sheaf import bindings as B
 from sheaf import queries as Q
 from sheaf.jobs.crawl import crawl_job
-from sheaf.operators import elements, frontier, records
+from sheaf.operators import chunks, elements, frontier, labs, pages, records
 from sheaf.sources import store
+from sheaf.sources.shared import BATCH_BYTES
 
 
 def optimized(rows):
@@ -65,3 +66,12 @@ def test_rounds_make_what_earlier_runs_covered_once(spark):
     run = crawl_job(site, seeds, coverage=coverage, expected_origin=B.PORTAL)
     assert run.rounds == 5 and run.visits.where("status = 'visited'").count() == 4
     assert made.value == 1
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.createDataFrame([("a", "text", f"{B.PORTAL}/app/letters/1", 0)], "id string, text string, url string, pos int")
+    for use in (chunks.chunk_text, labs.lab_components, lambda r: pages.build_records(r.withColumnRenamed("id", "page_id"))):
+        spark.conf.set(setting, "64m")
+        use(rows)
+        assert spark.conf.get(setting) == BATCH_BYTES
