@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import let, or_empty, trimmed
+from sheaf.functions.text import BLANKS, let, or_empty
 
 #: Month names by their first three letters. Fixed values.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -14,41 +14,55 @@ _FULL = "|".join(f"{n[:3]}(?:{n[3:]})?" if len(n) > 3 else n for n in MONTH_NAME
 _SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 
 
+#: The months' first letters behind one another, so that a place in them tells the month.
+_MONTH_PLACES = "|" + "|".join(MONTHS) + "|"
+
+
 def _month(name: Column) -> Column:
-    return F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
+    """The number of a month by its name; 0 if there is none. One search in a text: an array of names is compared name by name, each anew."""
+    at = F.position(F.concat(F.lit("|"), F.lower(F.substring(name, 1, 3)), F.lit("|")), F.lit(_MONTH_PLACES))
+    return F.floor((at + 3) / 4).cast("int")
 
 
 def _year(text: Column) -> Column:
     """Two digits: from 70 on 19xx, else 20xx."""
-    y = F.try_to_number(text, F.lit("9999")).cast("int")
+    y = _int(text)
     return F.when(y >= 100, y).when(y >= 70, y + 1900).otherwise(y + 2000)
 
 
 def _iso(y: Column, m: Column, d: Column) -> Column:
     """A calendar-checked day from 1900 on, else ''."""
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.coalesce(F.when(y >= 1900, F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd")), F.lit(""))
+    text = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
+    return let(text, lambda own: F.when((own >= "1900") & own.try_cast("date").isNotNull(), own).otherwise(""))
 
 
 def _int(c: Column) -> Column:
-    return F.try_to_number(c, F.lit("9999")).cast("int")
+    return c.try_cast("int")
 
 
 def clinical_date_iso(c: Column) -> Column:
     """The first ISO day anywhere, as it stands; else a leading M/d/yy or M/d/yyyy; else a leading month name with day, comma and year."""
-    numeric = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})(?:\b|[^0-9]).*$"
-    named = rf"(?i)^({_FULL})\s+([0-9]{{1,2}}),\s*([0-9]{{4}})\b.*$"
+    numeric = rf"^[{BLANKS}]*+([0-9]{{1,2}}/[0-9]{{1,2}}/(?:[0-9]{{4}}|[0-9]{{2}}))(?:\b|[^0-9])"
+    named = rf"(?i)^[{BLANKS}]*+((?:{_FULL})\s+[0-9]{{1,2}},\s*[0-9]{{4}})\b"
+    iso = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+
+    def by_name(found: Column) -> Column:
+        # A month's name, blanks, a day, a comma, blanks, and four digits.
+        day = F.regexp_extract(found, "([0-9]{1,2}),", 1)
+        return F.when(found != "", _iso(_int(F.substring(found, -4, 4)), _month(found), _int(day))).otherwise("")
 
-    def parts(raw: Column, pattern: str) -> Column:
-        return F.split(F.regexp_replace(raw, "(?s)" + pattern, "$1\u0001$2\u0001$3"), "\u0001")
+    def by_number(x: Column) -> Column:
+        parts = lambda found: let(F.split(found, "/"), lambda p: _iso(_year(p[2]), _int(p[0]), _int(p[1])))
+        return F.when(x["found"] != "", parts(x["found"])).otherwise(let(F.regexp_extract(x["text"], named, 1), by_name))
 
-    def day(raw: Column) -> Column:
-        by_number = let(parts(raw, numeric), lambda p: _iso(_year(p[2]), _int(p[0]), _int(p[1])))
-        by_name = let(parts(raw, named), lambda p: _iso(_int(p[2]), _month(p[0]), _int(p[1])))
-        iso = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-        return F.when(raw.rlike(iso), F.regexp_extract(raw, iso, 0)).when(raw.rlike("(?s)" + numeric), by_number).when(raw.rlike("(?s)" + named), by_name).otherwise("")
+    # Each form is searched for once: what was found is the answer, or is taken apart.
+    other = lambda text: let(_with(text, numeric, 1), by_number)
+    return let(or_empty(c), lambda text: let(_with(text, iso, 0), lambda x: F.when(x["found"] != "", x["found"]).otherwise(other(x["text"]))))
 
-    return let(trimmed(or_empty(c)), day)
+
+def _with(text: Column, pattern: str, group: int) -> Column:
+    """A text with what is found in it, as one value: an argument of a Python function cannot hold a lambda that names the value of another."""
+    return F.struct(text.alias("text"), F.regexp_extract(text, pattern, group).alias("found"))
 
 
 def extract_date(c: Column) -> Column:
@@ -75,9 +89,13 @@ def group_date(c: Column, fallback: Column | None = None) -> Column:
         display = F.concat(F.coalesce(F.get(names, month - 1), F.lit("undefined")), F.lit(" "), day.cast("string"), F.lit(", "), year.cast("string"))
         return F.struct(F.when(known, key).otherwise("").alias("day_key"), F.when(known, display).otherwise("").alias("display"))
 
-    def found(text: Column) -> Column:
-        n = let(F.array(*(F.regexp_extract(text, numeric, i) for i in (1, 2, 3))), lambda p: made(_year(p[2]), _int(p[0]), _int(p[1])))
-        w = let(F.array(*(F.regexp_extract(text, named, i) for i in (1, 2, 3))), lambda p: made(_int(p[2]), _month(p[0]), _int(p[1])))
-        return F.when(text.rlike(numeric), n).when(text.rlike(named), w).otherwise(F.struct(F.lit("").alias("day_key"), F.lit("").alias("display")))
+    def by_name(said: Column) -> Column:
+        none = F.struct(F.lit("").alias("day_key"), F.lit("").alias("display"))
+        return F.when(said != "", made(_int(F.substring(said, -4, 4)), _month(said), _int(F.regexp_extract(said, r"([0-9]{1,2}),?\s+[0-9]{4}$", 1)))).otherwise(none)
+
+    def found(x: Column) -> Column:
+        # Each form is searched for once, and what was found is taken apart.
+        parts = lambda said: let(F.split(said, "/"), lambda p: made(_year(p[2]), _int(p[0]), _int(p[1])))
+        return F.when(x["found"] != "", parts(x["found"])).otherwise(let(F.regexp_extract(x["text"], named, 0), by_name))
 
-    return let(F.concat_ws("\n", or_empty(c), or_empty(fallback) if fallback is not None else F.lit("")), found)
+    return let(F.concat_ws("\n", or_empty(c), or_empty(fallback) if fallback is not None else F.lit("")), lambda text: let(_with(text, numeric, 0), found))
