@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +44,27 @@ def folded(c: Column) -> Column:
     return F.lower(squashed(or_empty(c)))
 
 
+#: White space in a line that is no blank, as part of a class of a regular expression.
+_INNER = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a text may need squashing for: most texts have none of it, and one quick search tells.
+_ODD = r"[^ -~\n]|[ \n](?:[ \n]|\z)|\A[ \n]"
+#: What of white space is not as it should be: runs and other characters within lines, about line ends, and at a text's ends.
+_UNEVEN, _ENDS, _OUTER = rf" [ {_INNER}]++|(?=[^ -~])[{_INNER}][ {_INNER}]*+", r" \n[ \n]*+|\n[ \n]++", r"\A[ \n]|[ \n]\z"
+
+
 def lines(c: Column) -> Column:
     """Non-empty lines, each squashed; a carriage return ends a line too."""
-    each = F.split(F.replace(or_empty(c), F.lit("\r"), F.lit("\n")), "\n", -1)
-    return F.filter(F.transform(each, squashed), lambda x: x != "")
+    return let(normalize_text(c), lambda own: F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, "\n", -1)))
 
 
 def normalize_text(c: Column) -> Column:
-    """Lines squashed, empty ones dropped, line ends kept."""
-    return F.array_join(lines(c), "\n")
+    """Lines squashed, empty ones dropped, line ends kept. Only what changes is matched, in the whole text, not line by line."""
+
+    def squash(own: Column) -> Column:
+        ended = F.regexp_replace(F.replace(own, F.lit("\r"), F.lit("\n")), _UNEVEN, " ")
+        return F.when(own.rlike(_ODD), F.regexp_replace(F.regexp_replace(ended, _ENDS, "\n"), _OUTER, "")).otherwise(own)
+
+    return let(or_empty(c), squash)
 
 
 def labelize(c: Column) -> Column:
@@ -69,6 +83,41 @@ def text_hash(c: Column) -> Column:
     return F.lower(F.conv(F.when(or_empty(c) == "", 5381).otherwise(own).cast("string"), 10, 36))
 
 
+def _hashes(texts: Sequence[str]) -> np.ndarray:
+    """The number of `text_hash` of each text, a character of all texts at a time."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], dtype=np.int64)
+    codes = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    starts, own = np.cumsum(sizes) - sizes, np.full(len(texts), 5381, dtype=np.int64)
+    longest, at = int(sizes[0]) if len(sizes) else 0, 0
+    # Texts that still have a character stand first; the last few go one by one.
+    while at < longest and (left := int(np.searchsorted(-sizes, -at, "left"))) >= FEW:
+        own[:left] = ((own[:left] * 33) & 0xFFFFFFFF) ^ codes[starts[:left] + at]
+        at += 1
+    for k in range(int(np.searchsorted(-sizes, -at, "left"))):
+        h = int(own[k])
+        for code in codes[starts[k] + at : starts[k] + sizes[k]].tolist():
+            h = ((h * 33) & 0xFFFFFFFF) ^ code
+        own[k] = h
+    out = np.empty(len(texts), dtype=np.int64)
+    out[order] = own
+    return out
+
+
+#: Texts of a batch that are hashed at once at least.
+FEW = 32
+
+
+def text_hash_batched(c: Column) -> Column:
+    """`text_hash` in batches, for rows that go to Python anyway: columns take a text apart into an array of characters."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_hashes(list(texts)), dtype="int64")
+
+    return F.lower(F.conv(run.asNondeterministic()(or_empty(c)).cast("string"), 10, 36))
+
+
 def content_key(*cs: Column | str) -> Column:
     """A 256-bit key of several texts, nulls as ''."""
     return F.sha2(F.concat_ws("\0", *(or_empty(c) for c in cs)), 256)
