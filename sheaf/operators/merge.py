@@ -174,6 +174,12 @@ def unmatched_derived(derived: DataFrame, stored: DataFrame) -> DataFrame:
     day = group_date(F.col("date"))["day_key"]
     whole = "__who <> '' and __day <> '' and __title <> ''"
     labs = stored.where("category = 'test-results'").select(who.alias("__who"), day.alias("__day"), title_key(F.col("title")).alias("__title")).where(whole).distinct()
+    # Without labs nothing is matched, and what is derived need not be made to see that.
+    labs = materialise(labs, "stored")
+    if labs.isEmpty():
+        return derived
+    # Derived rows are made of texts that are read line by line: once, for the question and the answer.
+    derived = materialise(derived, "derived")
     group = F.col("derived_from.group_title") if "derived_from" in derived.columns else F.lit("")
     own = derived.withColumns({"__who": who, "__day": day, "__title": title_key(first_nonempty(group, "title"))})
     asked = own.select(*by, "__title").where(whole).distinct()
