@@ -102,10 +102,11 @@ def _canonical(raw: Column) -> Column:
 
 def route_identity(url: Column, category: Column, context: Column) -> Column:
     """What a route shows, whatever its address says else: origin, context, category, path, and clinical parameters by name; '' where it cannot be parsed."""
-    return let(url, lambda u: _identity(u, category, context))
+    return let(url, lambda u: identity_of(u, category, context))
 
 
-def _identity(url: Column, category: Column, context: Column) -> Column:
+def identity_of(url: Column, category: Column, context: Column) -> Column:
+    """`route_identity` of an address that is a column: it is named more than once."""
     ids = F.filter(F.transform(params(url), lambda p: F.struct(F.lower(p["name"]).alias("name"), F.coalesce(F.try_url_decode(p["value"]), p["value"]).alias("value"))), lambda p: p["name"].isin(*CLINICAL_IDS, "action"))
     tail = F.transform(F.array_sort(ids), lambda p: F.concat(p["name"], F.lit("="), p["value"]))
     head = F.array(origin(url), or_empty(context), or_empty(category), F.lower(F.regexp_replace(path(url), "/+$", "")))

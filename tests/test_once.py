@@ -56,3 +56,23 @@ def test_derived_rows_are_not_made_to_see_that_nothing_matches(spark):
     known = spark.createDataFrame([("l", "test-results", "Panel", "1/5/2024", ("p", "p"))], kind)
     some = spark.createDataFrame([("d", "test-results", "Panel total", "1/5/2024", ("p", "p")), ("e", "test-results", "Other", "1/5/2024", ("p", "p"))], kind)
     assert [r.id for r in merge.unmatched_derived(some, known).collect()] == ["e"]
+
+
+def test_a_link_is_classified_once(spark):
+    """However often it stands there: a filter on classes, and joins by identities, do not look at it again."""
+    from sheaf.operators import frontier
+
+    base = "https://p.example.org"
+    detail, other, trend = f"{base}/app/test-results/details?eorderid=", f"{base}/clinical/other?lrpid=", f"{base}/app/test-results/past-result-details?orderid="
+    made = [(f"{detail}1&view=full", "Details", "test-results", 7), (f"{detail}1", "Details", "test-results", 9), (f"{detail}1", "Details", "test-results", 3), (f"{detail}1", "View trends", "test-results", 1)]
+    made += [(f"{detail}2", "Details", "test-results", None), (f"{detail}2", "Details", "test-results", 2), (f"{detail}2", "Details", "test-results", 1)]
+    made += [(f"{other}3", "More", "visits", 5)] * 3 + [(f"{trend}4", "Compare", "test-results", 1), (None, "x", "visits", 1), (f"{detail}5", "Details", "test-results", 4), (f"{detail}6", "Details", "test-results", 4)]
+    links = spark.createDataFrame(made, "url string, text string, category string, pos int")
+    covered = frontier.classified(links.where(F.col("url").endswith("=5"))).select("identity_hash")
+    seen = spark.createDataFrame([(f"{detail}6",)], "url_key string")
+    found = frontier.frontier(links, covered, seen, expected_origin=base)
+    got = sorted((r["url"], r["pos"], r["route"]["admission"], r["admissible"], r["seen"]) for r in found.collect())
+    want = [(f"{detail}1", 3, "strict", 3, False), (f"{detail}2", None, "strict", 3, False), (f"{detail}6", 4, "strict", 1, True), (f"{other}3", 5, "exhaustive", 3, False)]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("credible_unrecognized_clinical_route") == 1
