@@ -76,3 +76,18 @@ def test_a_link_is_classified_once(spark):
     assert got == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("credible_unrecognized_clinical_route") == 1
+
+
+def test_cues_of_names_are_looked_for_where_their_words_are(spark, monkeypatch):
+    """A text without a cue's words is not searched for it, and each cue's words stand in all that it fits."""
+    from sheaf.functions import people
+
+    name = "Mary Ann Lee"
+    said = [f"You're VIEWING {name}", f"Today's visits({name})", f"x ({name})", f"WELCOME {name}", f"Hi {name}! I'm here", f"Notification for {name}", f"viewing {name}’s chart", f"Proxy for {name}", f"Account: {name}", f"records for {name}", f"PATIENT {name}", f"{name}'s Records", f"{name}'s CHART"]
+    odd = [f"a\r\n\n Patient:   {name}  \n", f"Patient: {name}", "JBoy Jones", "no cue", "", None]
+    rows = spark.createDataFrame([(t,) for t in said + odd], "t string")
+    made = rows.select(people.infer_name(F.col("t")).alias("name"))
+    assert [r["name"] for r in made.collect()] == [name] * (len(said) + 2) + ["Boy Jones", "", "", ""]
+    monkeypatch.setattr(people, "_after_initial", lambda name: F.raise_error(F.concat(F.lit("searched"), name)).cast("string"))
+    plain = spark.createDataFrame([("Letter about 1-URGENT\nJan 5, 2024\nProvider note of order 7",), ("",), (None,)], "t string")
+    assert [r["name"] for r in plain.select(people.infer_name(F.col("t")).alias("name")).collect()] == [""] * 3
