@@ -154,6 +154,19 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), source.alias("source_url"), c("event_type").alias("title"), "value", c("event_type").alias("category"), _patient(who, who).alias("patient"), F.floor(c("event_id") / 2000).alias("seq"))
 
 
+#: Rows of a file of arrivals; a task writes a file.
+ARRIVAL_ROWS = 250_000
+
+
+def arrivals(rows: DataFrame, folder: str, count: int) -> tuple[int, int]:
+    """Rows by their `seq` as so many arrivals in a folder, one after another: how many files an arrival has, and all have. Rows of an arrival are dealt to its files, which tasks write side by side."""
+    said = rows.agg(F.max("seq").alias("last"), F.count("*").alias("n")).first()
+    last, files = (said["last"] or 0) + 1, max(1, -(-said["n"] // (count * ARRIVAL_ROWS)))
+    for k in range(count):
+        rows.where(F.floor(F.col("seq") * count / last) == k).repartition(files, "id").write.mode("append").parquet(folder)
+    return files, len(rows.sparkSession.read.schema(rows.schema).parquet(folder).inputFiles())
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A portal's site with a page for each order but the first, which is its list of results: each leads to eight others, every seventh only by an address of a route that is not recognised; some of what it leads to is not there."""
     c, k = F.col, F.col("o_orderkey")

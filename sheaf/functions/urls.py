@@ -65,13 +65,19 @@ def source_host(url: Column) -> Column:
 
 
 def source_url_key(url: Column) -> Column:
-    """Without the fragment; the text itself where it cannot be parsed."""
+    """Without the fragment; the text itself where it cannot be parsed. Only what may have a fragment is parsed."""
     raw = or_empty(url)
-    return F.when(parsed(raw), F.regexp_replace(raw, "#.*$", "")).otherwise(raw)
+    return F.when(F.contains(raw, F.lit("#")), F.when(parsed(raw), F.regexp_replace(raw, "#.*$", "")).otherwise(raw)).otherwise(raw)
+
+
+def _may_show(url: Column, part: str, found: Column, none: object) -> Column:
+    """`found` of addresses that hold `part` of a path somewhere, else `none`: most are told by that and not parsed."""
+    return F.when(F.contains(F.lower(or_empty(url)), F.lit(part)), found).otherwise(none)
 
 
 def is_past_visit_detail(url: Column) -> Column:
-    return F.lower(path(or_empty(url))).contains("/app/visits/past-details")
+    own = "/app/visits/past-details"
+    return _may_show(url, own, F.lower(path(or_empty(url))).contains(own), False)
 
 
 def is_visit_detail(url: Column) -> Column:
@@ -82,7 +88,7 @@ def visit_key(url: Column) -> Column:
     """Origin and visit number, for visit notes and past details; else ''."""
     csn = F.coalesce(param(url, "csn"), F.lit(""))
     here = F.lower(path(url)).rlike("/app/visits/(?:past-details|note)")
-    return F.when(here & (csn != ""), F.concat(origin(url), F.lit("/visit-csn/"), csn)).otherwise("")
+    return _may_show(url, "/app/visits/", F.when(here & (csn != ""), F.concat(origin(url), F.lit("/visit-csn/"), csn)).otherwise(""), "")
 
 
 def canonical_source(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf import bindings as B
 from sheaf import queries as Q
+from sheaf.functions import urls
 from sheaf.jobs.crawl import crawl_job
 from sheaf.operators import chunks, elements, frontier, labs, pages, records
 from sheaf.sources import store
@@ -75,3 +76,38 @@ def test_texts_go_to_python_in_small_batches(spark):
         spark.conf.set(setting, "64m")
         use(rows)
         assert spark.conf.get(setting) == BATCH_BYTES
+
+
+def test_arrivals_are_files_that_many_tasks_write(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "ARRIVAL_ROWS", 50)
+    made = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.floor(F.col("id") / 10).alias("seq"))
+    assert B.arrivals(made, f"file://{tmp_path}/pages", 4) == (5, 20)
+    assert spark.read.parquet(f"file://{tmp_path}/pages").count() == 1000
+
+
+def test_checkpoints_of_several_files_give_the_same_rows(spark, monkeypatch):
+    own = lambda: sorted(Q.QUERIES["s1_bounded_checkpoints"](spark, "/root/testdata/sf0.01").collect())
+    monkeypatch.setattr(B, "ARRIVAL_ROWS", 1000)
+    several = own()
+    assert len(several) == 2000 and all(r["bounded"] for r in several)
+    monkeypatch.setattr(B, "ARRIVAL_ROWS", 250_000)
+    assert several == own()
+
+
+def test_only_addresses_that_may_differ_are_parsed(spark):
+    plan = optimized(spark.range(1).select(F.col("id").cast("string").alias("u")).select(urls.source_url_key(F.col("u")).alias("s"), urls.is_past_visit_detail(F.col("u")).alias("p"), urls.visit_key(F.col("u")).alias("v")))
+    # Each is told by a search in the text first.
+    assert plan.lower().count("case when contains(") == 3
+    odd = ["https://p.example.org/APP/Visits/Past-Details?csn=5#top", "https://p.example.org/app/visits/note?csn=5", "https://p.example.org/x?next=/app/visits/past-details&csn=5", "https://p.example.org/x#/app/visits/note", "not an address # at all", "/app/visits/note?csn=1", "https://P.example.org/app/visits/past-details", "", None]
+    got = spark.createDataFrame([(x, i) for i, x in enumerate(odd)], "u string, i int").select("i", urls.source_url_key(F.col("u")), urls.is_past_visit_detail(F.col("u")), urls.visit_key(F.col("u"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("https://p.example.org/APP/Visits/Past-Details?csn=5", True, "https://p.example.org/visit-csn/5"),
+        ("https://p.example.org/app/visits/note?csn=5", False, "https://p.example.org/visit-csn/5"),
+        ("https://p.example.org/x?next=/app/visits/past-details&csn=5", False, ""),
+        ("https://p.example.org/x", False, ""),
+        ("not an address # at all", False, ""),
+        ("/app/visits/note?csn=1", False, None),
+        ("https://P.example.org/app/visits/past-details", True, ""),
+        ("", False, ""),
+        ("", False, ""),
+    ]
