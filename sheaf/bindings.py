@@ -130,22 +130,17 @@ def portal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), pick(0).alias("kind"), F.concat(pick(1), k, F.lit("&view=full&from=home#top")).alias("url"), pick(2).alias("text"), pick(3).alias("category"))
 
 
-def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Existing and incoming records of sources with seven events each."""
+def batches(spark: SparkSession, sf_dir: str, placed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Existing and incoming records of sources with seven events each; `placed` ones with the category and patient by which a store in parts lays them."""
     c = F.col
-    base = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), F.concat(F.lit(f"{PORTAL}/source?id="), (F.floor(c("event_id") / 7)).cast("string")).alias("source_url"), c("event_type").alias("title"), c("value"), c("event_id").alias("n"))
+    who = c("user_id").cast("string")
+    place = [c("event_type").alias("category"), _patient(who, who).alias("patient")] if placed else []
+    base = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), F.concat(F.lit(f"{PORTAL}/source?id="), (F.floor(c("event_id") / 7)).cast("string")).alias("source_url"), c("event_type").alias("title"), c("value"), *place, c("event_id").alias("n"))
     existing = base.where(c("n") % 10 < 8)
     incoming = base.where(((c("n") % 10 >= 6) & (c("n") % 100 < 50)) | (c("n") % 10 >= 8)).withColumn("value", F.when(c("n") % 3 == 0, c("value") + 1).otherwise(c("value")))
     return existing.drop("n"), incoming.drop("n")
 
 
-def stored_rows(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of `batches` with the category and patient by which a store in parts lays them."""
-    c = F.col
-    own = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("id"), c("event_type").alias("category"), _patient(c("user_id").cast("string"), c("user_id").cast("string")).alias("patient"))
-    return rows.join(own, "id")
-
-
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rows of 500 pages that are read again and again: `seq` numbers a page's readings."""
     c = F.col

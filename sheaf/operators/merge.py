@@ -56,13 +56,19 @@ def ids_to_replace(existing: DataFrame, incoming: DataFrame, sources: DataFrame
     make no hot key.
     """
     names = row_key(existing)
-    read = (sources if sources is not None else incoming).select("source_url").distinct()
+    return _read_again(existing, sources if sources is not None else incoming).join(incoming.select(*names), names, "left_anti")
+
+
+def _read_again(existing: DataFrame, sources: DataFrame) -> DataFrame:
+    """Ids of existing rows that a reading of `sources` replaces, whatever it gives."""
+    names = row_key(existing)
+    read = sources.select("source_url").distinct()
     keyed = existing.where("id is not null and id <> ''").select(*names, source_url_key(F.col("source_url")).alias("key"), visit_key(F.col("source_url")).alias("visit"), is_past_visit_detail(F.col("source_url")).alias("past"))
     urls = read.select(source_url_key(F.col("source_url")).alias("key")).where("key <> ''").distinct()
     visits = read.select(visit_key(F.col("source_url")).alias("visit")).where("visit <> ''").distinct()
     same = keyed.where("key <> ''").join(urls, "key", "left_semi").select(*names)
     past = keyed.where("past and visit <> ''").join(visits, "visit", "left_semi").select(*names)
-    return same.unionByName(past).distinct().join(incoming.select(*names), names, "left_anti")
+    return same.unionByName(past).distinct()
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -72,7 +78,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, sources: DataFrame | None =
     columns, null-safe. Deleted rows are kept as such; the store is what is not deleted.
     """
     columns, names = existing.columns, row_key(existing)
-    gone = ids_to_replace(existing, incoming, sources).select(*names, F.lit(True).alias("gone"))
+    # What `incoming` gives again is told from what is gone by its row.
+    gone = _read_again(existing, sources if sources is not None else incoming).select(*names, F.lit(True).alias("gone"))
     old = existing.join(gone, names, "left").select(*names, F.struct(*columns).alias("old"), F.coalesce("gone", F.lit(False)).alias("gone"))
     new = incoming.select(*names, F.struct(*columns).alias("new"))
     both = old.join(new, names, "full_outer")

@@ -28,6 +28,8 @@ from sheaf.sources.store import read_generation, write_generation
 MANIFEST = "kind string, cat string, bucket int, gen string, rows long"
 #: Where rows of no category of the layout lie.
 OTHER = "other"
+#: Where a merge leaves the rows that it deleted, for its changes to tell; no manifest names it, and no category can.
+DELETED = "deleted.rows"
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,10 @@ class Layout:
         who = first_nonempty("patient.key", "patient.label", "patient.name")
         return F.pmod(F.xxhash64(F.when(who != "", who).otherwise(or_empty("id"))), F.lit(self.buckets)).cast("int")
 
+    def key_bucket(self) -> Column:
+        """Of the index."""
+        return F.pmod(F.xxhash64("kind", "key"), F.lit(self.key_buckets)).cast("int")
+
 
 @dataclass(frozen=True)
 class Store:
@@ -75,7 +81,7 @@ class Merged:
 def _publish(spark: SparkSession, path: str, s: Store) -> None:
     rows = [(*part, *at) for part, at in s.live.items()]
     head = [(json.dumps(asdict(s.layout)), s.schema.json(), s.batch_id)]
-    write_generation({"manifest": spark.createDataFrame(rows, MANIFEST), "head": spark.createDataFrame(head, "layout string, schema string, batch_id long")}, path)
+    write_generation({"manifest": spark.createDataFrame(rows, MANIFEST).coalesce(1), "head": spark.createDataFrame(head, "layout string, schema string, batch_id long").coalesce(1)}, path)
 
 
 def create(spark: SparkSession, path: str, rows: DataFrame, layout: Layout | None = None) -> None:
@@ -103,7 +109,8 @@ def _read(spark: SparkSession, path: str, s: Store, kind: str, schema: StructTyp
     """The rows of some parts; only their folders are listed."""
     folders = [f"{path}/{kind}/gen={s.live[kind, *p][0]}/cat={p[0]}/bucket={p[1]}" for p in parts if (kind, *p) in s.live]
     if not folders:
-        return spark.createDataFrame([], schema)
+        # The planner knows that this is empty, and leaves out what it is joined with.
+        return spark.range(0).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     names = [f.name for f in schema]
     whole = StructType([*schema]).add("gen", "string").add("cat", "string").add("bucket", "integer")
     return spark.read.schema(whole).option("basePath", f"{path}/{kind}").parquet(*folders).select(*names)
@@ -114,17 +121,46 @@ def _write(rows: DataFrame, path: str, kind: str, gen: str) -> None:
     rows.hint("rebalance", "cat", "bucket").write.partitionBy("cat", "bucket").parquet(f"{path}/{kind}/gen={gen}")
 
 
+def _written(spark: SparkSession, path: str, kind: str, gen: str, schema: StructType) -> DataFrame:
+    """What `_write` wrote, with `cat` and `bucket`."""
+    whole = StructType([*schema]).add("cat", "string").add("bucket", "integer")
+    return spark.read.schema(whole).parquet(f"{path}/{kind}/gen={gen}")
+
+
+def _parts(rows: DataFrame, kind: str, gen: str) -> dict[tuple[str, str, int], tuple[str, int]]:
+    """The parts of what was written; files tell their rows without being read."""
+    return {(kind, r["cat"], r["bucket"]): (gen, r["n"]) for r in rows.groupBy("cat", "bucket").agg(F.count("*").alias("n")).collect()}
+
+
 KEYS = StructType().add("kind", "string").add("key", "string").add("row_cat", "string").add("row_bucket", "integer")
 
 
+#: Keys that a file of the index has, about.
+KEY_ROWS = 250_000
+
+
+def _write_keys(keys: DataFrame, path: str, gen: str, layout: Layout, most: int) -> None:
+    """Distinct keys into the index, of `most` at most. Keys are dealt once, by their bucket and a part of it: equal ones meet there, and a bucket has as many files as it has parts."""
+    deals = 1 + most // (layout.key_buckets * KEY_ROWS)
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(deals))
+    dealt = keys.withColumns({"bucket": layout.key_bucket(), "part": part}).repartition("bucket", "part").distinct()
+    dealt.drop("part").withColumn("cat", F.lit("all")).write.partitionBy("cat", "bucket").parquet(f"{path}/keys/gen={gen}")
+
+
 def _row_keys(rows: DataFrame) -> DataFrame:
-    """What rows (with `cat` and `bucket`) can be found by: their ids, sources, and visits of past details."""
+    """What rows (with `cat` and `bucket`) can be found by: their ids, sources, and visits of past details; rows of a source give its key again."""
     names = row_key(rows)
     whole = F.concat_ws("\0", *(or_empty(n) for n in names))
     visit = F.when(is_past_visit_detail(F.col("source_url")), visit_key(F.col("source_url")))
     each = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("id", whole), ("source", source_url_key(F.col("source_url"))), ("visit", visit))))
     own = rows.select(F.explode(each).alias("k"), F.col("cat").alias("row_cat"), F.col("bucket").alias("row_bucket"))
-    return own.select("k.*", "row_cat", "row_bucket").where("key is not null and key <> ''").distinct()
+    return own.select("k.*", "row_cat", "row_bucket").where("key is not null and key <> ''")
+
+
+def _asked(rows: DataFrame, urls: DataFrame) -> DataFrame:
+    """What stored rows that a batch meets are found by: the ids of its rows (one a key), and the sources and visits of what was read. A row's own source and visit are among these."""
+    whole = F.concat_ws("\0", *(or_empty(n) for n in row_key(rows)))
+    return rows.select(F.lit("id").alias("kind"), whole.alias("key")).where("key <> ''").union(_read_keys(urls.distinct()))
 
 
 def _read_keys(urls: DataFrame) -> DataFrame:
@@ -149,29 +185,32 @@ def merge_into(incoming: DataFrame, path: str, sources: DataFrame | None = None,
     names = [f.name for f in s.schema]
     placed = lambda rows: rows.withColumns({"cat": s.layout.cat(), "bucket": s.layout.bucket()})
     new = materialise(placed(incoming.select(*names)), "incoming")
-    at = F.pmod(F.xxhash64("kind", "key"), F.lit(s.layout.key_buckets)).cast("int")
     urls = new.select("source_url") if sources is None else new.select("source_url").union(sources.select("source_url"))
-    asked = _row_keys(new).select("kind", "key").union(_read_keys(urls)).distinct().withColumn("bucket", at)
-    asked = materialise(asked, "asked")
-
-    # Numbers of buckets and parts: as many as the layout has, at most.
-    buckets = sorted(r[0] for r in asked.select("bucket").distinct().collect())
+    asked, buckets = new.select(F.lit("").alias("kind"), F.lit("").alias("key")).where(F.lit(False)), []
+    # An empty store is asked nothing.
+    if any(kind == "keys" for kind, _, _ in s.live):
+        asked = materialise(_asked(new, urls).withColumn("bucket", s.layout.key_bucket()), "asked")
+        # Numbers of buckets and parts: as many as the layout has, at most.
+        buckets = sorted(r[0] for r in asked.select("bucket").distinct().collect())
     known = _read(spark, path, s, "keys", KEYS, [("all", b) for b in buckets])
     hits = known.join(asked.select("kind", "key"), ["kind", "key"], "left_semi").select("row_cat", "row_bucket").distinct()
     touched = {tuple(r) for r in hits.union(new.select("cat", "bucket").distinct()).collect()}
 
     old = _read(spark, path, s, "rows", s.schema, sorted(touched))
-    out = materialise(placed(upsert(old, new.select(*names), sources)), "merged")
+    gone = F.col("delta") == "deleted"
     gen = f"{len({g for g, _ in s.live.values()}):06d}-{uuid.uuid4().hex}"
     live = {p: where for p, where in s.live.items() if p[0] != "rows" or p[1:] not in touched}
-    kept = out.where("delta <> 'deleted'").drop("delta")
-    _write(kept, path, "rows", gen)
-    live |= {("rows", r["cat"], r["bucket"]): (gen, r["n"]) for r in kept.groupBy("cat", "bucket").agg(F.count("*").alias("n")).collect()}
+    # Rows are written once, into their parts with their delta, which readings of parts leave out.
+    out = placed(upsert(old, new.select(*names), sources))
+    _write(out.withColumn("cat", F.when(gone, DELETED).otherwise(F.col("cat"))), path, "rows", gen)
+    out = _written(spark, path, "rows", gen, StructType([*s.schema]).add("delta", "string"))
+    rewritten = _parts(out.where(F.col("cat") != DELETED), "rows", gen)
+    live |= rewritten
 
     fresh = _row_keys(out.where("delta in ('inserted', 'updated')"))
-    keys = materialise(known.union(fresh).distinct().withColumns({"cat": F.lit("all"), "bucket": at}), "keys")
-    _write(keys, path, "keys", gen)
-    live |= {("keys", "all", r["bucket"]): (gen, r["n"]) for r in keys.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    most = sum(n for p, (_, n) in s.live.items() if p[0] == "keys" and p[2] in buckets) + 3 * sum(n for _, n in rewritten.values())
+    _write_keys(known.union(fresh), path, gen, s.layout, most)
+    live |= _parts(_written(spark, path, "keys", gen, KEYS), "keys", gen)
     _publish(spark, path, Store(s.layout, s.schema, s.batch_id if batch_id is None else batch_id, live))
     return Merged(out.drop("cat", "bucket"), len(touched), len(old.inputFiles()) + len(known.inputFiles()))
 
@@ -199,12 +238,9 @@ def rebuilt(spark: SparkSession, path: str, to: str, layout: Layout | None = Non
     create(spark, to, spark.createDataFrame([], s.schema), layout or s.layout)
     own = opened(spark, to)
     rows = read_records(spark, path).withColumns({"cat": own.layout.cat(), "bucket": own.layout.bucket()})
-    at = F.pmod(F.xxhash64("kind", "key"), F.lit(own.layout.key_buckets)).cast("int")
-    keys = _row_keys(rows).withColumns({"cat": F.lit("all"), "bucket": at})
-    gen, live = uuid.uuid4().hex, {}
-    for kind, part in (("rows", rows), ("keys", keys)):
-        _write(part, to, kind, gen)
-        schema = s.schema if kind == "rows" else KEYS
-        written = spark.read.schema(StructType([*schema]).add("cat", "string").add("bucket", "integer")).parquet(f"{to}/{kind}/gen={gen}")
-        live |= {(kind, r["cat"], r["bucket"]): (gen, r["n"]) for r in written.groupBy("cat", "bucket").agg(F.count("*").alias("n")).collect()}
+    gen = uuid.uuid4().hex
+    _write(rows, to, "rows", gen)
+    live = _parts(_written(spark, to, "rows", gen, s.schema), "rows", gen)
+    _write_keys(_row_keys(rows), to, gen, own.layout, 3 * sum(n for _, n in live.values()))
+    live |= _parts(_written(spark, to, "keys", gen, KEYS), "keys", gen)
     _publish(spark, to, Store(own.layout, s.schema, s.batch_id, live))

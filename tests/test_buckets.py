@@ -143,3 +143,24 @@ def test_a_hot_source_in_a_batch(spark):
     made = [(f"h{i}", "visits", "p", "https://p.example.org/hot", f"t{i % 3}", i % 3) for i in range(90)] + [(f"o{i}", "visits", "p", i, "t", 0) for i in range(30)] + [("n", "visits", "p", None, "a", 1), ("n", "visits", "p", None, "b", 2), ("m", "visits", "p", 5, "c", None)]
     got = {r["id"]: r["title"] for r in latest_in_batch(rows(spark, made)).collect()}
     assert got == {f"h{i}": "t2" for i in range(90) if i % 3 == 2} | {f"o{i}": "t" for i in range(30)} | {"n": "b", "m": "c"}
+
+
+def test_a_merge_writes_rows_and_keys_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "KEY_ROWS", 1)
+    folder, made, real = f"file://{tmp_path}/store", [], buckets.materialise
+    monkeypatch.setattr(buckets, "materialise", lambda df, name, by=(): made.append(name) or real(df, name, by))
+    first = rows(spark, [("a", "visits", "ann", 1, "one", 0), ("b", "visits", "ann", 1, "two", 0), ("c", "letters", "bob", 2, "three", 0)])
+    create(spark, folder, first, SMALL)
+    merge_into(first, folder)
+    # An empty store is not asked; what is read of it leaves no join behind.
+    assert made == ["incoming"]
+    got = merge_into(rows(spark, [("a", "visits", "ann", 1, "new", 1)]), folder)
+    assert made == ["incoming", "incoming", "asked"]
+    assert sorted((r["id"], r["delta"]) for r in got.changes.where("delta <> 'untouched'").collect()) == [("a", "updated"), ("b", "deleted")]
+    assert got.changes.columns == [*first.columns, "delta"]
+    s = opened(spark, folder)
+    assert all(cat != buckets.DELETED for _, cat, _ in s.live) and sum(n for p, (_, n) in s.live.items() if p[0] == "rows") == 2
+    # The index has each key once: two sources, three ids.
+    keys = buckets._read(spark, folder, s, "keys", buckets.KEYS, [p[1:] for p in s.live if p[0] == "keys"])
+    assert keys.count() == keys.distinct().count() == 5
+    assert told(read_records(spark, folder)) == [("a", "visits", "ann", "new"), ("c", "letters", "bob", "three")]
