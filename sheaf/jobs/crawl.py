@@ -18,7 +18,7 @@ from sheaf.functions.text import first_nonempty
 from sheaf.functions.urls import normalize_detail_url, route_identity, source_url_key, visit_key
 from sheaf.operators import frontier, pages
 from sheaf.operators.frontier import Budgets, within_budgets
-from sheaf.sources.shared import materialise
+from sheaf.sources.shared import laid_out, materialise
 
 TARGET = ["identity_hash", "category", "url", "fallback_url", "route_class", "strict", "broad", "refresh", "covered", "o1", "o2", "o3"]
 DETAILS = ("result-detail", "visit-detail")
@@ -86,22 +86,32 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
     spark = page_rows.sparkSession
     given = lambda name, none: F.coalesce(F.col(name), F.lit(none)) if name in page_rows.columns else F.lit(none)
     said = page_rows.select("page_id", source_url_key(F.col("url")).alias("page_key"), given("records", 0).cast("long").alias("records"), given("empty", False).alias("empty")).where("page_key <> ''")
-    site = materialise(said.groupBy("page_key").agg(F.max_by(F.struct("page_id", "records", "empty"), "page_id").alias("p")).select("page_key", "p.*"), "site")
-    known = page_rows.select("page_id", "url", "html").join(site.select("page_id"), "page_id", "left_semi")
-    links = materialise(pages.extract_links(known), "links")
+    each_page = said.groupBy("page_key").agg(F.max_by(F.struct("page_id", "records", "empty"), "page_id").alias("p"), F.count("*").alias("__n"))
+    site = materialise(each_page.select("page_key", "p.*", "__n"), "site")
+    known = site.agg(F.count("*").alias("n"), F.max("__n").alias("most")).first()
+    # A page's links are a row, and rows are laid by page, so that a round's visits are dealt to them and not they to the visits.
+    links = pages.page_links(page_rows.select("page_id", "url", "html").where(source_url_key(F.col("url")) != ""))
+    if (known["most"] or 0) > 1:
+        links = links.join(site.select("page_id"), "page_id", "left_semi")
+    links = laid_out(links, "links", "page_id", known["n"])
+    site = site.drop("__n")
 
     none = lambda schema: spark.createDataFrame([], schema)
-    # Every round asks for what earlier runs did, so it is made once.
-    before = none("identity_hash string") if coverage is None or force else materialise(coverage.select("identity_hash").distinct(), "coverage")
-    told = none("coverage_key string") if stored is None or context else materialise(frontier.detail_coverage(stored), "told")
-    urls_seen = none("url_key string") if visited is None or force else materialise(visited.select("url_key").distinct(), "visited")
+    # Every round asks for what earlier runs did, so it is made once; what there is none of is not asked for.
+    before = None if coverage is None or force else materialise(coverage.select("identity_hash").distinct(), "coverage")
+    told = None if stored is None or context else materialise(frontier.detail_coverage(stored), "told")
+    urls_seen = None if visited is None or force else materialise(visited.select(F.col("url_key").alias("page_key")).distinct(), "visited")
     flag = F.lit(True)
 
     def with_coverage(targets: DataFrame) -> DataFrame:
         """`covered`: details that an earlier run visited, or whose record is stored."""
-        own = F.when(F.col("category") == "visits", first_nonempty(visit_key(F.col("url")), source_url_key(F.col("url")))).otherwise(source_url_key(F.col("url")))
-        out = targets.withColumn("coverage_key", own).join(before.withColumn("__a", flag), "identity_hash", "left").join(told.withColumn("__b", flag), "coverage_key", "left")
-        return out.withColumn("covered", F.coalesce("__a", "__b", F.lit(False))).drop("__a", "__b", "coverage_key")
+        out, known_by = targets, [F.lit(False)]
+        if before is not None:
+            out, known_by = out.join(before.withColumn("__a", flag), "identity_hash", "left"), [F.col("__a"), *known_by]
+        if told is not None:
+            own = F.when(F.col("category") == "visits", first_nonempty(visit_key(F.col("url")), source_url_key(F.col("url")))).otherwise(source_url_key(F.col("url")))
+            out, known_by = out.withColumn("coverage_key", own).join(told.withColumn("__b", flag), "coverage_key", "left"), [F.col("__b"), *known_by]
+        return out.withColumn("covered", F.coalesce(*known_by)).drop("__a", "__b", "coverage_key")
 
     start = frontier.classified(seeds.withColumn("text", F.lit("")).drop("identity_hash"), context, expected_origin)
     detail = F.col("route.route_class").isin(*DETAILS) & ~F.col("refresh")
@@ -114,9 +124,12 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
     mode, reason, done, rounds = "exhaustive" if exhaustive else "strict", "queue_exhausted", 0, 0
     spent, waiting, visits, counts, malformed = (0, 0, 0), [], [], [], set()
     while True:
-        found = level.withColumn("page_key", source_url_key(F.col("url"))).join(site, "page_key", "left").join(urls_seen.select(F.col("url_key").alias("page_key"), flag.alias("__seen")), "page_key", "left")
+        found = level.withColumn("page_key", source_url_key(F.col("url"))).join(site, "page_key", "left")
+        seen_before = F.lit(False)
+        if urls_seen is not None:
+            found, seen_before = found.join(urls_seen.withColumn("__seen", flag), "page_key", "left"), F.coalesce("__seen", F.lit(False))
         either = F.col("strict") | F.col("broad")
-        wanted = frontier.should_visit(F.lit(force), F.col("covered"), F.coalesce("__seen", F.lit(False)), either, F.col("refresh"))
+        wanted = frontier.should_visit(F.lit(force), F.col("covered"), seen_before, either, F.col("refresh"))
         judged = found.withColumn("wanted", wanted).withColumns({"page": (F.col("wanted") & F.col("page_id").isNotNull()).cast("int"), "attempt": (F.col("wanted") & F.col("broad")).cast("int")})
         judged = judged.withColumn("gain", F.col("page") * F.coalesce("records", F.lit(0)))
         kept = within_budgets(judged.drop("__seen", "page_key"), ["o1", "o2", "o3", "url"], "page", "attempt", "gain", "broad", budgets, spent)
@@ -125,7 +138,7 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
         visits.append(kept)
         rounds += 1
         live = F.col("stopped") == ""
-        total = kept.agg(F.count("*"), *(F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0)) for c in ("page", "attempt", "gain")), F.max("stopped")).first()
+        total = kept.agg(F.count("*"), *(F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0)) for c in ("page", "attempt", "gain")), F.max("stopped"), F.coalesce(F.max(F.col("refresh") & (F.col("status") == "visited")), F.lit(False))).first()
         done, spent = done + total[0], tuple(a + b for a, b in zip(spent, total[1:4], strict=True))
         if total[4]:
             reason = total[4]
@@ -133,7 +146,8 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
 
         opened = kept.where("status = 'visited'")
         asked = opened.select("page_id", F.col("position").alias("parent"), F.col("category").alias("__category"))
-        each = links.join(asked, "page_id").select("parent", "pos", "text", normalize_detail_url(F.col("href"), F.col("__category")).alias("url"), F.col("__category").alias("category"))
+        each = links.join(asked, "page_id").select("parent", "__category", F.posexplode("links").alias("pos", "l"))
+        each = each.select("parent", "pos", "l.text", normalize_detail_url(F.col("l.href"), F.col("__category")).alias("url"), F.col("__category").alias("category"))
         each = materialise(frontier.classified(each, context, expected_origin).select("parent", "pos", "url", "category", "identity_hash", "route"), "classified")
         counts.append(each.groupBy("route.route_class").agg(F.count("*").alias("n")))
         fit = each.where("route.admission <> 'rejected'")
@@ -145,17 +159,19 @@ def crawl_job(page_rows: DataFrame, seeds: DataFrame, coverage: DataFrame | None
         fresh = fresh.withColumns({"broad": ~F.col("strict"), "refresh": F.lit(False), "fallback_url": F.lit("")})
 
         # A listing without links, records or a word that it is empty: its other address is tried, and what may be clinical waits no longer.
-        silent = opened.where("refresh and gain = 0 and not empty").join(fit.select(F.col("parent").alias("position")).distinct(), "position", "left_anti")
-        silent = materialise(silent.select("position", "category", "fallback_url"), "silent")
-        # Listings are seeds and their other addresses, so their categories are few.
-        malformed = (malformed - {r[0] for r in opened.where("refresh").select("category").distinct().collect()}) | {r[0] for r in silent.select("category").distinct().collect()}
-        early = silent.agg(F.min("position")).first()[0]
-        again = silent.where("fallback_url <> ''").select("category", F.col("fallback_url").alias("url"), F.col("position").alias("o1"))
-        again = again.withColumn("identity_hash", F.sha2(route_identity(F.col("url"), F.col("category"), F.lit(context)), 256))
-        again = again.dropDuplicates(["identity_hash"]).join(seen.all(), "identity_hash", "left_anti").join(fresh.select("identity_hash"), "identity_hash", "left_anti")
-        again = again.withColumns({"route_class": F.lit("discovery-fallback"), "strict": F.lit(False), "broad": F.lit(True), "refresh": F.lit(True), "fallback_url": F.lit(""), "o2": F.lit(2), "o3": F.lit(0).cast("long")})
-
-        new = materialise(with_coverage(fresh.unionByName(again, allowMissingColumns=True)).select(*TARGET), "found")
+        early = None
+        if total[5]:
+            silent = opened.where("refresh and gain = 0 and not empty").join(fit.select(F.col("parent").alias("position")).distinct(), "position", "left_anti")
+            silent = materialise(silent.select("position", "category", "fallback_url"), "silent")
+            # Listings are seeds and their other addresses, so their categories are few.
+            malformed = (malformed - {r[0] for r in opened.where("refresh").select("category").distinct().collect()}) | {r[0] for r in silent.select("category").distinct().collect()}
+            early = silent.agg(F.min("position")).first()[0]
+            again = silent.where("fallback_url <> ''").select("category", F.col("fallback_url").alias("url"), F.col("position").alias("o1"))
+            again = again.withColumn("identity_hash", F.sha2(route_identity(F.col("url"), F.col("category"), F.lit(context)), 256))
+            again = again.dropDuplicates(["identity_hash"]).join(seen.all(), "identity_hash", "left_anti").join(fresh.select("identity_hash"), "identity_hash", "left_anti")
+            fresh = fresh.unionByName(again.withColumns({"route_class": F.lit("discovery-fallback"), "strict": F.lit(False), "broad": F.lit(True), "refresh": F.lit(True), "fallback_url": F.lit(""), "o2": F.lit(2), "o3": F.lit(0).cast("long")}))
+
+        new = materialise(with_coverage(fresh).select(*TARGET), "found")
         seen.add(new.select("identity_hash"))
         at_once = F.col("strict") | F.col("refresh") | F.lit(mode == "exhaustive") | (F.col("o1") > (early if early is not None else 1 << 62))
         if early is not None:
