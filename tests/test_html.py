@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sheaf.functions.html import Tags
+from sheaf import queries as Q
 from sheaf.operators import elements, pages
 from sheaf.sources.shared import laid_out
 
@@ -55,3 +56,11 @@ def test_tables_that_are_laid_out_stay_where_they_are(spark):
     some = spark.range(0, 1000, 2)
     joined = rows.hint("merge").join(some, "id")
     assert joined.count() == 500 and str(joined._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") <= 1
+
+
+def test_blocks_bring_their_pages_addresses(spark, sf):
+    built = Q.g8_build_records(spark, sf)
+    plan = str(built._jdf.queryExecution().optimizedPlan())
+    assert "Join" not in plan and plan.count("Relation") == 1
+    some = pages.extract_blocks(spark.createDataFrame([(1, "https://h.example/x", "<li>A</li>")], "page_id long, url string, html string"), keep=["url"])
+    assert [tuple(r) for r in some.collect()] == [(1, 0, "li", "A", "https://h.example/x")]
